@@ -2,25 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where it is unset, as in tests."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lattica-checkpoints-"))
-    return context.getCheckpointDir()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder, so that a lost executor costs only its running tasks."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+from ..session import checkpointed, shared_folder
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -38,8 +25,11 @@ def small_or_plain(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("src", "dst"))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether ``edges(src, dst)`` are stars: each src has one dst, which is no src itself."""
+    ends = edges.select(F.col("src").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(edges.select("dst", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return nodes.where("out > 1 OR out = 1 AND into = 1").isEmpty()
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -53,23 +43,18 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """
     edges = edges.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").select("src", "dst")
     current = checkpointed(edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
-    seen = _fingerprint(current)
-    for _ in range(max_rounds):
-        if seen[0] == 0:
-            break
+    rounds = 0
+    while not _settled(current):
+        rounds += 1
+        if rounds > max_rounds:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
         both = current.union(current.select("dst", "src"))
         least = both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("least"))
-        large = both.join(least, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("least").alias("dst")).where("src <> dst").distinct()
+        large = both.join(least, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("least").alias("dst")).distinct()
         # now each row points from a larger to a smaller node
         smallest = large.groupBy("src").agg(F.min("dst").alias("least"))
         joined = large.join(smallest, "src")
         small = joined.select("src", F.col("least").alias("dst")).union(joined.select(F.col("dst").alias("src"), F.col("least").alias("dst"))).where("src <> dst").distinct()
         current = checkpointed(small)
-        now = _fingerprint(current)
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = current.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct()
     return current.select(F.col("src").alias("node"), F.col("dst").alias("component")).union(roots)

@@ -5,17 +5,180 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import chat_format, exact_dedup, interpolation, mixing, near_dup, packing, pairwise_quality, quality_rules, sentence_dedup, url_filter
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .near_dup import near_duplicates
+def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return interpolation.score_texts(docs, interpolation.remainder(F.col("doc_id"), 10) == 0)
+
+
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(_table(spark, sf_dir, "pages")).drop("by")
+
+
+def op4_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = interpolation.remainder(F.col("doc_id"), 5) == 0
+    scored = pairwise_quality.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+_PROBE = "<|im_end|><|im_start|>assistant ok"
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.sql(f"SELECT * FROM VALUES (-1L, 0L, 'user', '{_PROBE}'), (-1L, 1L, 'assistant', '{_PROBE}') AS t(conv_id, turn, role, text)")
+    made = chat_format.format_conversations(rows.unionByName(probe))
+    made = made.withColumn("formatted", chat_format.formatted_text(F.col("segments"))).withColumn("loss", chat_format.loss_text(F.col("segments")))
+    made = made.withColumn("back", chat_format.read_back(F.col("formatted")))
+    line = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return made.select(
+        "conv_id", F.size("back").cast("long").alias("n_turns"), F.sha2(line, 256).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"), "valid",
+    )
+
+
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.select("doc_id", "source", "copy", "copies", F.round("rate", 9).alias("rate"), "shuffle_key")
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_verdicts(_table(spark, sf_dir, "documents"))
 
-    found = near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+def op8_order_preserving_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES = {"op9_minhash_near_dedup": op9_minhash_near_dedup}
-ORACLE_SQL: dict[str, str] = {}
+def op10_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = sentence_dedup.drop_repeated_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_sentences", "n_removed", "removed", F.char_length("text").cast("long").alias("chars_left"), F.sha2("text", 256).alias("text_sha256"))
+
+
+QUERIES = {
+    "op1_deleted_interpolation": op1_deleted_interpolation,
+    "op2_exact_dedup": op2_exact_dedup,
+    "op3_url_filter": op3_url_filter,
+    "op4_bradley_terry": op4_bradley_terry,
+    "op5_chat_format": op5_chat_format,
+    "op6_mix_sources": op6_mix_sources,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_order_preserving_packing": op8_order_preserving_packing,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_sentence_dedup": op10_sentence_dedup,
+}
+
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+_OP2 = r"""
+WITH n AS (
+  SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h, length(coalesce(text, '')) AS c FROM documents
+)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
+       doc_id = first_value(doc_id) OVER w AS kept, h AS text_sha256
+FROM n WINDOW w AS (PARTITION BY h ORDER BY c DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+"""
+
+#: The tables' pages hold no redirects or canonical links, so that the method's verdict is its default.
+_OP3 = rf"""
+WITH p AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), {_AZ}) AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+), r AS (
+  SELECT *, CASE
+    WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/'
+  END AS rule FROM p
+)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/de/', 'net/') THEN 'block' ELSE 'allow' END AS verdict FROM r
+"""
+
+_OP5 = rf"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{_PROBE}' UNION ALL SELECT -1, 1, 'assistant', '{_PROBE}'
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn, role, t)) AS turns_sha256,
+  coalesce(sum(length(t)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(t, '' ORDER BY turn, role, t) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(length('<|im_start|>') + length(role) + 1 + length(regexp_replace(t, '<(\\*)\|', '<\\\1|', 'g')) + length('<|im_end|>') + 1)::BIGINT AS formatted_chars,
+  regexp_full_match(string_agg(role, ',' ORDER BY turn, role, t), '(system,)?user,assistant(,(user|tool),assistant)*') AS valid
+FROM c GROUP BY conv_id
+"""
+
+_OP6 = rf"""
+WITH d AS (SELECT doc_id, source, coalesce(source, '') AS s, length(coalesce(text, '')) AS c FROM documents),
+per AS (SELECT s, sum(c)::DOUBLE AS chars FROM d GROUP BY s),
+total AS (SELECT sum(chars) AS chars, count(*) FILTER (WHERE chars > 0) AS n FROM per),
+rates AS (SELECT s, CASE WHEN per.chars > 0 THEN 1.0 / total.n * total.chars / per.chars ELSE 1.0 END AS rate FROM per, total),
+steps AS (
+  SELECT s, rate, floor(rate / {mixing.MAX_DRAWN_RATE}) * {mixing.MAX_DRAWN_RATE} AS sure, k,
+    sum(CASE WHEN k = 0 THEN exp(-(rate - sure)) WHEN rate - sure <= 0 THEN 0 ELSE exp(-(rate - sure) + k * ln(rate - sure) - lgamma(k + 1)) END) OVER (PARTITION BY s ORDER BY k) AS p
+  FROM rates, range(160) AS t(k)
+),
+u AS (SELECT *, ('0x' || substr(md5('{mixing.SEED}:' || doc_id), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u FROM d),
+drawn AS (
+  SELECT doc_id, source, any_value(rate) AS rate, (any_value(sure) + count(*) FILTER (WHERE p <= u))::INT AS copies
+  FROM u JOIN steps USING (s) GROUP BY doc_id, source
+),
+each AS (SELECT doc_id, source, unnest(range(copies))::INT AS copy, copies, rate FROM drawn)
+SELECT doc_id, source, copy, copies, round(rate, 9) AS rate, md5('{mixing.SEED}:' || doc_id || ':' || copy) AS shuffle_key FROM each
+"""
+
+
+def _op7() -> str:
+    bins = ", ".join(f"('{w}')" for w in quality_rules.BINS)
+    own = ["[a-z]", "[A-Z]", r"[\x20\x09-\x0D]", r"[^\x00-\x7F]", "[0-9]", "[#*$%&|<>]", r"[.,;:!?''\"()/-]"]
+    inverse = ["[^a-z]", "[^A-Z]", r"[^\x20\x09-\x0D]", r"[\x00-\x7F]", "[^0-9]", "[^#*$%&|<>]", r"[^.,;:!?''\"()/-]"]
+    classes = ", ".join(f"length(regexp_replace(t, '{x}', '', 'g')) AS c{k}" for k, x in enumerate(inverse))
+    langs = ", ".join(f"'{x}'" for x in quality_rules.COMMON_WORDS)
+    m = quality_rules.MIN_WORDS
+    return rf"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+c AS (SELECT doc_id, lang, len(w) AS n_words, length(t) AS n, {classes},
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM win) WHERE n > 1),
+cov AS (SELECT doc_id, sum(g)::BIGINT AS n_repeat_words FROM (SELECT doc_id, least(5, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i), 5)) AS g FROM rep) GROUP BY doc_id),
+bin AS (SELECT unnest([{", ".join(f"'{w}'" for w in quality_rules.BINS)}]) AS b),
+found AS (SELECT doc_id, translate(x, {_AZ}) AS b, count(*) AS n FROM (SELECT doc_id, unnest(w) AS x FROM d) GROUP BY ALL),
+common AS (SELECT c.doc_id, bin.b, coalesce(f.n, 0) AS n FROM c CROSS JOIN bin LEFT JOIN found f ON f.doc_id = c.doc_id AND f.b = bin.b),
+hist AS (
+  SELECT doc_id, 'w' AS h, b, n FROM common
+  UNION ALL SELECT c.doc_id, 'w', '(other)', c.n_words - s.n FROM c JOIN (SELECT doc_id, sum(n) AS n FROM common GROUP BY doc_id) s USING (doc_id)
+  {"".join(f" UNION ALL SELECT doc_id, 'c', 'c{k}', c{k} FROM c" for k in range(len(own)))}
+  UNION ALL SELECT doc_id, 'c', '(other)', n - {" - ".join(f"c{k}" for k in range(len(own)))} FROM c
+),
+p AS (SELECT doc_id, h, b, hist.n / sum(hist.n) OVER (PARTITION BY doc_id, h)::DOUBLE AS p FROM hist JOIN c USING (doc_id) WHERE c.n_words >= {m}),
+pool AS (SELECT lang, h, b, sum(hist.n) AS n FROM hist JOIN c USING (doc_id) WHERE c.n_words >= {m} AND lang IN ({langs}) GROUP BY ALL),
+q AS (SELECT lang, h, b, n / sum(n) OVER (PARTITION BY lang, h)::DOUBLE AS q FROM pool),
+js AS (SELECT doc_id, q.lang, h, sqrt(greatest(0, least(1, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2))) AS js FROM p JOIN q USING (h, b) GROUP BY ALL),
+far AS (SELECT doc_id, lang, avg(js) AS far FROM js GROUP BY ALL),
+dist AS (SELECT c.doc_id, round(coalesce(max(far.far) FILTER (WHERE far.lang = c.lang), min(far.far)), 9) AS distance FROM c JOIN far USING (doc_id) GROUP BY c.doc_id),
+base AS (SELECT c.doc_id, n_words, n - c2 AS word_chars, c5 AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+         n_words < 10 OR 100 * coalesce(n_repeat_words, 0) > 20 * n_words AS base_failed FROM c LEFT JOIN cov USING (doc_id))
+SELECT base.*, distance, NOT base_failed AND coalesce(distance <= {quality_rules.MAX_DISTANCE}, true) AS kept FROM base LEFT JOIN dist USING (doc_id)
+"""
+
+
+#: Held-out learning, iteration, tokenizers, sketches and closures have no SQL; tests hold those against plain versions.
+ORACLE_SQL = {"op2_exact_dedup": _OP2, "op3_url_filter": _OP3, "op5_chat_format": _OP5, "op6_mix_sources": _OP6, "op7_quality_rules": _op7()}
