@@ -44,9 +44,13 @@ def student_two_sided(t: float, df: float) -> float:
     return incomplete_beta(df / 2, 0.5, df / (df + t * t)) if math.isfinite(t) else 0.0
 
 
-@F.pandas_udf("double")
-def student_p(t: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([student_two_sided(float(a), float(b)) for a, b in zip(t.astype(float), df.astype(float), strict=True)])
+def student_p(t: Column, dof: Column) -> Column:
+    """The two-sided p of Student's t, for tables of results: an Arrow function over batches of rows."""
+
+    def batch(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([student_two_sided(float(x), float(y)) for x, y in zip(a.astype(float), b.astype(float), strict=True)])
+
+    return F.pandas_udf(batch, "double")(t, dof)
 
 
 def student_quantile(df: int, p: float = 0.975) -> float:
@@ -98,7 +102,7 @@ def welch(df: DataFrame, group: str, reference: str, by: list[str], value: str)
 
 def welch_p(tests: DataFrame) -> DataFrame:
     """The two-sided p of a table of :func:`welch`; 1 where degenerate, null where there was no test."""
-    p = F.when(F.col("degenerate"), 1.0).when(F.col("t").isNotNull(), student_p("t", "dof"))
+    p = F.when(F.col("degenerate"), 1.0).when(F.col("t").isNotNull(), student_p(F.col("t"), F.col("dof")))
     return tests.withColumn("p", p)
 
 

@@ -208,9 +208,9 @@ def paired_t(spark, d):
     return out.select("n", F.round("mean", 6).alias("mean"), F.round("t", 4).alias("t"))
 
 
-@query("SELECT event_id, CASE WHEN s < 60 THEN printf('%.1f s', s) WHEN s < 3600 THEN printf('%.1f min', s / 60) ELSE printf('%.1f h', s / 3600) END AS text FROM (SELECT event_id, (event_id % 9000)::DOUBLE AS s FROM events)")
+@query("SELECT event_id, CASE WHEN s < 60 THEN printf('%.1f s', s) WHEN s < 3600 THEN printf('%.1f min', s / 60) ELSE printf('%.1f h', s / 3600) END AS text FROM (SELECT event_id, (event_id % 200 * 360)::DOUBLE AS s FROM events)")
 def runtime_format(spark, d):
-    return table(spark, d, "events").select("event_id", runtime_text((F.col("event_id") % 9000).cast("double")).alias("text"))
+    return table(spark, d, "events").select("event_id", runtime_text((F.col("event_id") % 200 * 360).cast("double")).alias("text"))
 
 
 @query("SELECT c_custkey, (c_custkey % 1000) / 1000.0::DOUBLE AS value, repeat('*', (c_custkey % 4)::INT) AS mark FROM customer")
