@@ -50,7 +50,7 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
     Runs are told apart by 64-bit hashes. Sorting finds the repeated ones, so that long
     texts cost n log n; texts without a repeat, most by far, are not sorted.
     """
-    runs = F.transform(F.sequence(F.lit(0), F.size(words) - window), lambda i: F.xxhash64(*(words[i + k] for k in range(window))))
+    runs = let(words, lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - window), lambda i: F.xxhash64(*(w[i + k] for k in range(window)))))
 
     def covered(keys: Column) -> Column:
         placed = F.array_sort(F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
@@ -169,4 +169,7 @@ def keep_by_rules(docs: DataFrame, **options) -> DataFrame:
     names = docs.columns
     inner = docs.select(F.struct(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names))).alias("_row"), F.col("text").alias("text"), F.col("lang").alias("lang"))
     settings = {"references": None, "min_words": MIN_WORDS, "max_distance": MAX_DISTANCE} | options
-    return _judged(inner, **settings).where("_kept").select(*(F.col(f"_row.c{k}").alias(c) for k, c in enumerate(names)))
+    judged = _judged(inner, **settings)
+    # a filter would be pushed down, and the whole verdict with it, into one expression that computes its parts again and again
+    kept = judged.select(F.explode(F.when(F.col("_kept"), F.array("_row"))).alias("_row"))
+    return kept.select(*(F.col(f"_row.c{k}").alias(c) for k, c in enumerate(names)))
