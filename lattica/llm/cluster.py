@@ -58,3 +58,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         current = checkpointed(small)
     roots = current.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct()
     return current.select(F.col("src").alias("node"), F.col("dst").alias("component")).union(roots)
+
+
+def packed(docs: DataFrame, *needed: str, without: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` as one column ``row`` and the columns needed, so that no other name can clash."""
+    names = [c for c in docs.columns if c not in without]
+    return docs.select(F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names))).alias("row"), *(F.col(f"`{c}`") for c in needed))
+
+
+def unpacked(names: list[str]) -> list:
+    """The columns of a packed row under their names."""
+    return [F.col(f"row.c{k}").alias(c) for k, c in enumerate(names)]

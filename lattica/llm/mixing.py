@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import checkpointed, small_or_plain
+from .cluster import checkpointed, packed, small_or_plain, unpacked
 
 SEED = 20240607
 #: Up to so many sources, their table (of rates alone) is broadcast; beyond, the join is shuffled.
@@ -71,13 +71,13 @@ def mix_sources(docs: DataFrame, *, weights: dict[str, float] | None = None, def
     drawn = F.col("_rate") - F.col("_sure")
     rates = rates.select(F.col("source").alias("_source"), F.col("rate").alias("_rate")).withColumn("_sure", (F.floor(F.col("_rate") / MAX_DRAWN_RATE) * MAX_DRAWN_RATE).cast("double"))
     rates = small_or_plain(checkpointed(rates.withColumn("_steps", poisson_steps(drawn))), MAX_BROADCAST_SOURCES)
-    names = [c for c in docs.columns if c not in ("copy", "copies", "rate", "shuffle_key")]
-    rows = docs.select(*(F.col(f"`{c}`") for c in names)).withColumn("_u", uniform(F.lit(seed), F.col("doc_id")))
+    added = ("copy", "copies", "rate", "shuffle_key")
+    rows = packed(docs, "doc_id", "source", without=added).withColumn("u", uniform(F.lit(seed), F.col("doc_id")))
     rows = rows.join(rates, F.coalesce(F.col("source").cast("string"), F.lit("")) == F.col("_source"))
-    copies = F.col("_sure").cast("int") + F.size(F.filter("_steps", lambda c: c <= F.col("_u")))
-    rows = rows.withColumn("copies", copies).drop("_steps").where("copies > 0")
+    copies = F.col("_sure").cast("int") + F.size(F.filter("_steps", lambda c: c <= F.col("u")))
+    rows = rows.select("row", "doc_id", "_rate", copies.alias("copies")).where("copies > 0")
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     key = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy"))
     rows = rows.withColumn("shuffle_key", F.md5(key.cast("binary")))
-    mixed = rows.select(*(F.col(f"`{c}`") for c in names), "copy", "copies", F.col("_rate").alias("rate"), "shuffle_key")
+    mixed = rows.select(*unpacked([c for c in docs.columns if c not in added]), "copy", "copies", F.col("_rate").alias("rate"), "shuffle_key")
     return mixed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")

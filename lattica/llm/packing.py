@@ -8,7 +8,8 @@ the stream up to boundary i at token p(i),
 
     f(i) = cut(i) + length - p(i) + min over j with p(i) - length <= p(j) < p(i) of (f(j) + p(j)),
 
-and the minimum over a moving window is kept by a monotone queue: constant time per boundary.
+and the minimum over a moving window is kept by a monotone queue: constant time per boundary. The last
+window costs what its rest does below.
 
 A stream goes through in runs of bounded tokens; what is left after the last full window of a run
 goes on to the next, so that only a partition's end has a short window. That rest is
@@ -110,20 +111,20 @@ def encoder(path: str) -> WordIds:
     return _encoders[path]
 
 
-def cut_windows(position: np.ndarray, kind: np.ndarray, length: int, sentence_penalty: int = SENTENCE_PENALTY, hard_penalty: int = HARD_PENALTY) -> list[int]:
+def cut_windows(position: np.ndarray, kind: np.ndarray, length: int, sentence_penalty: int = SENTENCE_PENALTY, hard_penalty: int = HARD_PENALTY, rest_cost=lambda size: 0) -> list[int]:
     """Indexes of the boundaries at which windows end, the last boundary included.
 
     ``position``: increasing token positions of all boundaries, each at most ``length`` after the one
     before; ``kind``: DOC, SENTENCE or HARD. The stream starts at 0 and ends at the last position.
+    The last window isn't padded: it costs ``rest_cost`` of its size.
     """
     n = len(position)
     places = position.tolist()
     cost = (np.array([0, sentence_penalty, hard_penalty])[kind] + length - position).tolist()
-    cost[-1] = length - places[-1]
     best, back = [0] * (n + 1), [0] * (n + 1)  # boundary 0 is the start
     queue, key, at = [0], [0], [0]  # boundaries in reach, with rising f(j) + p(j), and their positions
     head = 0
-    for i in range(n):
+    for i in range(n - 1):
         p = places[i]
         while at[head] < p - length:
             head += 1
@@ -138,6 +139,15 @@ def cut_windows(position: np.ndarray, kind: np.ndarray, length: int, sentence_pe
         queue.append(i + 1)
         key.append(own)
         at.append(p)
+    reach, least = n - 1, None
+    while reach >= 0:
+        size = places[-1] - (places[reach - 1] if reach else 0)
+        if size > length:
+            break
+        total = best[reach] + rest_cost(size)
+        if least is None or total < least:
+            least, back[n] = total, reach
+        reach -= 1
     cuts, i = [], n
     while i > 0:
         cuts.append(i - 1)
@@ -168,6 +178,10 @@ def split_rest(size: int, length: int) -> list[int]:
     return [size] if length - size <= PIECE_PENALTY * (len(parts) - 1) else parts
 
 
+def rest_cost(size: int, length: int) -> int:
+    return min(length - size, PIECE_PENALTY * (size.bit_count() - 1))
+
+
 class _Stream:
     """The tokens of a partition that aren't cut yet, and the documents they belong to."""
 
@@ -189,7 +203,7 @@ class _Stream:
         ids = np.concatenate(self.ids)
         sentences = np.concatenate(self.sentence_end)
         position, kind = boundaries(self.size, np.array([d[3] for d in self.docs]), sentences, self.length)
-        ends = [int(position[k]) for k in cut_windows(position, kind, self.length)]
+        ends = [int(position[k]) for k in cut_windows(position, kind, self.length, rest_cost=(lambda size: rest_cost(size, self.length)) if final else lambda size: 0)]
         if final:
             begin = ends[-2] if len(ends) > 1 else 0
             ends[-1:] = [begin + x for x in np.cumsum(split_rest(self.size - begin, self.length)).tolist()]

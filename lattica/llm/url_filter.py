@@ -60,7 +60,7 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
         on_host = (host == F.lit(name)) | host.endswith("." + name)
         rank = F.struct(
             F.lit(len(name) + len(prefix)).alias("length"), F.lit(len(name)).alias("host_length"),
-            F.lit(name + prefix).alias("rule"), F.lit(action != "allow").alias("blocks"), F.lit(action).alias("action"),
+            F.lit(name + prefix).alias("rule"), F.lit(action == "allow").alias("allows"), F.lit(action).alias("action"),
         )
         fits.append(F.when(on_host & path.startswith(prefix), rank))
     best = F.sort_array(F.filter(F.array(*fits), lambda x: x.isNotNull()), asc=False)
