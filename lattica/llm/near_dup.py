@@ -7,12 +7,15 @@ sequence of random choices hits first (optimal densification). Each run of
 ``rows`` bins is a band, and classes with an equal band share a bucket. A bucket
 proposes a star: edges from its centre to its other members, never all pairs.
 
-Every star edge is confirmed on the full sets. A class that isn't linked with the
-centre of one of its buckets remains there: the next rounds give that bucket
-another centre, and from the third round on split it by a further band, until no
-bucket holds two classes whose link is open. So no link is lost but for bands that
-miss: with 32 bands of 5 rows, two sets of similarity 0.85 share none with a
-probability below 1e-7.
+Every star edge is confirmed on the full sets, in turns. First each class tries the
+least centre among its buckets, then the centres of a few others, which settles groups of
+copies at the cost of one edge a class and turn. Then each bucket makes a star around
+a centre chosen by hash, so that a class meets many centres; the centre has then met all
+members and leaves. Buckets whose classes aren't all in one component by then are split by
+pairing their band with others, first with eight, then one more each turn, and make stars again,
+each turn around four times as many centres, until none is left: sets far below the threshold part
+at once, and a turn's edges are no more than its members times its centres. A pair at similarity 0.85 shares 14 of 32 bands of 5 rows on average,
+and none with a probability below 1e-7.
 """
 
 from __future__ import annotations
@@ -20,13 +23,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as T
-from .cluster import checkpointed, connected_components
+from .cluster import checkpointed, connected_components, packed, unpacked
 
 BANDS, ROWS = 32, 5
+#: Turns of one further edge a class, and bands by which open buckets are split, at first and later.
+SINGLE_TURNS, FIRST_SPLIT, NEXT_SPLIT = 2, 8, 1
+#: After the first split each turn has so many times the centres of the one before, as buckets get fewer and smaller.
+MORE_CENTRES = 4
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
@@ -127,6 +134,42 @@ def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
+class _Links:
+    """Confirmed links so far, the edges tried, and the components that the links make."""
+
+    def __init__(self, sets: DataFrame, percent: int):
+        self.sets, self.percent = sets, percent
+        self.tried = self.links = self.labels = None
+
+    def try_edges(self, edges: DataFrame) -> None:
+        edges = edges.where("a <> b").distinct()
+        edges = checkpointed(edges if self.tried is None else edges.join(self.tried, ["a", "b"], "left_anti"))
+        self.tried = edges if self.tried is None else checkpointed(self.tried.union(edges))
+        found = checkpointed(_confirmed(edges, self.sets, self.percent))
+        if self.links is not None and found.isEmpty():
+            return
+        self.links = found if self.links is None else checkpointed(self.links.union(found))
+        self.labels = connected_components(self.links.toDF("src", "dst"))
+
+    def still_open(self, members: DataFrame) -> DataFrame:
+        """Members of the buckets that hold more than one component, with their components."""
+        named = members.join(self.labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+        return self.mixed(checkpointed(named))
+
+    @staticmethod
+    def mixed(named: DataFrame) -> DataFrame:
+        several = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
+        return checkpointed(named.join(several, "bucket").select("bucket", "j", "sid", "component"))
+
+
+def _stars(members: DataFrame, centres: int) -> tuple[DataFrame, DataFrame]:
+    """Edges to try from each bucket's centres, chosen by hash, to its other members; and the members that aren't centres."""
+    order = Window.partitionBy("bucket").orderBy(F.xxhash64("sid", "bucket"), "sid")
+    centre = checkpointed(members.withColumn("place", F.row_number().over(order)).where(F.col("place") <= centres))
+    pairs = members.join(centre.select("bucket", F.col("sid").alias("c"), F.col("component").alias("c_component")), "bucket").where("component <> c_component")
+    return pairs, members.join(centre.select("bucket", "sid"), ["bucket", "sid"], "left_anti")
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Near-duplicate components of ``docs(doc_id, text)``; other columns are not read.
 
@@ -141,43 +184,38 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
     sketched = checkpointed(sketches(docs, shingle, bands, rows))
     filled = sketched.where("n_shingles > 0")
     classes = filled.groupBy("sid").agg(F.min("doc_id").alias("rep"))
-    band = filled.join(classes, "sid").where("doc_id <=> rep").select("sid", F.posexplode("bands").alias("j", "bucket")).distinct()
-    shared = band.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = checkpointed(band.join(shared, "bucket").select("bucket", "j", "sid"))
+    band = filled.join(classes, "sid").where("doc_id <=> rep").select("sid", "bands").dropDuplicates(["sid"])
+    dealt = band.select("sid", F.posexplode("bands").alias("j", "bucket"))
+    shared = dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    members = checkpointed(dealt.join(shared, "bucket").select("bucket", "j", "sid"))
     wanted = checkpointed(members.select("sid").distinct())
     reps = wanted.join(classes, "sid").select("sid", F.col("rep").alias("doc_id"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ids = reps.select(F.col("doc_id").alias("rep")).distinct()
     texts = texts.join(ids, texts.doc_id.eqNullSafe(ids.rep), "left_semi")
     sets = checkpointed(_full_sets(texts, shingle).join(wanted, "sid", "left_semi").dropDuplicates(["sid"]))
-    # one candidate of each class first: the least centre among its buckets
+    graph = _Links(sets, percent)
+    # one candidate of each class first: the least centre among its buckets, then centres of buckets chosen by hash
     centres = members.groupBy("bucket").agg(F.min("sid").alias("b"))
-    first = members.join(centres, "bucket").where("sid <> b").groupBy(F.col("sid").alias("a")).agg(F.min("b").alias("b"))
-    links = checkpointed(_confirmed(first, sets, percent))
-    labels = connected_components(links.toDF("src", "dst"))
-    keys = None
-    turn = 0
-    while True:
-        named = members.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-        open_ = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-        members = checkpointed(named.join(open_, "bucket").select("bucket", "j", "sid", "component"))
+    graph.try_edges(members.join(centres, "bucket").groupBy(F.col("sid").alias("a")).agg(F.min("b").alias("b")))
+    members = graph.still_open(members)
+    for turn in range(SINGLE_TURNS):
         if members.isEmpty():
             break
-        if turn in (2, 4, 6):
-            keys = keys if keys is not None else band.groupBy("sid").agg(F.map_from_entries(F.collect_list(F.struct("j", "bucket"))).alias("keys"))
-            offsets = F.array(*(F.lit(turn * 2 + k) for k in range(1, 4)))
-            split = members.join(keys, "sid").select("sid", "j", "component", "bucket", "keys", F.explode(offsets).alias("next"))
-            split = split.select(F.xxhash64("bucket", "next", F.expr(f"keys[(j + next) % {bands}]")).alias("bucket"), "j", "sid", "component")
-            members = split
-        # the centre of this turn is compared with all others of its bucket, then leaves it
-        centre = members.groupBy("bucket").agg(F.min_by(F.struct("sid", "component"), F.xxhash64("sid", "bucket", F.lit(turn))).alias("c"))
-        paired = members.join(centre, "bucket").where("sid <> c.sid")
-        edges = paired.where("component <> c.component").select(F.greatest("sid", "c.sid").alias("a"), F.least("sid", "c.sid").alias("b")).distinct()
-        members = checkpointed(paired.select("bucket", "j", "sid"))
-        found = _confirmed(edges, sets, percent)
-        links = checkpointed(links.union(found))
-        labels = connected_components(links.toDF("src", "dst"))
-        turn += 1
+        pairs = _stars(members, 1)[0].groupBy("sid").agg(F.min_by("c", F.xxhash64("bucket", "sid", F.lit(turn))).alias("c"))
+        graph.try_edges(pairs.select(F.greatest("sid", "c").alias("a"), F.least("sid", "c").alias("b")))
+        members = graph.still_open(members.drop("component"))
+    steps, split, centres = list(range(1, bands)), FIRST_SPLIT, 1
+    while not members.isEmpty():
+        pairs, rest = _stars(members, centres)
+        graph.try_edges(pairs.select(F.greatest("sid", "c").alias("a"), F.least("sid", "c").alias("b")))
+        members = graph.still_open(rest.select("bucket", "j", "sid"))  # the centres have met all others
+        chosen, steps, split, centres = steps[:split], steps[split:], NEXT_SPLIT, centres * MORE_CENTRES
+        if chosen:
+            parted = members.join(band, "sid").select("bucket", "j", "sid", "component", "bands", F.explode(F.array(*map(F.lit, chosen))).alias("step"))
+            parted = parted.select(F.xxhash64("bucket", "step", F.expr(f"bands[(j + step) % {bands}]")).alias("bucket"), "j", "sid", "component")
+            members = graph.mixed(checkpointed(parted))
+    labels = graph.labels
     named = classes.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     of_class = named.join(least, "component").select("sid", "component_id")
@@ -196,7 +234,8 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """
     found = near_duplicates(docs, **options).where("doc_id IS NOT NULL")
     marks = checkpointed(found.groupBy(F.col("doc_id").alias("__id")).agg(F.bool_or("kept").alias("__kept"), F.count("*").alias("__n")).where("NOT __kept OR __n > 1"))
-    marked = docs.join(marks, F.col("doc_id").cast("long") == F.col("__id"), "left")
-    once = marked.where("__id IS NULL").select(docs["*"])
-    repeated = marked.where("__kept").select(docs["*"]).dropDuplicates(["doc_id", "text"])
-    return once.unionByName(repeated)
+    rows, text = packed(docs, "doc_id"), F.col(f"row.c{docs.columns.index('text')}")
+    marked = rows.join(marks, F.col("doc_id").cast("long") == F.col("__id"), "left")
+    once = marked.where("__id IS NULL").select("row")
+    repeated = marked.where("__kept").withColumn("text", text).dropDuplicates(["doc_id", "text"]).select("row")
+    return once.unionByName(repeated).select(*unpacked(docs.columns))
