@@ -177,3 +177,40 @@ def latex_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     """One ``line`` per row: cells joined by ``&``, missing ones as ``--``, closed by ``\\\\``."""
     cells = [F.coalesce(F.col(c).cast("string"), F.lit("--")) for c in columns]
     return df.select(F.concat(F.concat_ws(" & ", *cells), F.lit(" \\\\")).alias("line"))
+
+
+def conditional_means(df: DataFrame, by: list[str], kind: str, kinds: list[str], value: str) -> DataFrame:
+    """Means of ``value`` for each kind as columns, and the deviation of each with two values or more."""
+    aggs = []
+    for k in kinds:
+        v = F.when(F.col(kind) == k, F.col(value))
+        aggs += [F.avg(v).alias(f"mean_{k}"), F.when(F.count(v) > 1, F.stddev_samp(v)).alias(f"sd_{k}")]
+    return df.groupBy(*by).agg(*aggs)
+
+
+def gaps(df: DataFrame, by: list[str], matching: Column, value: str) -> DataFrame:
+    """Mean of the matching rows less that of the others."""
+    a, b = F.avg(F.when(matching, F.col(value))), F.avg(F.when(~matching, F.col(value)))
+    return df.groupBy(*by).agg(a.alias("matching"), b.alias("cross"), (a - b).alias("gap"))
+
+
+def metric_summary(df: DataFrame, by: list[str], value: str, error: str) -> DataFrame:
+    """Mean, deviation and number of the rows without error, with null keys kept, and the number of errors."""
+    ok = F.col(error).isNull()
+    v = F.when(ok, F.col(value))
+    return df.groupBy(*by).agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.count(v).alias("n"), F.count_if(~ok).alias("n_errors"))
+
+
+def match_by_value(a: DataFrame, b: DataFrame, value: str, tolerance: float = 1e-9) -> DataFrame:
+    """``(a_id, b_id)``: rows of ``a`` with exactly one row of ``b`` of nearly the same value; by buckets twice as wide as the tolerance."""
+    cell = F.floor(F.col(value) / (2 * tolerance))
+    left = a.select(F.col("id").alias("a_id"), F.col(value).alias("va"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
+    right = b.select(F.col("id").alias("b_id"), F.col(value).alias("vb"), cell.alias("cell"))
+    hits = left.join(right, "cell").where(F.abs(F.col("va") - F.col("vb")) < tolerance)
+    return hits.groupBy("a_id").agg(F.count("*").alias("n"), F.min("b_id").alias("b_id")).where("n = 1").drop("n")
+
+
+def on_universe(counts: DataFrame, group: str, size: int) -> DataFrame:
+    """``(group, code, n)`` for codes 0 to ``size - 1``, 0 where there are none."""
+    grid = counts.select(group).distinct().withColumn("code", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
+    return grid.join(counts, [group, "code"], "left").select(group, "code", F.coalesce("n", F.lit(0)).alias("n"))

@@ -1,4 +1,4 @@
 """All queries over the driver's tables."""
 
-from . import agreements, harmonised, neighbourhoods, panels, results  # noqa: F401
+from . import agreements, harmonised, more, neighbourhoods, panels, results  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401
