@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,16 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files and checkpoints that no table refers to any more.
+
+    It does so when the driver's JVM collects garbage, which a job of many small
+    rounds with little driver memory in use may not cause before the disk is full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_or_plain(df: DataFrame, max_rows: int) -> DataFrame:
     """``df``, marked for broadcast only if it has at most ``max_rows`` rows (one count).
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as T
-from .cluster import checkpointed, connected_components, packed, unpacked
+from .cluster import checkpointed, connected_components, packed, release, unpacked
 
 BANDS, ROWS = 32, 5
 #: Turns of one further edge a class, and bands by which open buckets are split, at first and later.
@@ -146,10 +146,12 @@ class _Links:
         edges = checkpointed(edges if self.tried is None else edges.join(self.tried, ["a", "b"], "left_anti"))
         self.tried = edges if self.tried is None else checkpointed(self.tried.union(edges))
         found = checkpointed(_confirmed(edges, self.sets, self.percent))
+        release(self.sets.sparkSession)
         if self.links is not None and found.isEmpty():
             return
         self.links = found if self.links is None else checkpointed(self.links.union(found))
         self.labels = connected_components(self.links.toDF("src", "dst"))
+        release(self.sets.sparkSession)
 
     def still_open(self, members: DataFrame) -> DataFrame:
         """Members of the buckets that hold more than one component, with their components."""
