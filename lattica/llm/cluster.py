@@ -67,6 +67,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         joined = large.join(smallest, "src")
         small = joined.select("src", F.col("least").alias("dst")).union(joined.select(F.col("dst").alias("src"), F.col("least").alias("dst"))).where("src <> dst").distinct()
         current = checkpointed(small)
+        both = least = large = smallest = joined = small = None  # plans that have run hold their shuffle files
+        release(edges.sparkSession)
     roots = current.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct()
     return current.select(F.col("src").alias("node"), F.col("dst").alias("component")).union(roots)
 

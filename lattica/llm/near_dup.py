@@ -156,7 +156,9 @@ class _Links:
     def still_open(self, members: DataFrame) -> DataFrame:
         """Members of the buckets that hold more than one component, with their components."""
         named = members.join(self.labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-        return self.mixed(checkpointed(named))
+        named = checkpointed(named)
+        release(self.sets.sparkSession)
+        return self.mixed(named)
 
     @staticmethod
     def mixed(named: DataFrame) -> DataFrame:
@@ -186,7 +188,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
     sketched = checkpointed(sketches(docs, shingle, bands, rows))
     filled = sketched.where("n_shingles > 0")
     classes = filled.groupBy("sid").agg(F.min("doc_id").alias("rep"))
-    band = filled.join(classes, "sid").where("doc_id <=> rep").select("sid", "bands").dropDuplicates(["sid"])
+    band = checkpointed(filled.join(classes, "sid").where("doc_id <=> rep").select("sid", "bands").dropDuplicates(["sid"]))
     dealt = band.select("sid", F.posexplode("bands").alias("j", "bucket"))
     shared = dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = checkpointed(dealt.join(shared, "bucket").select("bucket", "j", "sid"))
@@ -216,7 +218,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
         if chosen:
             parted = members.join(band, "sid").select("bucket", "j", "sid", "component", "bands", F.explode(F.array(*map(F.lit, chosen))).alias("step"))
             parted = parted.select(F.xxhash64("bucket", "step", F.expr(f"bands[(j + step) % {bands}]")).alias("bucket"), "j", "sid", "component")
-            members = graph.mixed(checkpointed(parted))
+            parted = checkpointed(parted)
+            release(sets.sparkSession)
+            members = graph.mixed(parted)
     labels = graph.labels
     named = classes.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
