@@ -7,14 +7,20 @@ sequence of random choices hits first (optimal densification). Each run of
 ``rows`` bins is a band, and classes with an equal band share a bucket. A bucket
 proposes a star: edges from its centre to its other members, never all pairs.
 
-Every star edge is confirmed on the full sets, in turns. First each class tries the
-least centre among its buckets, then the centres of a few others, which settles groups of
-copies at the cost of one edge a class and turn. Then each bucket makes a star around
-a centre chosen by hash, so that a class meets many centres; the centre has then met all
-members and leaves. Buckets whose classes aren't all in one component by then are split by
-pairing their band with others, first with eight, then one more each turn, and make stars again,
-each turn around four times as many centres, until none is left: sets far below the threshold part
-at once, and a turn's edges are no more than its members times its centres. A pair at similarity 0.85 shares 14 of 32 bands of 5 rows on average,
+Every star edge is confirmed on the full sets. The crowd of a class is the total size of its
+buckets: in a group of near copies the classes nearest to all others have the largest, so
+they are the centres. Each class first tries its hub, the most crowded centre of its buckets, then
+the next few while a bucket holds more than one component, at one edge a class and turn.
+The rest of a star needs no pair of its members but those that can still be linked: with the
+differences ``x - c`` and ``c - x`` of a class x from its hub c, two members of a star differ by at least
+
+* the shingles outside of c that no other member has, of either, and
+* the difference in number of the other shingles outside of c, and of those of c they lack, cell by cell of a small histogram.
+
+Pairs of different components whose bound leaves a link possible (a range join over a binned
+count) are decided exactly, from the differences. Pairs that share a bucket but no hub then go the
+same way around the most crowded class of their bucket. So every pair of classes that shares a bucket is linked
+through others, ruled out by the bound, or compared. A pair at similarity 0.85 shares 14 of 32 bands of 5 rows on average,
 and none with a probability below 1e-7.
 """
 
@@ -23,17 +29,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
 from .cluster import checkpointed, connected_components, packed, release, unpacked
 
 BANDS, ROWS = 32, 5
-#: Turns of one further edge a class, and bands by which open buckets are split, at first and later.
-SINGLE_TURNS, FIRST_SPLIT, NEXT_SPLIT = 2, 8, 1
-#: After the first split each turn has so many times the centres of the one before, as buckets get fewer and smaller.
-MORE_CENTRES = 4
+#: Turns of one further edge a class; lanes over which the members of a star, and the inner side of its pairs, are dealt.
+SINGLE_TURNS, LANES, PAIR_LANES = 2, 64, 8
+#: Cells of the histogram of lacking shingles, and bins for the range of counts that a centre's size allows.
+CELLS, BINS = 16, 8
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
@@ -124,28 +130,74 @@ def _full_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(full, "sid long, shingles array<long>")
 
 
-def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``edges(a, b)`` whose full sets have 100 * intersection >= percent * union."""
-    left, right = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("sid").alias("b"), F.col("shingles").alias("y"))
-    both = edges.join(left, "a").join(right, "b")
-    small, large = F.least(F.size("x"), F.size("y")), F.greatest(F.size("x"), F.size("y"))
-    both = both.where(100 * small >= percent * large)  # else the sizes alone rule it out
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b")
+def _compared(edges: DataFrame, sets: DataFrame) -> DataFrame:
+    """``edges(a, b)`` with the sizes ``na``, ``nb`` of the full sets, and ``extra``: a - b, ``gone``: b - a.
+
+    A ``b`` may have any number of edges: they are dealt over lanes, and its set goes to each lane that needs it.
+    """
+    dealt = edges.withColumn("lane", F.pmod(F.xxhash64("a"), F.lit(LANES)))
+    left = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("x"))
+    right = dealt.select("b", "lane").distinct().join(sets.select(F.col("sid").alias("b"), F.col("shingles").alias("y")), "b")
+    both = dealt.join(left, "a").join(right, ["b", "lane"])
+    return both.select("a", "b", F.size("x").cast("long").alias("na"), F.size("y").cast("long").alias("nb"), F.array_except("x", "y").alias("extra"), F.array_except("y", "x").alias("gone"))
+
+
+def _close(apart, sizes, percent: int):
+    """Whether sets of ``sizes`` in total that differ by ``apart`` have 100 * intersection >= percent * union."""
+    return 100 * (sizes - apart) >= percent * (sizes + apart)
+
+
+def _possible(stars: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b, c)`` of members of a star that may be linked, by the bound, though no links join them yet.
+
+    ``stars(a, b, na, extra, gone, part)`` are compared edges from members ``a`` to the
+    centre ``b``. Pairs with an equal ``part`` are left out. Of two members in different components
+    one isn't in the centre's component; it looks for the other in the bins that its bound allows.
+    """
+    of = labels.select("node", "component")
+    named = stars.select("a", "b", "na", "nb", "part", "extra", "gone")
+    named = named.join(of.toDF("a", "ca"), "a", "left").join(of.toDF("b", "cb"), "b", "left").withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b"))
+    several = named.groupBy("b").agg(F.min("ca").alias("low"), F.max("ca").alias("high")).where("low <> high").select("b")
+    named = checkpointed(named.join(several, "b"))
+    single = named.select("a", "b", F.explode("extra").alias("h")).groupBy("b", "h").agg(F.min("a").alias("a"), F.count("*").alias("n")).where("n = 1")
+    own = single.groupBy("a", "b").agg(F.count("*").alias("own"))
+    cells = F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda j: F.size(F.filter("gone", lambda h: F.pmod(h, F.lit(CELLS)) == j)))
+    bound = named.join(own, ["a", "b"], "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    width = F.greatest(F.lit(1), F.floor(F.col("nb") * (100 - percent) / (percent * BINS)))
+    bound = bound.select("a", "b", "na", "part", "ca", "own", (F.size("extra") - F.col("own")).alias("other"), cells.alias("cells"), (F.col("ca") != F.col("cb")).alias("outer"), width.alias("width"), (F.size("extra") - F.col("own") + F.size("gone")).alias("rest"))
+    bound = checkpointed(bound)
+    # a link to a needs own + |rest - rest of the other| <= na * (100 - percent) / percent, as no partner is larger than 100 / percent times a
+    reach = F.floor(F.col("na") * (100 - percent) / percent) - F.col("own")
+    bins = F.sequence(F.floor(F.greatest(F.lit(0), F.col("rest") - F.col("reach")) / F.col("width")), F.floor((F.col("rest") + F.col("reach")) / F.col("width")))
+    outer = bound.where("outer").withColumn("reach", reach).where("reach >= 0").withColumn("bin", F.explode(bins)).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(PAIR_LANES - 1))))
+    outer = outer.select(F.col("b").alias("c"), "bin", "lane", F.struct("a", "na", "part", "ca", "own", "other", "cells").alias("x"))
+    inner = bound.select(F.col("b").alias("c"), F.floor(F.col("rest") / F.col("width")).alias("bin"), F.pmod(F.xxhash64("a"), F.lit(PAIR_LANES)).cast("int").alias("lane"), "outer", F.struct("a", "na", "part", "ca", "own", "other", "cells").alias("y"))
+    x, y = (lambda name: F.col(f"x.{name}")), (lambda name: F.col(f"y.{name}"))
+    sizes, least = x("na") + y("na"), x("own") + y("own") + F.abs(x("other") - y("other"))
+    lacking = F.aggregate(F.zip_with(x("cells"), y("cells"), lambda m, n: F.abs(m - n)), F.lit(0), lambda total, v: total + v)
+    once = ~F.col("outer") | (x("a") < y("a"))
+    pairs = outer.join(inner, ["c", "bin", "lane"]).where((x("ca") != y("ca")) & (x("part") != y("part")) & once & _close(least, sizes, percent) & _close(least + lacking, sizes, percent))
+    return pairs.select(x("a").alias("a"), y("a").alias("b"), "c")
+
+
+def _linked_members(pairs: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs(a, b, c)`` that are links, decided exactly from both members' differences from the centre c."""
+    left = stars.select("a", F.col("b").alias("c"), F.struct("na", "extra", "gone").alias("x"))
+    right = stars.select(F.col("a").alias("b"), F.col("b").alias("c"), F.struct("na", "extra", "gone").alias("y"))
+    shared = F.size(F.array_intersect("x.extra", "y.extra")) + F.size(F.array_intersect("x.gone", "y.gone"))
+    apart = F.size("x.extra") + F.size("x.gone") + F.size("y.extra") + F.size("y.gone") - 2 * shared
+    return pairs.join(left, ["a", "c"]).join(right, ["b", "c"]).where(_close(apart, F.col("x.na") + F.col("y.na"), percent)).select("a", "b")
 
 
 class _Links:
-    """Confirmed links so far, the edges tried, and the components that the links make."""
+    """Confirmed links so far and the components that they make."""
 
     def __init__(self, sets: DataFrame, percent: int):
         self.sets, self.percent = sets, percent
-        self.tried = self.links = self.labels = None
+        self.links = self.labels = None
 
-    def try_edges(self, edges: DataFrame) -> None:
-        edges = edges.where("a <> b").distinct()
-        edges = checkpointed(edges if self.tried is None else edges.join(self.tried, ["a", "b"], "left_anti"))
-        self.tried = edges if self.tried is None else checkpointed(self.tried.union(edges))
-        found = checkpointed(_confirmed(edges, self.sets, self.percent))
+    def add(self, found: DataFrame) -> None:
+        found = checkpointed(found.select("a", "b"))
         release(self.sets.sparkSession)
         if self.links is not None and found.isEmpty():
             return
@@ -153,25 +205,26 @@ class _Links:
         self.labels = connected_components(self.links.toDF("src", "dst"))
         release(self.sets.sparkSession)
 
-    def still_open(self, members: DataFrame) -> DataFrame:
-        """Members of the buckets that hold more than one component, with their components."""
-        named = members.join(self.labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-        named = checkpointed(named)
+    def try_edges(self, edges: DataFrame) -> DataFrame:
+        """Compares ``edges(a, b)``, keeps those that are links and returns all, compared."""
+        compared = checkpointed(_compared(edges.where("a <> b").distinct(), self.sets))
+        self.add(compared.where(_close(F.size("extra") + F.size("gone"), F.col("na") + F.col("nb"), self.percent)))
+        return compared
+
+    def settle(self, stars: DataFrame) -> None:
+        """Finds the links between members of stars that their centres haven't joined."""
+        pairs = checkpointed(_possible(stars, self.labels, self.percent))
         release(self.sets.sparkSession)
-        return self.mixed(named)
+        if not pairs.isEmpty():
+            self.add(_linked_members(pairs, stars, self.percent))
 
-    @staticmethod
-    def mixed(named: DataFrame) -> DataFrame:
+    def still_open(self, members: DataFrame) -> DataFrame:
+        """Members of the buckets that hold more than one component, with their components."""
+        named = members.drop("component").join(self.labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
         several = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-        return checkpointed(named.join(several, "bucket").select("bucket", "j", "sid", "component"))
-
-
-def _stars(members: DataFrame, centres: int) -> tuple[DataFrame, DataFrame]:
-    """Edges to try from each bucket's centres, chosen by hash, to its other members; and the members that aren't centres."""
-    order = Window.partitionBy("bucket").orderBy(F.xxhash64("sid", "bucket"), "sid")
-    centre = checkpointed(members.withColumn("place", F.row_number().over(order)).where(F.col("place") <= centres))
-    pairs = members.join(centre.select("bucket", F.col("sid").alias("c"), F.col("component").alias("c_component")), "bucket").where("component <> c_component")
-    return pairs, members.join(centre.select("bucket", "sid"), ["bucket", "sid"], "left_anti")
+        named = checkpointed(named.join(several, "bucket"))
+        release(self.sets.sparkSession)
+        return named
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -188,39 +241,35 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
     sketched = checkpointed(sketches(docs, shingle, bands, rows))
     filled = sketched.where("n_shingles > 0")
     classes = filled.groupBy("sid").agg(F.min("doc_id").alias("rep"))
-    band = checkpointed(filled.join(classes, "sid").where("doc_id <=> rep").select("sid", "bands").dropDuplicates(["sid"]))
-    dealt = band.select("sid", F.posexplode("bands").alias("j", "bucket"))
-    shared = dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = checkpointed(dealt.join(shared, "bucket").select("bucket", "j", "sid"))
-    wanted = checkpointed(members.select("sid").distinct())
+    band = filled.join(classes, "sid").where("doc_id <=> rep").select("sid", "bands").dropDuplicates(["sid"])
+    dealt = checkpointed(band.select("sid", F.explode("bands").alias("bucket")))
+    shared = dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = checkpointed(dealt.join(shared, "bucket"))
+    crowds = members.groupBy("sid").agg(F.sum("n").alias("crowd"))
+    members = checkpointed(members.join(crowds, "sid").select("bucket", "sid", F.struct("crowd", "sid").alias("rank")))
+    wanted = checkpointed(crowds.select("sid"))
     reps = wanted.join(classes, "sid").select("sid", F.col("rep").alias("doc_id"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ids = reps.select(F.col("doc_id").alias("rep")).distinct()
     texts = texts.join(ids, texts.doc_id.eqNullSafe(ids.rep), "left_semi")
     sets = checkpointed(_full_sets(texts, shingle).join(wanted, "sid", "left_semi").dropDuplicates(["sid"]))
     graph = _Links(sets, percent)
-    # one candidate of each class first: the least centre among its buckets, then centres of buckets chosen by hash
-    centres = members.groupBy("bucket").agg(F.min("sid").alias("b"))
-    graph.try_edges(members.join(centres, "bucket").groupBy(F.col("sid").alias("a")).agg(F.min("b").alias("b")))
+    tops = members.groupBy("bucket").agg(F.max("rank").alias("top"))
+    hubs = checkpointed(members.join(tops, "bucket").groupBy("sid").agg(F.max("top").alias("hub")).select("sid", "hub.sid").toDF("sid", "hub"))
+    stars = graph.try_edges(hubs.toDF("a", "b"))
+    members = graph.still_open(members.join(hubs, "sid"))
+    for _ in range(SINGLE_TURNS):  # the next centres, while they may still join components
+        tops = checkpointed(members.join(tops, "bucket").where(F.col("rank") < F.col("top")).groupBy("bucket").agg(F.max("rank").alias("top")))
+        tries = members.join(tops, "bucket").groupBy("sid").agg(F.max("top").alias("top"))
+        graph.try_edges(tries.select(F.col("sid").alias("a"), F.col("top.sid").alias("b")))
+        members = graph.still_open(members)
+    graph.settle(stars.withColumn("part", F.col("a")))
+    # now the pairs that share a bucket but no hub
     members = graph.still_open(members)
-    for turn in range(SINGLE_TURNS):
-        if members.isEmpty():
-            break
-        pairs = _stars(members, 1)[0].groupBy("sid").agg(F.min_by("c", F.xxhash64("bucket", "sid", F.lit(turn))).alias("c"))
-        graph.try_edges(pairs.select(F.greatest("sid", "c").alias("a"), F.least("sid", "c").alias("b")))
-        members = graph.still_open(members.drop("component"))
-    steps, split, centres = list(range(1, bands)), FIRST_SPLIT, 1
-    while not members.isEmpty():
-        pairs, rest = _stars(members, centres)
-        graph.try_edges(pairs.select(F.greatest("sid", "c").alias("a"), F.least("sid", "c").alias("b")))
-        members = graph.still_open(rest.select("bucket", "j", "sid"))  # the centres have met all others
-        chosen, steps, split, centres = steps[:split], steps[split:], NEXT_SPLIT, centres * MORE_CENTRES
-        if chosen:
-            parted = members.join(band, "sid").select("bucket", "j", "sid", "component", "bands", F.explode(F.array(*map(F.lit, chosen))).alias("step"))
-            parted = parted.select(F.xxhash64("bucket", "step", F.expr(f"bands[(j + step) % {bands}]")).alias("bucket"), "j", "sid", "component")
-            parted = checkpointed(parted)
-            release(sets.sparkSession)
-            members = graph.mixed(parted)
+    several = members.groupBy("bucket").agg(F.min("hub").alias("low"), F.max("hub").alias("high"), F.max("rank").alias("top")).where("low <> high")
+    around = checkpointed(members.join(several, "bucket").select(F.col("sid").alias("a"), F.col("top.sid").alias("b"), F.col("hub").alias("part")).distinct())
+    stars = graph.try_edges(around.select("a", "b")).join(around, ["a", "b"])
+    graph.settle(stars)
     labels = graph.labels
     named = classes.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
