@@ -275,3 +275,41 @@ def test_repeated_rows_count_once(spark):
     docs = spark.createDataFrame([(1, text), (1, text), (2, text), (1, "else. other. third one.")], "doc_id long, text string")
     found = sentence_dedup.drop_repeated_spans(docs).collect()
     assert sorted((r.doc_id, r.n_removed) for r in found) == [(1, 0), (1, 0), (1, 0), (2, 3)]
+
+
+def test_repeated_passages_of_any_sentences_are_found(spark):
+    rng = random.Random(12)
+    fresh = lambda n: [f"{rng.choice(WORDS)}{rng.randrange(10**9)}" for _ in range(n)]
+    one, two = fresh(60), [*fresh(30)[:-1], "ends.", *fresh(30)]
+    han = "".join(chr(0x4E00 + rng.randrange(20000)) for _ in range(60))
+    rows, planted = [], {}
+    for i in range(0, 60, 2):
+        passage = (one, two)[i // 2 % 2]
+        cut = rng.randrange(0, 60 - 49)
+        own = passage if i < 4 else passage[cut : cut + 49]
+        rows.append((i, " ".join([*fresh(rng.randrange(0, 30)), *own, *fresh(rng.randrange(0, 30))])))
+        rows.append((i + 1, " ".join(fresh(120))))
+        planted[i] = own
+    rows += [(100, "".join(chr(0x4E00 + rng.randrange(20000)) for _ in range(30)) + han), (101, han[5:55] + "\u6f22\u3002" + "x y z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r for r in sentence_dedup.drop_repeated_spans(docs).collect()}
+    texts = dict(rows)
+    for i in (0, 2, 100, *range(1, 60, 2)):
+        assert (found[i].n_removed, found[i].text) == (0, texts[i])
+    for i in range(4, 60, 2):
+        left, whole, own = found[i].text.split(), texts[i].split(), set(planted[i])
+        assert found[i].n_removed > 0 and 25 <= len(whole) - len(left)
+        assert [w for w in left if w not in own] == [w for w in whole if w not in own]
+    assert found[101].n_removed > 0 and found[101].text.endswith("x y z") and len(texts[101]) - len(found[101].text) >= 25
+
+
+def test_no_repeat_of_a_run_and_window_survives(spark):
+    rng = random.Random(13)
+    pool = [f"w{k}" for k in range(3000)]
+    rows = [(i, " ".join(pool[a : a + rng.randrange(20, 200)])) for i in range(80) for a in [rng.randrange(2900)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen, n = set(), sentence_dedup.RUN + sentence_dedup.WINDOW - 1
+    for r in sorted(sentence_dedup.drop_repeated_spans(docs).collect(), key=lambda r: r.doc_id):
+        left, whole = r.text.split(), rows[r.doc_id][1].split()
+        assert not any(tuple(left[k : k + n]) in seen for k in range(len(left) - n + 1))
+        seen |= {tuple(whole[k : k + n]) for k in range(len(whole) - n + 1)}
