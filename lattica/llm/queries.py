@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, exact_dedup, interpolation, mixing, near_dup, packing, pairwise_quality, quality_rules, sentence_dedup, url_filter
+from .cluster import stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,7 +50,8 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    # stored with the texts: what is selected below would leave them out of the copies and their shuffle
+    mixed = stored(mixing.mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
     return mixed.select("doc_id", "source", "copy", "copies", F.round("rate", 9).alias("rate"), "shuffle_key")
 
 

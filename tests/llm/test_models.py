@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lattica.llm import interpolation, mixing, packing, pairwise_quality, sentence_dedup
+from lattica.llm import cluster, interpolation, mixing, packing, pairwise_quality, queries, sentence_dedup
 
 WORDS = "the of and to in house river stone walk quick".split()
 
@@ -313,3 +313,13 @@ def test_no_repeat_of_a_run_and_window_survives(spark):
         left, whole = r.text.split(), rows[r.doc_id][1].split()
         assert not any(tuple(left[k : k + n]) in seen for k in range(len(left) - n + 1))
         seen |= {tuple(whole[k : k + n]) for k in range(len(whole) - n + 1)}
+
+
+def test_mix_query_moves_whole_documents(spark, tmp_path, monkeypatch):
+    rows = [(i, f"text {i} " * (i % 7 + 1), "ab"[i % 3 > 0]) for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    made = []
+    monkeypatch.setattr(queries, "stored", lambda df: made.append(cluster.stored(df)) or made[-1], raising=False)
+    found = queries.op6_mix_sources(spark, str(tmp_path)).collect()
+    assert len(made) == 1
+    assert sorted((r.shuffle_key, r.text) for r in made[0].collect()) == sorted((r.shuffle_key, rows[r.doc_id][1]) for r in found)
