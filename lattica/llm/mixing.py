@@ -3,7 +3,7 @@
 A source with target weight ``w`` (normalised over the sources present) is to give ``w`` of the
 output's characters. Its repetition rate is ``w * total / own``; each document is repeated as often as a
 Poisson variable of that mean, drawn by inverting its distribution at a number
-between 0 and 1 that a seed and the doc_id fix. The copies are dealt out by hash and sorted
+between 0 and 1 that a seed and the doc_id fix; a large rate is the sum of independent draws of bounded rates. The copies are dealt out by hash and sorted
 by it, which shuffles them globally.
 """
 
@@ -17,7 +17,7 @@ from .cluster import checkpointed, packed, small_or_plain, unpacked
 SEED = 20240607
 #: Up to so many sources, their table (of rates alone) is broadcast; beyond, the join is shuffled.
 MAX_BROADCAST_SOURCES = 10_000
-#: Documents of a larger rate get its whole multiples of this for certain, and draw the rest.
+#: A larger rate is drawn as one Poisson variable of this rate for each whole multiple, and one of the rest.
 MAX_DRAWN_RATE = 32
 
 
@@ -68,13 +68,15 @@ def mix_sources(docs: DataFrame, *, weights: dict[str, float] | None = None, def
     are drawn alike. Empty table: no rows. Columns of the same names are replaced.
     """
     rates = source_rates(docs, weights, default_weight, size)
-    drawn = F.col("_rate") - F.col("_sure")
-    rates = rates.select(F.col("source").alias("_source"), F.col("rate").alias("_rate")).withColumn("_sure", (F.floor(F.col("_rate") / MAX_DRAWN_RATE) * MAX_DRAWN_RATE).cast("double"))
-    rates = small_or_plain(checkpointed(rates.withColumn("_steps", poisson_steps(drawn))), MAX_BROADCAST_SOURCES)
+    drawn = F.col("_rate") - F.col("_whole") * MAX_DRAWN_RATE
+    rates = rates.select(F.col("source").alias("_source"), F.col("rate").alias("_rate")).withColumn("_whole", F.floor(F.col("_rate") / MAX_DRAWN_RATE).cast("int"))
+    rates = small_or_plain(checkpointed(rates.withColumn("_steps", poisson_steps(drawn)).withColumn("_more", F.when(F.col("_whole") > 0, poisson_steps(F.lit(float(MAX_DRAWN_RATE)))))), MAX_BROADCAST_SOURCES)
     added = ("copy", "copies", "rate", "shuffle_key")
     rows = packed(docs, "doc_id", "source", without=added).withColumn("u", uniform(F.lit(seed), F.col("doc_id")))
     rows = rows.join(rates, F.coalesce(F.col("source").cast("string"), F.lit("")) == F.col("_source"))
-    copies = F.col("_sure").cast("int") + F.size(F.filter("_steps", lambda c: c <= F.col("u")))
+    us = F.transform(F.sequence(F.lit(1), F.col("_whole")), lambda k: uniform(F.lit(seed), F.col("doc_id"), F.lit("draw"), k))
+    more = F.aggregate(us, F.lit(0), lambda n, u: n + F.size(F.filter("_more", lambda c: c <= u)))
+    copies = F.when(F.col("_whole") > 0, more).otherwise(0) + F.size(F.filter("_steps", lambda c: c <= F.col("u")))
     rows = rows.select("row", "doc_id", "_rate", copies.alias("copies")).where("copies > 0")
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     key = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy"))

@@ -127,6 +127,7 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || c
 FROM c GROUP BY conv_id
 """
 
+#: Holds for rates below MAX_DRAWN_RATE; above, documents draw their whole rate and this SQL only the rest of it.
 _OP6 = rf"""
 WITH d AS (SELECT doc_id, source, coalesce(source, '') AS s, length(coalesce(text, '')) AS c FROM documents),
 per AS (SELECT s, sum(c)::DOUBLE AS chars FROM d GROUP BY s),

@@ -323,3 +323,11 @@ def test_mix_query_moves_whole_documents(spark, tmp_path, monkeypatch):
     found = queries.op6_mix_sources(spark, str(tmp_path)).collect()
     assert len(made) == 1
     assert sorted((r.shuffle_key, r.text) for r in made[0].collect()) == sorted((r.shuffle_key, rows[r.doc_id][1]) for r in found)
+
+
+@pytest.mark.parametrize("rate", [31.5, 40.0, 64.0])
+def test_mixing_counts_of_large_rates_are_poisson(spark, rate):
+    docs = spark.createDataFrame([(i, "abc", "s") for i in range(2000)], "doc_id long, text string, source string")
+    counts = Counter(r.doc_id for r in mixing.mix_sources(docs, size=rate).select("doc_id").collect())
+    n = np.array([counts[i] for i in range(2000)])
+    assert abs(n.mean() / rate - 1) < 0.02 and abs(n.var() / rate - 1) < 0.15
