@@ -79,27 +79,59 @@ def _attribute(tag: Column, name: str) -> Column:
     return F.trim(F.regexp_replace(found, r"""^["']|["']$""", ""))
 
 
+#: Character references in link targets; ``&amp;`` comes last, so that nothing is decoded twice.
+_REFERENCES = [
+    (r"&quot;|&#0*34;|&#[xX]0*22;", '"'), (r"&apos;|&#0*39;|&#[xX]0*27;", "'"), (r"&lt;|&#0*60;|&#[xX]0*3[cC];", "<"), (r"&gt;|&#0*62;|&#[xX]0*3[eE];", ">"),
+    (r"&sol;|&#0*47;|&#[xX]0*2[fF];", "/"), (r"&colon;|&#0*58;|&#[xX]0*3[aA];", ":"), (r"&quest;|&#0*63;|&#[xX]0*3[fF];", "?"), (r"&equals;|&#0*61;|&#[xX]0*3[dD];", "="),
+    (r"&amp;|&#0*38;|&#[xX]0*26;", "&"),
+]
+
+
+def _decoded(text: Column) -> Column:
+    for pattern, char in _REFERENCES:
+        text = F.regexp_replace(text, pattern, char)
+    return text
+
+
+def _without_dots(path: Column) -> Column:
+    """``path``, which starts with ``/``, without its ``.`` and ``..`` segments; one at the end leaves a ``/``."""
+    parts = F.split(path, "/")
+    start = F.slice(parts, 1, 1)
+    step = lambda out, p: F.when(p == "..", F.when(F.size(out) > 1, F.slice(out, 1, F.size(out) - 1)).otherwise(out)).when(p == ".", out).otherwise(F.concat(out, F.array(p)))
+    kept = F.aggregate(F.slice(parts, 2, F.size(parts)), start, step)
+    last = F.element_at(parts, -1)
+    whole = F.concat(F.array_join(kept, "/"), F.when(last.isin(".", ".."), F.lit("/")).otherwise(F.lit("")))
+    return F.when(path.rlike(r"(^|/)\.{1,2}(/|$)"), whole).otherwise(path)
+
+
 def _absolute(target: Column, url: Column) -> Column:
-    """``target`` as read on the page ``url``: absolute, ``//host``, ``/path`` or relative to the folder."""
+    """``target`` as read on the page ``url``: absolute, ``//host``, ``/path``, ``?query``, ``#fragment`` or relative to the folder."""
     scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
     base = F.concat(scheme, F.lit("://"), host_of(url))
     folder = F.regexp_replace(path_of(url), r"[^/]*$", "")
     folder = F.when(folder == "", F.lit("/")).otherwise(folder)
+    page = F.when(path_of(url) == "", F.lit("/")).otherwise(path_of(url))
+    way, rest = F.regexp_extract(target, r"(?s)^([^?#]*)", 1), F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    host = F.regexp_extract(target, r"(?s)^((?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*)", 1)
+    whole = F.concat(host, _without_dots(F.regexp_extract(target, r"(?s)^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*([^?#]*)", 1)), F.regexp_extract(target, r"(?s)^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^?#]*(.*)$", 1))
     return (
         F.when(target == "", F.lit(None))
-        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
-        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
-        .when(target.startswith("/"), F.concat(base, target))
-        .otherwise(F.concat(base, folder, target))
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), whole)
+        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), whole))
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+        .when(target.startswith("#"), F.concat(F.regexp_extract(url, r"(?s)^([^#]*)", 1), target))
+        .when(target.startswith("?"), F.concat(base, page, target))
+        .when(target.startswith("/"), F.concat(base, _without_dots(way), rest))
+        .otherwise(F.concat(base, _without_dots(F.concat(folder, way)), rest))
     )
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
     """``(src, dst)`` urls of all canonical links and refresh redirects in ``pages(url, html)``."""
     html = F.col("html").cast("string")
-    links = F.transform(F.filter(_tags(html, "link"), lambda t: F.lower(_attribute(t, "rel")).rlike(r"(^|\s)canonical(\s|$)")), lambda t: _attribute(t, "href"))
+    links = F.transform(F.filter(_tags(html, "link"), lambda t: F.lower(_attribute(t, "rel")).rlike(r"(^|\s)canonical(\s|$)")), lambda t: _decoded(_attribute(t, "href")))
     refresh = F.filter(_tags(html, "meta"), lambda t: F.lower(_attribute(t, "http-equiv")) == "refresh")
-    redirects = F.transform(refresh, lambda t: F.regexp_extract(_attribute(t, "content"), r"""(?is)url\s*=\s*["']?([^"']*)""", 1))
+    redirects = F.transform(refresh, lambda t: F.regexp_extract(_decoded(_attribute(t, "content")), r"""(?is)url\s*=\s*["']?([^"']*)""", 1))
     linked = pages.where(F.lower(html).contains("canonical") | F.lower(html).contains("refresh")).select("url", F.explode(F.concat(links, redirects)).alias("target"))
     return linked.select(F.col("url").alias("src"), _absolute(F.col("target"), F.col("url")).alias("dst"))
 

@@ -120,3 +120,17 @@ def test_digest_of_a_long_text(spark):
     row = quality_rules.quality_verdicts(df).first()
     assert (row.n_words, row.n_repeat_words) == (300_000, 300_000)
     assert hashlib.sha256(text.encode()).hexdigest() == df.select(F.sha2("text", 256)).first()[0]
+
+
+def test_link_targets_are_decoded_and_resolved(spark):
+    link = lambda t: f'<link rel="canonical" href="{t}">'
+    page = "http://h.info/a/b/page?x=1"
+    targets = {
+        "http://i.info/x?a=1&amp;b=2": "http://i.info/x?a=1&b=2", "http:&#47;&#x2F;i.info/x?a=1&#38;b=2": "http://i.info/x?a=1&b=2", "?p=&quot;&#39;&lt;&gt;": "http://h.info/a/b/page?p=\"'<>",
+        "?a=&amp;lt;": "http://h.info/a/b/page?a=&lt;", "?q=2": "http://h.info/a/b/page?q=2", "#top": "http://h.info/a/b/page?x=1#top", "./c": "http://h.info/a/b/c", "../c?r=../s": "http://h.info/a/c?r=../s",
+        "../../../c": "http://h.info/c", "..": "http://h.info/a/", "/x/./y/../z": "http://h.info/x/z", "//j.info/d/../e": "http://j.info/e", "http://j.info/./f?g#h": "http://j.info/f?g#h", "http://j.info": "http://j.info",
+    }
+    pages = spark.createDataFrame([(i, page, link(t)) for i, t in enumerate(targets)], "page_id long, url string, html string")
+    assert sorted(r.dst for r in url_filter.alias_edges(pages).collect()) == sorted(targets.values())
+    rows = [("http://d.info/dir/page?z", link("?a=1&amp;b=2")), ("http://d.info/dir/page?a=1&b=2", link("../x/./y")), ("http://d.info/x/y", link("http://bad.net/")), ("http://k.info/1", "<meta http-equiv=refresh content='0; url=http://d.info/dir/page?a=1&amp;b=2'>")]
+    assert [judged(spark, rows)[k][3:] for k in range(4)] == [("block", "alias")] * 4
