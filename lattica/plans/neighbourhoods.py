@@ -218,6 +218,13 @@ def mmd_l1(spark, d):
     return vectors.mmd_l1(s.where("id % 40 = 0"), s.where("id % 40 <> 0")).select(F.round("mmd", 9).alias("mmd"))
 
 
+# mmd_l1 above is a sample that its SQL states; this is the whole of two sections, all components, all pairs
+@query()
+def mmd_l1_sections(spark, d):
+    c = cells(spark, d)
+    return vectors.mmd_l1(c.where("section_id = 0"), c.where("section_id = 1")).select(F.round("mmd", 9).alias("mmd"))
+
+
 @query("""WITH e AS (SELECT vec_id, unnest(range(1, 5)) AS i, unnest(embedding[1:4])::DOUBLE AS x, unnest(embedding[5:8])::DOUBLE AS y FROM embeddings),
 c AS (SELECT vec_id, i, x - avg(x) OVER (PARTITION BY i) AS x, y - avg(y) OVER (PARTITION BY i) AS y FROM e),
 g AS (SELECT a.i, b.i AS j, sum(a.x * b.y) AS xy, sum(a.x * b.x) AS xx, sum(a.y * b.y) AS yy FROM c a JOIN c b USING (vec_id) GROUP BY 1, 2)

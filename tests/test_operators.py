@@ -164,3 +164,16 @@ def test_vector_ties_do_not_follow_order(spark):
     mean = vectors.inverse_simpson(edges, v.select("id", "batch")).agg(F.avg("simpson")).first()[0]
     assert mean > 1.7  # neighbours are drawn from both batches, though batches are stored apart
     assert 1.0 <= vectors.ilisi(edges, v.select("id", "batch"), 15).agg(F.avg("ilisi")).first()[0] <= 2.0
+
+
+def test_mmd_of_whole_sections_equals_brute_force(spark, tmp_path):
+    import numpy as np
+    from lattica import plans
+
+    v = np.random.default_rng(4).normal(size=(75, 64)) / 40
+    v[1::3] += 0.01
+    spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    kernel = lambda x, y: np.exp(-(np.abs(x[:, None] - y[None]).sum(2) ** 2) / 2).mean()
+    a, b = v[0::3], v[1::3]
+    want = kernel(a, a) + kernel(b, b) - 2 * kernel(a, b)
+    assert abs(plans.QUERIES["mmd_l1_sections"](spark, str(tmp_path)).first().mmd - want) < 2e-9
