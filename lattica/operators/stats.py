@@ -62,7 +62,7 @@ def student_quantile(df: int, p: float = 0.975) -> float:
     return low
 
 
-#: Quantiles of 0.975 for 1 to 30 degrees of freedom; a rule fills the table.
+#: Quantiles of 0.975 for 1 to 30 degrees of freedom; a rule fills the table. Larger ones are computed as they occur.
 T_975 = [round(student_quantile(k), 9) for k in range(1, 31)]
 
 
@@ -73,7 +73,12 @@ def half_width(sd: Column, n: Column, kind: str = "ci95") -> Column:
     sem = sd / F.sqrt(n.cast("double"))
     if kind == "sem":
         return F.when(n < 2, 0.0).otherwise(sem)
-    t = F.element_at(F.array(*map(F.lit, T_975)), F.greatest(F.lit(1), F.least((n - 1).cast("int"), F.lit(len(T_975)))))
+
+    def quantiles(dof: pd.Series) -> pd.Series:
+        own = {k: T_975[int(k) - 1] if 1 <= k <= len(T_975) else student_quantile(int(k)) if k > 0 else math.nan for k in dof.dropna().unique()}
+        return dof.map(own).astype(float)
+
+    t = F.pandas_udf(quantiles, "double")((n - 1).cast("long"))
     return F.when(n < 2, 0.0).otherwise(t * sem)
 
 

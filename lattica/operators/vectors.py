@@ -100,8 +100,8 @@ def centroids(vectors: DataFrame, label: str, width: int) -> DataFrame:
 
 
 def nearest_centroid(vectors: DataFrame, centres: DataFrame, label: str) -> DataFrame:
-    """``(id, label, d2)``: the nearest centre of each vector, ties to the least label. The centres are a codebook and are broadcast."""
-    near = vectors.select("id", "vector").join(F.broadcast(centres.limit(100_000)), F.lit(True)).withColumn("d2", squared_distance(F.col("vector"), F.col("centroid")))
+    """``(id, label, d2)``: the nearest centre of each vector, ties to the least label. All centres count; Spark broadcasts them where they are few."""
+    near = vectors.select("id", "vector").join(centres, F.lit(True)).withColumn("d2", squared_distance(F.col("vector"), F.col("centroid")))
     return near.groupBy("id").agg(F.min(F.struct("d2", label)).alias("b")).select("id", F.col(f"b.{label}").alias(label), F.col("b.d2").alias("d2"))
 
 

@@ -44,7 +44,7 @@ def scan_results(spark: SparkSession, paths: str | list[str], schema: T.StructTy
         rows = rows.where(keep)
     if latest:
         newest = latest_run(rows.select("variant", "timestamp").distinct(), "variant", "timestamp")
-        rows = rows.join(F.broadcast(newest.limit(100_000)), ["variant", "timestamp"], "left_semi")
+        rows = rows.join(newest, ["variant", "timestamp"], "left_semi")
     seed = F.coalesce("path_seed", "seed") if "seed" in schema.names else F.col("path_seed")
     return rows.withColumn("seed", seed).drop("path_seed")
 

@@ -177,3 +177,16 @@ def test_mmd_of_whole_sections_equals_brute_force(spark, tmp_path):
     a, b = v[0::3], v[1::3]
     want = kernel(a, a) + kernel(b, b) - 2 * kernel(a, b)
     assert abs(plans.QUERIES["mmd_l1_sections"](spark, str(tmp_path)).first().mmd - want) < 2e-9
+
+
+def test_intervals_of_more_than_31_values_and_many_centres(spark):
+    from pyspark.sql import functions as F
+    from lattica.operators import stats, vectors
+
+    df = spark.createDataFrame([(n,) for n in (1, 7, 31, 40, 101)], "n long")
+    found = {r.n: r.t for r in df.select("n", stats.half_width(F.sqrt("n"), F.col("n")).alias("t")).collect()}
+    want = {1: 0.0, 7: 2.446911851, 31: 2.042272456, 40: 2.022690920, 101: 1.983971519}
+    assert all(abs(found[n] - t) < 1e-6 for n, t in want.items())
+    centres = spark.range(100_500).select(F.col("id").alias("label"), F.array(F.col("id").cast("double")).alias("centroid"))
+    points = spark.createDataFrame([(k, [float(k)]) for k in (0, 50_000, 100_499)], "id long, vector array<double>")
+    assert {r.id: (r.label, r.d2) for r in vectors.nearest_centroid(points, centres, "label").collect()} == {k: (k, 0.0) for k in (0, 50_000, 100_499)}
