@@ -1,31 +1,64 @@
-"""What jobs here ask of the cluster: a shared checkpoint folder, bounded broadcasts, components."""
+"""What jobs here ask of the cluster: tables in its shared folder, bounded broadcasts, components."""
 
 from __future__ import annotations
 
-import gc
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpointed, shared_folder
+from ..session import shared_folder
 
+#: A key with more than this share of the rows is frequent; there are at most so many keys, and these may be broadcast.
+FREQUENT_KEYS = 1000
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, for whole texts that are read more than once."""
-    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+@contextlib.contextmanager
+def _shuffles_freed(spark: SparkSession):
+    """Within it, a query's shuffle files go when the query ends; what it wrote stays."""
+    before = spark.conf.get(_FREE_SHUFFLES, None)
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_FREE_SHUFFLES)
+        else:
+            spark.conf.set(_FREE_SHUFFLES, before)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files and checkpoints that no table refers to any more.
+class Scratch:
+    """Tables of one call in the shared folder. A step that has been read for the last time is dropped.
 
-    It does so when the driver's JVM collects garbage, which a job of many small
-    rounds with little driver memory in use may not cause before the disk is full.
+    Unlike a checkpoint, a table here is removed by its own path and not when some garbage is collected,
+    and the shuffle files behind it go as soon as it is written.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self._paths = spark, {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df`` as a stored table."""
+        path = f"{shared_folder(self.spark)}/tables/{uuid.uuid4().hex}"
+        with _shuffles_freed(self.spark):
+            df.write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self._paths[id(table)] = (path, table)
+        return table
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        """Removes tables that :meth:`keep` returned; nothing may be read from them any more."""
+        for table in tables:
+            if table is not None and id(table) in self._paths:
+                path, _ = self._paths.pop(id(table))
+                self.spark.range(0).write.mode("overwrite").parquet(path)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, which stays."""
+    return Scratch(df.sparkSession).keep(df)
 
 
 def small_or_plain(df: DataFrame, max_rows: int) -> DataFrame:
@@ -36,11 +69,14 @@ def small_or_plain(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def _settled(edges: DataFrame) -> bool:
-    """Whether ``edges(src, dst)`` are stars: each src has one dst, which is no src itself."""
-    ends = edges.select(F.col("src").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(edges.select("dst", F.lit(0), F.lit(1)))
-    nodes = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
-    return nodes.where("out > 1 OR out = 1 AND into = 1").isEmpty()
+def join_dealt(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined with ``keyed(key, n, ...)``, one row a key, where ``n`` is the number of rows with it and ``total`` that of all.
+
+    Frequent keys, of which there are fewer than ``FREQUENT_KEYS``, are broadcast, so that their rows stay where they are.
+    """
+    bound = max(100, total // FREQUENT_KEYS)
+    often, seldom = F.broadcast(keyed.where(F.col("n") > bound).drop("n")), keyed.where(F.col("n") <= bound).drop("n")
+    return rows.join(often, key).unionByName(rows.join(often.select(key), key, "left_anti").join(seldom, key))
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -48,29 +84,32 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
 
     ``edges(src, dst)`` may repeat, point either way and hold loops; null ends are
     left out. Returns ``(node, component)`` with the smallest node as component.
-    Each step is two shuffles whose sums are combined before they move, so that a
-    hub costs no more than its edges; the graph shrinks to stars in a logarithmic
-    number of rounds. Rounds are cut with checkpoints. No edges: no rows.
+    In each step the least neighbour of every node comes from a combined aggregate; hubs with more than a
+    ``1 / FREQUENT_KEYS`` share of the edges get it by broadcast, so no task holds all edges of a hub.
+    The graph shrinks to stars in a logarithmic number of rounds, each stored. No edges: no rows.
     """
+    scratch = Scratch(edges.sparkSession)
     edges = edges.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").select("src", "dst")
-    current = checkpointed(edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
-    rounds = 0
-    while not _settled(current):
-        rounds += 1
-        if rounds > max_rounds:
-            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    current = scratch.keep(edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
+    for _ in range(max_rounds):
+        # each row points from a larger to a smaller node; stars: no node has two ways down, or one way down and one into it
+        ends = current.select(F.col("src").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(current.select("dst", F.lit(0), F.lit(1)))
+        nodes = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+        n, unsettled = nodes.agg(F.sum("out"), F.count(F.when(F.expr("out > 1 OR out = 1 AND into = 1"), 1))).first()
+        if not unsettled:
+            roots = current.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct()
+            return current.select(F.col("src").alias("node"), F.col("dst").alias("component")).union(roots)
         both = current.union(current.select("dst", "src"))
-        least = both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("least"))
-        large = both.join(least, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("least").alias("dst")).distinct()
-        # now each row points from a larger to a smaller node
-        smallest = large.groupBy("src").agg(F.min("dst").alias("least"))
-        joined = large.join(smallest, "src")
+        least = both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("least"), F.count("*").alias("n"))
+        large = join_dealt(both, least, "src", 2 * n).where("dst > src").select(F.col("dst").alias("src"), F.col("least").alias("dst")).distinct()
+        large = scratch.keep(large)
+        scratch.drop(current)
+        smallest = large.groupBy("src").agg(F.min("dst").alias("least"), F.count("*").alias("n"))
+        joined = join_dealt(large, smallest, "src", n)
         small = joined.select("src", F.col("least").alias("dst")).union(joined.select(F.col("dst").alias("src"), F.col("least").alias("dst"))).where("src <> dst").distinct()
-        current = checkpointed(small)
-        both = least = large = smallest = joined = small = None  # plans that have run hold their shuffle files
-        release(edges.sparkSession)
-    roots = current.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct()
-    return current.select(F.col("src").alias("node"), F.col("dst").alias("component")).union(roots)
+        current = scratch.keep(small)
+        scratch.drop(large)
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def packed(docs: DataFrame, *needed: str, without: tuple[str, ...] = ()) -> DataFrame:

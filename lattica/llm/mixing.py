@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import checkpointed, packed, small_or_plain, unpacked
+from ..session import checkpointed
+from .cluster import packed, small_or_plain, unpacked
 
 SEED = 20240607
 #: Up to so many sources, their table (of rates alone) is broadcast; beyond, the join is shuffled.

@@ -9,19 +9,20 @@ proposes a star: edges from its centre to its other members, never all pairs.
 
 Every star edge is confirmed on the full sets. The crowd of a class is the total size of its
 buckets: in a group of near copies the classes nearest to all others have the largest, so
-they are the centres. Each class first tries its hub, the most crowded centre of its buckets, then
-the next few while a bucket holds more than one component, at one edge a class and turn.
-The rest of a star needs no pair of its members but those that can still be linked: with the
-differences ``x - c`` and ``c - x`` of a class x from its hub c, two members of a star differ by at least
-
-* the shingles outside of c that no other member has, of either, and
-* the difference in number of the other shingles outside of c, and of those of c they lack, cell by cell of a small histogram.
-
-Pairs of different components whose bound leaves a link possible (a range join over a binned
-count) are decided exactly, from the differences. Pairs that share a bucket but no hub then go the
-same way around the most crowded class of their bucket. So every pair of classes that shares a bucket is linked
-through others, ruled out by the bound, or compared. A pair at similarity 0.85 shares 14 of 32 bands of 5 rows on average,
-and none with a probability below 1e-7.
+they are the centres.
+
+1. Each class tries its hub, the most crowded centre of its buckets: one edge a class.
+2. Stars with members outside their centre's component get all their edges compared.
+3. A link between two members that their centre hasn't joined shows in their differences from it. Each member
+   outside the centre's component looks for such partners among those that the triangle inequality of
+   the set difference leaves, narrowed by the shingles that no other open class has and by parities of cells, a lower
+   bound; then the differences decide exactly. What comes out is not pairs but, for each
+   component, the least and the greatest other component that it is linked to. Merge, and repeat until there is none.
+
+So every pair of classes that shares a bucket is linked through others or proven not to be linked, and each round gives
+at most one row a component. The time of step 3 can still grow with the square of the number of members that lie
+just beyond the threshold from their centre. A pair at similarity 0.85 shares 12 of 32 bands of 6 rows on average,
+and none with a probability of 3e-7 (at 0.8: 6e-5).
 """
 
 from __future__ import annotations
@@ -29,17 +30,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as T
-from .cluster import checkpointed, connected_components, packed, release, unpacked
+from .cluster import Scratch, connected_components, join_dealt, packed, unpacked
 
-BANDS, ROWS = 32, 5
-#: Turns of one further edge a class; lanes over which the members of a star, and the inner side of its pairs, are dealt.
-SINGLE_TURNS, LANES, PAIR_LANES = 2, 64, 8
-#: Cells of the histogram of lacking shingles, and bins for the range of counts that a centre's size allows.
-CELLS, BINS = 16, 8
+BANDS, ROWS = 32, 6
+#: Lanes over which the edges of a centre are dealt, and, at most, the members of a star.
+LANES, MOST_LANES = 64, 32
+#: Cells of the parity sketch, and bins for the range of differences that a centre's size allows.
+PARITY, BINS = 512, 4
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
@@ -112,34 +113,43 @@ def sketches(docs: DataFrame, shingle: int, bands: int = BANDS, rows: int = ROWS
 
 
 def _full_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """``(sid, shingles, p0 ... p7)``: the sorted set of each text, and of each of its ``PARITY`` cells whether an odd number of hashes falls into it."""
+    names = [f"p{k}" for k in range(PARITY // 64)]
+
     def full(batches):
         for batch in batches:
-            found = list(_sets(batch, shingle))
-            at = 0
-            while at < len(found):  # bounded batches, as sets are larger than their texts
-                upto, total = at, 0
-                while upto < len(found) and (upto == at or total < 1_000_000):
-                    total += len(found[upto])
-                    upto += 1
-                part = found[at:upto]
-                offsets = np.concatenate([[0], np.cumsum([len(s) for s in part])]).astype(np.int32)
-                values = pa.array(np.concatenate(part).view(np.int64), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in part], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values)], ["sid", "shingles"])
-                at = upto
+            part, total = [], 0
+            for s in _sets(batch, shingle):
+                part.append(s)
+                total += len(s)
+                if total > 500_000:  # bounded batches, as sets are larger than their texts
+                    yield _sets_batch(part, names)
+                    part, total = [], 0
+            if part:
+                yield _sets_batch(part, names)
+
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(full, "sid long, shingles array<long>, " + ", ".join(f"{p} long" for p in names))
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(full, "sid long, shingles array<long>")
 
+def _sets_batch(sets: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+    values = np.concatenate(sets)
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    odd = np.bincount(owner * PARITY + (values % np.uint64(PARITY)).astype(np.int64), minlength=len(sets) * PARITY).astype(np.uint8) & 1
+    cells = np.packbits(odd.reshape(len(sets), PARITY), axis=1).view(np.int64)
+    shingles = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values.view(np.int64), pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), shingles, *(pa.array(np.ascontiguousarray(cells[:, k])) for k in range(len(names)))], ["sid", "shingles", *names])
 
-def _compared(edges: DataFrame, sets: DataFrame) -> DataFrame:
-    """``edges(a, b)`` with the sizes ``na``, ``nb`` of the full sets, and ``extra``: a - b, ``gone``: b - a.
+
+def _pairs_of_sets(edges: DataFrame, sets: DataFrame) -> DataFrame:
+    """``edges(a, b)`` with the full sets ``x`` of a and ``y`` of b.
 
     A ``b`` may have any number of edges: they are dealt over lanes, and its set goes to each lane that needs it.
     """
     dealt = edges.withColumn("lane", F.pmod(F.xxhash64("a"), F.lit(LANES)))
     left = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("x"))
     right = dealt.select("b", "lane").distinct().join(sets.select(F.col("sid").alias("b"), F.col("shingles").alias("y")), "b")
-    both = dealt.join(left, "a").join(right, ["b", "lane"])
-    return both.select("a", "b", F.size("x").cast("long").alias("na"), F.size("y").cast("long").alias("nb"), F.array_except("x", "y").alias("extra"), F.array_except("y", "x").alias("gone"))
+    return dealt.join(left, "a").join(right, ["b", "lane"])
 
 
 def _close(apart, sizes, percent: int):
@@ -147,84 +157,81 @@ def _close(apart, sizes, percent: int):
     return 100 * (sizes - apart) >= percent * (sizes + apart)
 
 
-def _possible(stars: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``(a, b, c)`` of members of a star that may be linked, by the bound, though no links join them yet.
+def _named(rows: DataFrame, labels: DataFrame, node: str, component: str) -> DataFrame:
+    """``rows`` with the component of a node; nodes without links are their own."""
+    return rows.join(labels.select(F.col("node").alias(node), F.col("component").alias(component)), node, "left").withColumn(component, F.coalesce(component, node))
+
 
-    ``stars(a, b, na, extra, gone, part)`` are compared edges from members ``a`` to the
-    centre ``b``. Pairs with an equal ``part`` are left out. Of two members in different components
-    one isn't in the centre's component; it looks for the other in the bins that its bound allows.
+def _partners(stars: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """``(component, low, high)``: the least and the greatest other component that a member of a star is linked to.
+
+    ``stars(a, c, na, nc, own, rest, lanes, extra, gone, p0 ...)`` are members a of the stars of centres c, with their differences from c.
+    Of two members in different components one isn't in the centre's; it looks for partners in the bins that its bound allows.
     """
-    of = labels.select("node", "component")
-    named = stars.select("a", "b", "na", "nb", "part", "extra", "gone")
-    named = named.join(of.toDF("a", "ca"), "a", "left").join(of.toDF("b", "cb"), "b", "left").withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b"))
-    several = named.groupBy("b").agg(F.min("ca").alias("low"), F.max("ca").alias("high")).where("low <> high").select("b")
-    named = checkpointed(named.join(several, "b"))
-    single = named.select("a", "b", F.explode("extra").alias("h")).groupBy("b", "h").agg(F.min("a").alias("a"), F.count("*").alias("n")).where("n = 1")
-    own = single.groupBy("a", "b").agg(F.count("*").alias("own"))
-    cells = F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda j: F.size(F.filter("gone", lambda h: F.pmod(h, F.lit(CELLS)) == j)))
-    bound = named.join(own, ["a", "b"], "left").withColumn("own", F.coalesce("own", F.lit(0)))
-    width = F.greatest(F.lit(1), F.floor(F.col("nb") * (100 - percent) / (percent * BINS)))
-    bound = bound.select("a", "b", "na", "part", "ca", "own", (F.size("extra") - F.col("own")).alias("other"), cells.alias("cells"), (F.col("ca") != F.col("cb")).alias("outer"), width.alias("width"), (F.size("extra") - F.col("own") + F.size("gone")).alias("rest"))
-    bound = checkpointed(bound)
-    # a link to a needs own + |rest - rest of the other| <= na * (100 - percent) / percent, as no partner is larger than 100 / percent times a
-    reach = F.floor(F.col("na") * (100 - percent) / percent) - F.col("own")
+    named = _named(_named(stars, labels, "a", "ca"), labels, "c", "cc").withColumn("outer", F.col("ca") != F.col("cc"))
+    # a link to a needs own + |rest - rest of the other| <= reach, as no partner is larger than 100 / percent times a
+    named = named.withColumn("width", F.greatest(F.lit(1), F.floor(F.col("nc") * (100 - percent) / (percent * BINS)))).withColumn("reach", F.floor(F.col("na") * (100 - percent) / percent) - F.col("own"))
+    fields = F.struct("a", "ca", "na", "own", "rest", "extra", "gone", *(f"p{k}" for k in range(PARITY // 64)))
     bins = F.sequence(F.floor(F.greatest(F.lit(0), F.col("rest") - F.col("reach")) / F.col("width")), F.floor((F.col("rest") + F.col("reach")) / F.col("width")))
-    outer = bound.where("outer").withColumn("reach", reach).where("reach >= 0").withColumn("bin", F.explode(bins)).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(PAIR_LANES - 1))))
-    outer = outer.select(F.col("b").alias("c"), "bin", "lane", F.struct("a", "na", "part", "ca", "own", "other", "cells").alias("x"))
-    inner = bound.select(F.col("b").alias("c"), F.floor(F.col("rest") / F.col("width")).alias("bin"), F.pmod(F.xxhash64("a"), F.lit(PAIR_LANES)).cast("int").alias("lane"), "outer", F.struct("a", "na", "part", "ca", "own", "other", "cells").alias("y"))
+    lanes = F.sequence(F.lit(0), F.col("lanes") - 1)
+    looking = named.where("outer AND reach >= 0").select("c", F.explode(bins).alias("bin"), lanes.alias("lanes"), fields.alias("x")).select("c", "bin", F.explode("lanes").alias("lane"), "x")
+    there = named.select("c", F.floor(F.col("rest") / F.col("width")).alias("bin"), F.pmod(F.xxhash64("a"), F.col("lanes")).cast("int").alias("lane"), "outer", fields.alias("y"))
     x, y = (lambda name: F.col(f"x.{name}")), (lambda name: F.col(f"y.{name}"))
-    sizes, least = x("na") + y("na"), x("own") + y("own") + F.abs(x("other") - y("other"))
-    lacking = F.aggregate(F.zip_with(x("cells"), y("cells"), lambda m, n: F.abs(m - n)), F.lit(0), lambda total, v: total + v)
-    once = ~F.col("outer") | (x("a") < y("a"))
-    pairs = outer.join(inner, ["c", "bin", "lane"]).where((x("ca") != y("ca")) & (x("part") != y("part")) & once & _close(least, sizes, percent) & _close(least + lacking, sizes, percent))
-    return pairs.select(x("a").alias("a"), y("a").alias("b"), "c")
-
-
-def _linked_members(pairs: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs(a, b, c)`` that are links, decided exactly from both members' differences from the centre c."""
-    left = stars.select("a", F.col("b").alias("c"), F.struct("na", "extra", "gone").alias("x"))
-    right = stars.select(F.col("a").alias("b"), F.col("b").alias("c"), F.struct("na", "extra", "gone").alias("y"))
+    sizes = x("na") + y("na")
+    least = x("own") + y("own") + F.abs(x("rest") - y("rest"))
+    odd = sum((F.bit_count(x(f"p{k}").bitwiseXOR(y(f"p{k}"))) for k in range(1, PARITY // 64)), F.bit_count(x("p0").bitwiseXOR(y("p0"))))
     shared = F.size(F.array_intersect("x.extra", "y.extra")) + F.size(F.array_intersect("x.gone", "y.gone"))
     apart = F.size("x.extra") + F.size("x.gone") + F.size("y.extra") + F.size("y.gone") - 2 * shared
-    return pairs.join(left, ["a", "c"]).join(right, ["b", "c"]).where(_close(apart, F.col("x.na") + F.col("y.na"), percent)).select("a", "b")
-
-
-class _Links:
-    """Confirmed links so far and the components that they make."""
-
-    def __init__(self, sets: DataFrame, percent: int):
-        self.sets, self.percent = sets, percent
-        self.links = self.labels = None
-
-    def add(self, found: DataFrame) -> None:
-        found = checkpointed(found.select("a", "b"))
-        release(self.sets.sparkSession)
-        if self.links is not None and found.isEmpty():
-            return
-        self.links = found if self.links is None else checkpointed(self.links.union(found))
-        self.labels = connected_components(self.links.toDF("src", "dst"))
-        release(self.sets.sparkSession)
-
-    def try_edges(self, edges: DataFrame) -> DataFrame:
-        """Compares ``edges(a, b)``, keeps those that are links and returns all, compared."""
-        compared = checkpointed(_compared(edges.where("a <> b").distinct(), self.sets))
-        self.add(compared.where(_close(F.size("extra") + F.size("gone"), F.col("na") + F.col("nb"), self.percent)))
-        return compared
-
-    def settle(self, stars: DataFrame) -> None:
-        """Finds the links between members of stars that their centres haven't joined."""
-        pairs = checkpointed(_possible(stars, self.labels, self.percent))
-        release(self.sets.sparkSession)
-        if not pairs.isEmpty():
-            self.add(_linked_members(pairs, stars, self.percent))
-
-    def still_open(self, members: DataFrame) -> DataFrame:
-        """Members of the buckets that hold more than one component, with their components."""
-        named = members.drop("component").join(self.labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-        several = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-        named = checkpointed(named.join(several, "bucket"))
-        release(self.sets.sparkSession)
-        return named
+    once = ~F.col("outer") | (x("a") < y("a"))
+    found = looking.join(there, ["c", "bin", "lane"]).where((x("ca") != y("ca")) & once & _close(least, sizes, percent) & _close(odd, sizes, percent) & _close(apart, sizes, percent))
+    return found.groupBy(x("ca").alias("component")).agg(F.min(y("ca")).alias("low"), F.max(y("ca")).alias("high"))
+
+
+def _merged(scratch: Scratch, labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels(node, component)`` after ``edges(src, dst)`` between components."""
+    joined = scratch.keep(connected_components(edges))
+    of = joined.select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    moved = labels.join(of, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+    merged = scratch.keep(moved.union(joined.join(labels.select("node"), "node", "left_anti").select("node", "component")))
+    scratch.drop(joined, labels)
+    return merged
+
+
+def _linked(scratch: Scratch, sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """``(node, component)`` of all linked sets, given ``members(sid, centre, hub)`` of the buckets."""
+    first = members.select(F.col("sid").alias("a"), F.col("hub").alias("b")).where("a <> b").distinct()
+    sizes = F.size("x") + F.size("y")
+    same = F.size(F.array_intersect("x", "y"))
+    links = _pairs_of_sets(first, sets).where(_close(sizes - 2 * same, sizes, percent)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    labels = scratch.keep(connected_components(links))
+
+    stars = scratch.keep(members.select(F.col("sid").alias("a"), F.col("centre").alias("c")).where("a <> c").distinct())
+    apart = _named(_named(stars, labels, "a", "ca"), labels, "c", "cc").groupBy("c").agg(F.count("*").alias("n"), F.bool_or(F.col("ca") != F.col("cc")).alias("open"))
+    apart = scratch.keep(apart.where("open").withColumn("lanes", F.least(F.lit(MOST_LANES), F.ceil(F.col("n") / 256)).cast("int")).select("c", "n", "lanes"))
+    total = apart.agg(F.sum("n")).first()[0]
+    if not total:
+        scratch.drop(stars, apart)
+        return labels
+    opened = scratch.keep(join_dealt(stars, apart, "c", stars.count()))
+    scratch.drop(stars, apart)
+    nodes = opened.select(F.col("a").alias("sid")).union(opened.select("c")).distinct()
+    shown = scratch.keep(sets.join(nodes, "sid"))
+    once = shown.select("sid", F.explode("shingles").alias("h")).groupBy("h").agg(F.count("*").alias("n"), F.min("sid").alias("a")).where("n = 1")
+    own = once.groupBy("a").agg(F.count("*").alias("own"))
+    pairs = _pairs_of_sets(opened.select("a", F.col("c").alias("b"), "lanes"), shown)
+    pairs = pairs.select("a", F.col("b").alias("c"), "lanes", F.size("x").alias("na"), F.size("y").alias("nc"), F.array_except("x", "y").alias("extra"), F.array_except("y", "x").alias("gone"))
+    pairs = pairs.join(own, "a", "left").withColumn("own", F.coalesce("own", F.lit(0))).withColumn("rest", F.size("extra") + F.size("gone") - F.col("own"))
+    differing = scratch.keep(pairs.join(shown.drop("shingles").withColumnRenamed("sid", "a"), "a"))
+    scratch.drop(opened, shown)
+    centres = _named(_named(differing.where(_close(F.col("rest") + F.col("own"), F.col("na") + F.col("nc"), percent)), labels, "a", "src"), labels, "c", "dst")
+    labels = _merged(scratch, labels, centres.select("src", "dst"))
+    while True:
+        partners = scratch.keep(_partners(differing, labels, percent))
+        if partners.isEmpty():
+            scratch.drop(partners, differing)
+            return labels
+        labels = _merged(scratch, labels, partners.select(F.col("component").alias("src"), F.explode(F.array("low", "high")).alias("dst")))
+        scratch.drop(partners)
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -234,50 +241,42 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
     component_id (smallest doc_id that links reach, itself included), kept.
     Links: ``100 * intersection >= percent * union`` of the word-shingle sets.
     Null and empty texts and texts without words have an empty set and no links.
+    Texts of any length are taken whole; the set of one text must fit a task.
     Repeated rows are linked as equal texts are, and all of them have the same
     values. A null doc_id takes part like any other but is never a component_id,
     unless it is alone. Empty table: no rows.
     """
-    sketched = checkpointed(sketches(docs, shingle, bands, rows))
+    scratch = Scratch(docs.sparkSession)
+    sketched = scratch.keep(sketches(docs, shingle, bands, rows))
+    total = sketched.count()
     filled = sketched.where("n_shingles > 0")
-    classes = filled.groupBy("sid").agg(F.min("doc_id").alias("rep"))
-    band = filled.join(classes, "sid").where("doc_id <=> rep").select("sid", "bands").dropDuplicates(["sid"])
-    dealt = checkpointed(band.select("sid", F.explode("bands").alias("bucket")))
+    classes = scratch.keep(filled.groupBy("sid").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep")))
+    reps = classes.select(F.col("sid").alias("_sid"), "rep")
+    one = filled.join(reps, (F.col("sid") == F.col("_sid")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("sid", "bands").dropDuplicates(["sid"])
+    dealt = scratch.keep(one.select("sid", F.explode("bands").alias("bucket")))
+    everything = dealt.count()
     shared = dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = checkpointed(dealt.join(shared, "bucket"))
-    crowds = members.groupBy("sid").agg(F.sum("n").alias("crowd"))
-    members = checkpointed(members.join(crowds, "sid").select("bucket", "sid", F.struct("crowd", "sid").alias("rank")))
-    wanted = checkpointed(crowds.select("sid"))
-    reps = wanted.join(classes, "sid").select("sid", F.col("rep").alias("doc_id"))
+    sizes = shared.withColumn("size", F.col("n"))
+    own = Window.partitionBy("sid")  # a class has no more rows than there are bands
+    ranked = scratch.keep(join_dealt(dealt, sizes, "bucket", everything).withColumn("rank", F.struct(F.sum("size").over(own).alias("crowd"), "sid")))
+    scratch.drop(dealt)
+    tops = ranked.groupBy("bucket").agg(F.count("*").alias("n"), F.max("rank").alias("top"))
+    members = scratch.keep(join_dealt(ranked, tops, "bucket", everything).select("sid", F.col("top.sid").alias("centre"), F.max("top").over(own)["sid"].alias("hub")).distinct())
+    scratch.drop(ranked)
+    wanted = members.select("sid").distinct()
+    ids = wanted.join(classes, "sid").select("rep").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ids = reps.select(F.col("doc_id").alias("rep")).distinct()
     texts = texts.join(ids, texts.doc_id.eqNullSafe(ids.rep), "left_semi")
-    sets = checkpointed(_full_sets(texts, shingle).join(wanted, "sid", "left_semi").dropDuplicates(["sid"]))
-    graph = _Links(sets, percent)
-    tops = members.groupBy("bucket").agg(F.max("rank").alias("top"))
-    hubs = checkpointed(members.join(tops, "bucket").groupBy("sid").agg(F.max("top").alias("hub")).select("sid", "hub.sid").toDF("sid", "hub"))
-    stars = graph.try_edges(hubs.toDF("a", "b"))
-    members = graph.still_open(members.join(hubs, "sid"))
-    for _ in range(SINGLE_TURNS):  # the next centres, while they may still join components
-        tops = checkpointed(members.join(tops, "bucket").where(F.col("rank") < F.col("top")).groupBy("bucket").agg(F.max("rank").alias("top")))
-        tries = members.join(tops, "bucket").groupBy("sid").agg(F.max("top").alias("top"))
-        graph.try_edges(tries.select(F.col("sid").alias("a"), F.col("top.sid").alias("b")))
-        members = graph.still_open(members)
-    graph.settle(stars.withColumn("part", F.col("a")))
-    # now the pairs that share a bucket but no hub
-    members = graph.still_open(members)
-    several = members.groupBy("bucket").agg(F.min("hub").alias("low"), F.max("hub").alias("high"), F.max("rank").alias("top")).where("low <> high")
-    around = checkpointed(members.join(several, "bucket").select(F.col("sid").alias("a"), F.col("top.sid").alias("b"), F.col("hub").alias("part")).distinct())
-    stars = graph.try_edges(around.select("a", "b")).join(around, ["a", "b"])
-    graph.settle(stars)
-    labels = graph.labels
-    named = classes.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_class = named.join(least, "component").select("sid", "component_id")
-    found = sketched.select("doc_id", "n_shingles", "sid").join(of_class, "sid", "left")
-    alone = F.col("n_shingles") == 0
-    component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
-    return found.select("doc_id", "n_shingles", "sid", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    sets = scratch.keep(_full_sets(texts, shingle).join(wanted, "sid", "left_semi").dropDuplicates(["sid"]))
+    labels = _linked(scratch, sets, members, percent)
+    scratch.drop(sets, members)
+    named = _named(classes, labels, "sid", "component")
+    least = named.groupBy("component").agg(F.count("*").alias("n"), F.min("rep").alias("component_id"))
+    of_class = scratch.keep(join_dealt(named, least, "component", total).select("sid", "n", "component_id"))
+    scratch.drop(classes, labels)
+    alone = sketched.where("n_shingles = 0").withColumn("component_id", F.col("doc_id")).drop("bands")
+    found = join_dealt(filled.drop("bands"), of_class, "sid", total).unionByName(alone)
+    return found.select("doc_id", "n_shingles", "sid", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
@@ -288,7 +287,7 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     so do all documents without words.
     """
     found = near_duplicates(docs, **options).where("doc_id IS NOT NULL")
-    marks = checkpointed(found.groupBy(F.col("doc_id").alias("__id")).agg(F.bool_or("kept").alias("__kept"), F.count("*").alias("__n")).where("NOT __kept OR __n > 1"))
+    marks = Scratch(docs.sparkSession).keep(found.groupBy(F.col("doc_id").alias("__id")).agg(F.bool_or("kept").alias("__kept"), F.count("*").alias("__n")).where("NOT __kept OR __n > 1"))
     rows, text = packed(docs, "doc_id"), F.col(f"row.c{docs.columns.index('text')}")
     marked = rows.join(marks, F.col("doc_id").cast("long") == F.col("__id"), "left")
     once = marked.where("__id IS NULL").select("row")

@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import checkpointed, connected_components
+from ..session import checkpointed
+from .cluster import connected_components
 from .text import LOWER, UPPER
 
 #: (action, host, path)
