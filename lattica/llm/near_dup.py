@@ -148,8 +148,8 @@ def _pairs_of_sets(edges: DataFrame, sets: DataFrame) -> DataFrame:
     """
     dealt = edges.withColumn("lane", F.pmod(F.xxhash64("a"), F.lit(LANES)))
     left = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("x"))
-    right = dealt.select("b", "lane").distinct().join(sets.select(F.col("sid").alias("b"), F.col("shingles").alias("y")), "b")
-    return dealt.join(left, "a").join(right, ["b", "lane"])
+    right = dealt.select("b", "lane").distinct().hint("merge").join(sets.select(F.col("sid").alias("b"), F.col("shingles").alias("y")), "b")
+    return dealt.hint("merge").join(left, "a").join(right.hint("merge"), ["b", "lane"])
 
 
 def _close(apart, sizes, percent: int):
@@ -215,7 +215,7 @@ def _linked(scratch: Scratch, sets: DataFrame, members: DataFrame, percent: int)
     opened = scratch.keep(join_dealt(stars, apart, "c", stars.count()))
     scratch.drop(stars, apart)
     nodes = opened.select(F.col("a").alias("sid")).union(opened.select("c")).distinct()
-    shown = scratch.keep(sets.join(nodes, "sid"))
+    shown = scratch.keep(sets.join(nodes.hint("merge"), "sid"))
     once = shown.select("sid", F.explode("shingles").alias("h")).groupBy("h").agg(F.count("*").alias("n"), F.min("sid").alias("a")).where("n = 1")
     own = once.groupBy("a").agg(F.count("*").alias("own"))
     pairs = _pairs_of_sets(opened.select("a", F.col("c").alias("b"), "lanes"), shown)
@@ -266,8 +266,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
     wanted = members.select("sid").distinct()
     ids = wanted.join(classes, "sid").select("rep").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(ids, texts.doc_id.eqNullSafe(ids.rep), "left_semi")
-    sets = scratch.keep(_full_sets(texts, shingle).join(wanted, "sid", "left_semi").dropDuplicates(["sid"]))
+    texts = texts.join(ids.hint("merge"), texts.doc_id.eqNullSafe(ids.rep), "left_semi")  # a broadcast would grow with the data
+    sets = scratch.keep(_full_sets(texts, shingle).join(wanted.hint("merge"), "sid", "left_semi").dropDuplicates(["sid"]))
     labels = _linked(scratch, sets, members, percent)
     scratch.drop(sets, members)
     named = _named(classes, labels, "sid", "component")
