@@ -67,7 +67,13 @@ def adjusted_mutual_information(table: DataFrame, *by: str) -> DataFrame:
     pairs = rows.select(*key, F.col("t").alias("a"), F.col("m").alias("ma"))
     other = cols.select(*key, F.col("t").alias("b"), F.col("m").alias("mb"))
     pairs = (pairs.join(other, list(by)).join(total, list(by)) if by else pairs.join(other, F.lit(True)).join(total, F.lit(True))).where("n > 0")
-    terms = pairs.withColumn("k", F.explode(F.sequence(F.greatest(F.lit(1).cast("long"), F.col("a") + F.col("b") - F.col("n")), F.least("a", "b")))).where("k >= 1 AND k <= least(a, b)")
+    # joint counts beyond 12 deviations and 64 from the mean have chances below 1e-30; the others are made in chunks of bounded length
+    a, b, n = (F.col(c).cast("double") for c in ("a", "b", "n"))
+    reach = F.sqrt(a * b / n * (n - a) / n * (n - b) / F.greatest(n - 1, F.lit(1.0))) * 12 + 64
+    low = F.greatest(F.lit(1).cast("long"), F.col("a") + F.col("b") - F.col("n"), F.floor(a * b / n - reach))
+    high = F.least(F.col("a"), F.col("b"), F.ceil(a * b / n + reach))
+    chunks = pairs.withColumn("low", low).withColumn("high", high).where("low <= high").withColumn("from", F.explode(F.sequence("low", "high", F.lit(4096).cast("long"))))
+    terms = chunks.withColumn("k", F.explode(F.sequence("from", F.least(F.col("high"), F.col("from") + 4095))))
     n, a, b, k = (F.col(c) for c in ("n", "a", "b", "k"))
     chance = F.exp(log_factorial(a) + log_factorial(b) + log_factorial(n - a) + log_factorial(n - b) - log_factorial(n) - log_factorial(k) - log_factorial(a - k) - log_factorial(b - k) - log_factorial(n - a - b + k))
     term = k / n.cast("double") * (F.ln(n.cast("double")) + F.ln(k.cast("double")) - F.ln(a.cast("double")) - F.ln(b.cast("double"))) * chance

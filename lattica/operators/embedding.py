@@ -58,3 +58,53 @@ def square_crop(points: DataFrame, section: int, x: float, y: float, side: float
     inside = points.where((F.col("section_id") == section) & F.col("x").between(x - half, x + half) & F.col("y").between(y - half, y + half))
     d = (F.col("x") - (x - half)) * (F.col("x") - (x - half)) + (F.col("y") - (y - half)) * (F.col("y") - (y - half))
     return inside.withColumn("place", F.row_number().over(Window.partitionBy("section_id").orderBy(d, "id")))
+
+
+def diagonal_order(points: DataFrame, seed: int = 0) -> DataFrame:
+    """``points`` of each section with ``place``: a cell at the lower left corner first, then a weighted draw without replacement by distance from it.
+
+    The draw orders by ``-ln(u) / distance``, with u from a hash of seed and id; equal places go last by id. A crop is bounded by its square.
+    """
+    own = Window.partitionBy("section_id")
+    corner = (F.col("x") - F.min("x").over(own)) * (F.col("x") - F.min("x").over(own)) + (F.col("y") - F.min("y").over(own)) * (F.col("y") - F.min("y").over(own))
+    first = points.withColumn("_f", F.row_number().over(own.orderBy(corner, "id")))
+    fx, fy = F.max(F.when(F.col("_f") == 1, F.col("x"))).over(own), F.max(F.when(F.col("_f") == 1, F.col("y"))).over(own)
+    far = F.sqrt((F.col("x") - fx) * (F.col("x") - fx) + (F.col("y") - fy) * (F.col("y") - fy))
+    u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("id").cast("string"))), 1, 12), 16, 10).cast("double") + 1.0) / float(1 << 48)
+    key = F.when(F.col("_f") == 1, -1.0).otherwise(ratio(-F.ln(u), far))
+    return first.withColumn("_k", key).withColumn("place", F.row_number().over(own.orderBy(F.col("_k").asc_nulls_last(), "id"))).select(*points.columns, "place")
+
+
+def attention_pairs(lengths: DataFrame) -> DataFrame:
+    """``(id, row, col)``: what attends to what in a sequence of ``n`` content and ``n`` target places; ``lengths(id, n)``.
+
+    Content place j sees the content up to itself; target place n + i sees the content up to i and the targets up to itself.
+    """
+    rows = lengths.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    upto = rows.withColumn("c", F.explode(F.sequence(F.lit(0), F.col("i"))))
+    seen = F.array(F.struct(F.col("i").alias("row"), F.col("c").alias("col")), F.struct((F.col("n") + F.col("i")).alias("row"), F.col("c").alias("col")), F.struct((F.col("n") + F.col("i")).alias("row"), (F.col("n") + F.col("c")).alias("col")))
+    return upto.select("id", F.explode(seen).alias("p")).select("id", F.col("p.row").alias("row"), F.col("p.col").alias("col"))
+
+
+def leave_chunk_out(values: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``(id, feature, predicted)``: each row's features from the mean of all chunks but its own; ``values(id, feature, value)``, ``chunks(id, chunk)``.
+
+    Sums by chunk and feature suffice: no row is joined with the others.
+    """
+    per = values.join(chunks, "id").groupBy("chunk", "feature").agg(F.sum("value").alias("s"), F.count("*").alias("n"))
+    all_ = per.groupBy("feature").agg(F.sum("s").alias("ts"), F.sum("n").alias("tn"))
+    left = per.join(all_, "feature").select("chunk", "feature", ratio(F.col("ts") - F.col("s"), F.col("tn") - F.col("n")).alias("predicted"))
+    return values.select("id", "feature").join(chunks, "id").join(left, ["chunk", "feature"]).select("id", "feature", "predicted")
+
+
+def technology_scaled(expr: DataFrame, means: DataFrame) -> DataFrame:
+    """Values divided by their gene's mean of the technology; NaN and null count as 0, means are rounded half up and 0 becomes 1."""
+    v = F.when(F.isnan("value"), 0.0).otherwise(F.coalesce("value", F.lit(0.0)))
+    m = F.floor(F.coalesce(F.nanvl("mean", F.lit(0.0)), F.lit(0.0)) + 0.5)
+    return expr.join(means, "gene_id", "left").select("cell_id", "gene_id", (v / F.when(m == 0, 1.0).otherwise(m)).alias("value"))
+
+
+def neighbour_components(sums: DataFrame, genes: list, k: int) -> DataFrame:
+    """``(id, pc)``: components of the log-normalised neighbour sums ``(id, gene_id, value)`` over a declared list of genes."""
+    rows = log_normalised(sums.withColumnRenamed("id", "cell_id"))
+    return principal_components(dense_profiles(rows, genes).withColumnRenamed("cell_id", "id"), k).select("id", "pc")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import numbered
+
 
 def whole_counts(df: DataFrame, value: str) -> DataFrame:
     """``value`` as int; a value that isn't whole stops the job."""
@@ -115,7 +117,7 @@ def override_metadata(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def dense_token(df: DataFrame, value: str, out: str) -> DataFrame:
     """Dense ids from 0 of distinct values in their order; the values, not the rows, are ranked."""
     distinct = df.select(value).distinct().where(F.col(value).isNotNull())
-    return df.join(distinct.withColumn(out, F.row_number().over(Window.orderBy(value)) - 1), value, "left")
+    return df.join(numbered(distinct, value, out).withColumn(out, F.col(out).cast("int")), value, "left")
 
 
 def count_diagnosis(expr: DataFrame, labels: DataFrame) -> DataFrame:
@@ -124,3 +126,24 @@ def count_diagnosis(expr: DataFrame, labels: DataFrame) -> DataFrame:
     flags = expr.agg(F.bool_and(F.col("value") % 1 == 0).alias("whole"), F.bool_and(F.col("value") >= 0).alias("nonnegative"))
     missing = labels.agg((F.count_if(F.col("label").isNull()) / F.count("*")).alias("missing_share"))
     return flags.join(sizes, F.lit(True)).join(missing, F.lit(True)).withColumn("warn", F.col("missing_share") > 0.2)
+
+
+def annotated(rows: DataFrame, annotation: DataFrame, key: str) -> DataFrame:
+    """Every row with the annotation of its key, null without one; columns of the rows win over those of the same name, and a key annotated twice is an error."""
+    if not annotation.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        raise ValueError(f"{key} is annotated more than once")
+    new = [c for c in annotation.columns if c != key and c not in rows.columns]
+    return rows.join(annotation.select(key, *new), key, "left").select(*rows.columns, *new)
+
+
+def gene_map(genes: DataFrame, kinds: tuple[str, ...] = ("protein_coding", "miRNA")) -> DataFrame:
+    """``(name, gene_id)`` of ``genes(position, name, gene_id, biotype)``: of the kinds wanted, the last of each name."""
+    return genes.where(F.col("biotype").isin(*kinds) & F.col("name").isNotNull()).groupBy("name").agg(F.max_by("gene_id", "position").alias("gene_id"))
+
+
+def program_union(sources: list[DataFrame]) -> DataFrame:
+    """``(program, role, gene_id)`` of all sources; a gene that several give counts once."""
+    out = sources[0].select("program", "role", "gene_id")
+    for more in sources[1:]:
+        out = out.unionByName(more.select("program", "role", "gene_id"))
+    return out.distinct()

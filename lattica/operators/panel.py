@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ratio
+from .ranges import running_totals
 
 
 def pearson(df: DataFrame, by: list[str], n: Column | None = None, a: str = "target", b: str = "predicted") -> DataFrame:
@@ -25,10 +26,17 @@ def pearson(df: DataFrame, by: list[str], n: Column | None = None, a: str = "tar
 
 
 def average_ranks(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
-    """``out``: the rank of each value within its group, equal values sharing their mean rank."""
-    order = Window.partitionBy(*by).orderBy(value)
-    ties = Window.partitionBy(*by, value)
-    return df.withColumn(out, (F.rank().over(order) + (F.count("*").over(ties) - 1) / F.lit(2.0)).cast("double"))
+    """``out``: the rank of each value within its group, equal values sharing their mean rank. Distinct values are ranked, not rows."""
+    counts = df.groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    if by:
+        ranked = counts.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        ranked = running_totals(counts, [F.col("_v")], {"_upto": F.col("_c")})
+    ranked = ranked.select(*(F.col(c).alias(f"_{c}") for c in by), "_v", (F.col("_upto") - (F.col("_c") - 1) / F.lit(2.0)).cast("double").alias(out))
+    same = F.col(value).eqNullSafe(F.col("_v"))
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return df.join(ranked, same).select(*df.columns, out)
 
 
 def spearman(df: DataFrame, by: list[str], a: str = "target", b: str = "predicted") -> DataFrame:
@@ -56,6 +64,9 @@ def _thresholds(df: DataFrame, label: Column, score: str, by: list[str]) -> Data
     s = F.col(score).cast("double")
     rows = df.where(s.isNotNull() & ~F.isnan(s) & label.isNotNull()).select(*by, s.alias("s"), label.cast("int").alias("y"))
     at = rows.groupBy(*by, "s").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    if not by:  # distinct scores can be as many as rows
+        totals = at.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+        return running_totals(at, [F.desc("s")], {"tp": F.col("pos"), "fp": F.col("neg")}).join(F.broadcast(totals), F.lit(True))
     above = Window.partitionBy(*by).orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
     all_ = Window.partitionBy(*by)
     return at.select(*by, "s", "pos", "neg", F.sum("pos").over(above).alias("tp"), F.sum("neg").over(above).alias("fp"), F.sum("pos").over(all_).alias("p"), F.sum("neg").over(all_).alias("n"))

@@ -1,18 +1,23 @@
 """Neighbourhood joins within sections: exact k nearest neighbours, radius graphs, and what is gathered over them.
 
-Points are ``(section_id, id, x, y)``. Sections never mix. Ties in distance go by id.
+Points are ``(section_id, id, x, y)``. Sections never mix. Ties in distance go by id. The joins know a point by section and id; what is
+gathered over edges by id alone (means, regression, hops) needs ids that are unique over all sections.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ratio
 from ..session import checkpointed
 
-#: Rounds of the grid search; each doubles the cells' side.
+#: Rounds of the grid search; each makes the cells' side four times as long.
 MAX_ROUNDS = 40
+#: A first cell holds at most so many times k targets, unless they lie in one place.
+MAX_FILL = 64
 
 
 def _distance(ax: str, ay: str, bx: str, by: str) -> Column:
@@ -39,19 +44,31 @@ def _in_cells(points: DataFrame, grid: DataFrame, factor: float) -> DataFrame:
     return points.join(grid, "section_id").withColumn("gx", F.floor((F.col("x") - F.col("x0")) / side)).withColumn("gy", F.floor((F.col("y") - F.col("y0")) / side)).withColumn("reach", side).drop("x0", "y0", "side")
 
 
+def _first_factor(targets: DataFrame, grid: DataFrame, k: int) -> float:
+    """How far below the mean density's side the search starts: so that no cell holds more than ``MAX_FILL * k`` targets, as far as that helps."""
+    factor, before = 1.0, None
+    while True:
+        fullest = _in_cells(targets, grid, factor).groupBy("section_id", "gx", "gy").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        if fullest is None or fullest <= MAX_FILL * k or fullest == before:  # many points in one place don't come apart
+            return factor
+        before, factor = fullest, factor / 4
+
+
 def knn_join(queries: DataFrame, targets: DataFrame, k: int, *, exclude_self: bool = True, fill: float = 2.0) -> DataFrame:
     """The ``k`` nearest targets of each query in its section: ``(section_id, src, dst, d2, rank)``.
 
-    Exact. A grid brings each query the targets of its own and the eight cells around; all targets within one
-    side are among them, so a query is settled once its k-th distance is at most the side, or the
-    cells hold its whole section. The others go on with cells of twice the side. Queries with fewer than ``k``
-    targets in their section have all of these. Checkpoints cut the lineage between rounds.
+    Exact; a point is known by section and id, so ids may repeat across sections. A grid brings each query the targets of its
+    own and the eight cells around; all targets within one side are among them, so a query is settled once its k-th distance
+    is at most the side, or the cells hold its whole section. The others go on with cells of four times the side. The first cells are so small
+    that the densest is not overfull: points of a clump settle there, and only the few outside of it see larger cells. Queries with
+    fewer than ``k`` targets in their section have all of these. Checkpoints cut the lineage between rounds.
     """
     grid = checkpointed(section_grid(targets, k, fill))
     wide = grid.agg(F.max(F.col("wide") / F.col("side"))).first()[0]
     if wide is None:
         return _no_edges(queries)
-    left, out, factor = queries.select("section_id", F.col("id").alias("src"), "x", "y"), None, 1.0
+    me = ["section_id", "src"]
+    left, out, factor = queries.select("section_id", F.col("id").alias("src"), "x", "y"), None, _first_factor(targets, grid, k)
     for _ in range(MAX_ROUNDS):
         q = _ring(_in_cells(left, grid, factor)).withColumnsRenamed({"x": "qx", "y": "qy"})
         t = _in_cells(targets.select("section_id", F.col("id").alias("dst"), "x", "y"), grid, factor).drop("reach", "wide")
@@ -59,19 +76,17 @@ def knn_join(queries: DataFrame, targets: DataFrame, k: int, *, exclude_self: bo
         if exclude_self:
             pairs = pairs.where("src <> dst")
         pairs = pairs.withColumn("d2", _distance("qx", "qy", "x", "y"))
-        near = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("d2", "dst"))).where(F.col("rank") <= k)
-        near = checkpointed(near.select("section_id", "src", "dst", "d2", "rank", "reach", "wide"))
+        near = pairs.withColumn("rank", F.row_number().over(Window.partitionBy(*me).orderBy("d2", "dst"))).where(F.col("rank") <= k)
         last = factor > wide
-        full = near.groupBy("src").agg(F.count("*").alias("n"), F.max("d2").alias("far"), F.first("reach").alias("reach"))
-        done = full.where(F.lit(last) | ((F.col("n") >= k) & (F.col("far") <= F.col("reach") * F.col("reach")))).select("src")
-        settled = near.join(done, "src", "left_semi").select("section_id", "src", "dst", "d2", "rank")
-        out = settled if out is None else out.unionByName(settled)
+        settled = F.lit(last) | ((F.count("*").over(Window.partitionBy(*me)) >= k) & (F.max("d2").over(Window.partitionBy(*me)) <= F.col("reach") * F.col("reach")))
+        near = checkpointed(near.withColumn("settled", settled).where("settled").select("section_id", "src", "dst", "d2", "rank"))
+        out = near if out is None else out.unionByName(near)
         if last:
             return out
-        left = checkpointed(left.join(done, "src", "left_anti"))
+        left = checkpointed(left.join(near.select(*me).distinct(), me, "left_anti"))
         if left.isEmpty():
             return out
-        factor *= 2.0
+        factor *= 4.0
     raise RuntimeError("the grid did not reach a section's size")
 
 
@@ -187,35 +202,85 @@ def holdout_split(points: DataFrame, regions: dict[int, tuple[float, float, floa
     return points.join(box, "section_id").withColumn("data_split", F.when(inside, "test").otherwise("train")).drop("x0", "x1", "y0", "y1")
 
 
+def _with_section(points: DataFrame, *values: Column) -> DataFrame:
+    """``points`` with figures of their sections: one combined aggregate, a row for each section, joined back."""
+    return points.join(points.groupBy("section_id").agg(*values), "section_id")
+
+
 def zscore_by_train(points: DataFrame) -> DataFrame:
     """Coordinates less the mean, by the deviation (ddof 0, 1 if tiny) of the section's train rows, or of all if there are none."""
-    w = Window.partitionBy("section_id")
     train = F.col("data_split") == "train"
-    out = points
+    figures = []
     for c in ("x", "y"):
         only = F.when(train, F.col(c))
-        mean = F.coalesce(F.avg(only).over(w), F.avg(c).over(w))
-        sd = F.coalesce(F.stddev_pop(only).over(w), F.stddev_pop(c).over(w))
-        out = out.withColumn(f"z{c}", (F.col(c) - mean) / F.when(sd <= 1e-8, 1.0).otherwise(sd))
-    return out
+        figures += [F.coalesce(F.avg(only), F.avg(c)).alias(f"_m{c}"), F.coalesce(F.stddev_pop(only), F.stddev_pop(c)).alias(f"_s{c}")]
+    out = _with_section(points, *figures)
+    return out.select(*points.columns, *(((F.col(c) - F.col(f"_m{c}")) / F.when(F.col(f"_s{c}") <= 1e-8, 1.0).otherwise(F.col(f"_s{c}"))).alias(f"z{c}") for c in ("x", "y")))
 
 
 def rotate_unit(points: DataFrame, degrees_: float, flip_x: bool = False) -> DataFrame:
     """Coordinates centred on the section's mean, turned, and divided by the box's diagonal if it isn't 0."""
-    w = Window.partitionBy("section_id")
     c, s = F.cos(F.radians(F.lit(degrees_))), F.sin(F.radians(F.lit(degrees_)))
-    x, y = F.col("x") - F.avg("x").over(w), F.col("y") - F.avg("y").over(w)
-    turned = points.select("*", ((-x if flip_x else x) * c - y * s).alias("rx"), ((-x if flip_x else x) * s + y * c).alias("ry"))
-    dx, dy = F.max("rx").over(w) - F.min("rx").over(w), F.max("ry").over(w) - F.min("ry").over(w)
-    diagonal = F.sqrt(dx * dx + dy * dy)
-    by = F.when(diagonal > 0, diagonal).otherwise(1.0)
-    return turned.withColumns({"rx": F.col("rx") / by, "ry": F.col("ry") / by})
+    centred = _with_section(points, F.avg("x").alias("_mx"), F.avg("y").alias("_my"))
+    x, y = F.col("x") - F.col("_mx"), F.col("y") - F.col("_my")
+    turned = centred.select(*points.columns, ((-x if flip_x else x) * c - y * s).alias("rx"), ((-x if flip_x else x) * s + y * c).alias("ry"))
+    dx, dy = F.max("rx") - F.min("rx"), F.max("ry") - F.min("ry")
+    sized = _with_section(turned, F.sqrt(dx * dx + dy * dy).alias("_diagonal"))
+    by = F.when(F.col("_diagonal") > 0, F.col("_diagonal")).otherwise(1.0)
+    return sized.select(*points.columns, (F.col("rx") / by).alias("rx"), (F.col("ry") / by).alias("ry"))
 
 
 def normalise_by_spacing(points: DataFrame, nearest: DataFrame) -> DataFrame:
     """Coordinates centred on the section's mean and divided by its median nearest-neighbour distance (1 if 0)."""
     spacing = nearest.where("rank = 1").groupBy("section_id").agg(F.median(F.sqrt("d2")).alias("spacing"))
-    w = Window.partitionBy("section_id")
-    centred = points.select("section_id", "id", (F.col("x") - F.avg("x").over(w)).alias("x"), (F.col("y") - F.avg("y").over(w)).alias("y"))
-    by = F.when(F.col("spacing") > 0, F.col("spacing")).otherwise(1.0)
-    return centred.join(spacing, "section_id", "left").select("section_id", "id", (F.col("x") / F.coalesce(by, F.lit(1.0))).alias("x"), (F.col("y") / F.coalesce(by, F.lit(1.0))).alias("y"))
+    centred = _with_section(points.select("section_id", "id", "x", "y"), F.avg("x").alias("_mx"), F.avg("y").alias("_my")).join(spacing, "section_id", "left")
+    by = F.coalesce(F.when(F.col("spacing") > 0, F.col("spacing")).otherwise(1.0), F.lit(1.0))
+    return centred.select("section_id", "id", ((F.col("x") - F.col("_mx")) / by).alias("x"), ((F.col("y") - F.col("_my")) / by).alias("y"))
+
+
+def section_scale(points: DataFrame, nearest: DataFrame, target: float, radius: float, declared: dict[int, float] | None = None) -> DataFrame:
+    """``(section_id, factor, mean_degree)``: what brings a section's coordinates to scale, and its mean number of neighbours within ``radius`` then.
+
+    A declared factor wins; else ``target`` over the median nearest-neighbour distance; 1 where that is 0.
+    """
+    spacing = nearest.where("rank = 1").groupBy("section_id").agg(F.median(F.sqrt("d2")).alias("spacing"))
+    own = F.lit(None).cast("double")
+    for section, factor in (declared or {}).items():
+        own = F.when(F.col("section_id") == section, float(factor)).otherwise(own)
+    factors = points.select("section_id").distinct().join(spacing, "section_id", "left").select("section_id", F.coalesce(own, F.when(F.col("spacing") > 0, F.lit(target) / F.col("spacing")), F.lit(1.0)).alias("factor"))
+    scaled = points.join(factors, "section_id").select("section_id", "id", (F.col("x") * F.col("factor")).alias("x"), (F.col("y") * F.col("factor")).alias("y"))
+    edges = radius_join(scaled, radius).groupBy("section_id").agg(F.count("*").alias("e"))
+    n = points.groupBy("section_id").agg(F.count("*").alias("n"))
+    return factors.join(n, "section_id").join(edges, "section_id", "left").select("section_id", "factor", (F.coalesce("e", F.lit(0)) / F.col("n")).alias("mean_degree"))
+
+
+def fill_from_boundary(context: DataFrame, holes: DataFrame, k: int, steps: int = 12, schedule: str = "cosine") -> DataFrame:
+    """``(section_id, id, value, step)`` for all ``holes(section_id, id, x, y)``, filled from the edge inwards.
+
+    In each step the holes left take the mean of their ``k`` nearest points of the ``context(section_id, id, x, y, value)``; those nearest to it are
+    committed, so many that the schedule's share (cosine, or linear) remains open, and join the context. The last step commits all.
+    Ids must tell the points of a section apart, holes included. A section's holes are ranked in one task. Sections without context stay empty.
+    """
+    todo, known, out = checkpointed(holes.select("section_id", "id", "x", "y")), context.select("section_id", "id", "x", "y", "value"), None
+    totals = checkpointed(todo.groupBy("section_id").agg(F.count("*").alias("total")))
+    for step in range(1, steps + 1):
+        edges = knn_join(todo, known, k)
+        near = edges.join(known.select("section_id", F.col("id").alias("dst"), "value"), ["section_id", "dst"])
+        guess = near.groupBy("section_id", F.col("src").alias("id")).agg(F.avg("value").alias("value"), F.min("d2").alias("far"))
+        remain = (math.cos(0.5 * math.pi * step / steps) if schedule == "cosine" else 1.0 - step / steps) if step < steps else 0.0
+        own = Window.partitionBy("section_id")
+        ranked = guess.join(totals, "section_id").withColumn("place", F.row_number().over(own.orderBy("far", "id"))).withColumn("open", F.count("*").over(own))
+        taken = ranked.where(F.col("place") <= F.col("open") - F.floor(F.lit(remain) * F.col("total"))).select("section_id", "id", "value", F.lit(step).alias("step"))
+        taken = checkpointed(taken)
+        out = taken if out is None else out.unionByName(taken)
+        if step < steps:
+            known = checkpointed(known.unionByName(taken.join(todo, ["section_id", "id"]).select(known.columns)))
+            todo = checkpointed(todo.join(taken, ["section_id", "id"], "left_anti"))
+            if todo.isEmpty():
+                break
+    return out
+
+
+def with_neighbour_layer(edges: DataFrame, expr: DataFrame, layers: dict[str, DataFrame], name: str) -> dict[str, DataFrame]:
+    """``layers`` with the neighbour sums of ``expr`` under ``name``, made only if absent."""
+    return layers if name in layers else layers | {name: neighbour_aggregate(edges, expr, "sum")}

@@ -83,9 +83,9 @@ def consensus_rank(df: DataFrame, variant: str, metrics: list[str]) -> DataFrame
 
 
 def delta_board(df: DataFrame, variant: str, reference: str, metrics: list[str]) -> DataFrame:
-    """Each variant's metrics and their differences from the reference's; the reference is on top."""
-    ref = df.where(F.col(variant) == reference).select(*(F.col(m).alias(f"_{m}") for m in metrics))
-    both = df.join(F.broadcast(ref.limit(1)), F.lit(True))
+    """Each variant's metrics and their differences from the reference's; the reference is on top. Of several rows of the reference the mean counts."""
+    ref = df.where(F.col(variant) == reference).agg(F.count("*").alias("_n"), *(F.avg(m).alias(f"_{m}") for m in metrics)).where("_n > 0")
+    both = df.join(F.broadcast(ref), F.lit(True))
     out = both.select(variant, *metrics, *((F.col(m) - F.col(f"_{m}")).alias(f"delta_{m}") for m in metrics), (F.col(variant) == reference).alias("is_reference"))
     return out.withColumn("place", F.row_number().over(Window.orderBy(F.desc("is_reference"), F.col(metrics[0]).desc_nulls_last(), variant)))
 

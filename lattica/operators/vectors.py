@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,28 +14,23 @@ from ..functions import manhattan, ratio, squared_distance
 QUERY_BLOCK = 4096
 
 
-def vector_knn(vectors: DataFrame, queries: DataFrame, k: int, seed: int = 0) -> DataFrame:
+def vector_knn(vectors: DataFrame, queries: DataFrame, k: int, seed: int = 0, by: str | None = None) -> DataFrame:
     """The ``k`` nearest vectors of each query, itself first: ``(src, dst, d2, rank)``.
 
-    Exact: a stated set of queries goes against all rows in blocks of ``QUERY_BLOCK``. In each batch of rows only the
-    ``k`` best of each query leave the task. Ties go by a hash that differs from query to query,
-    so that they follow neither ids nor storage order.
+    Exact: a stated set of queries, dealt by hash into blocks of about ``QUERY_BLOCK``, goes against all rows (of its own group,
+    with ``by``). In each batch of rows only the ``k`` best of each query leave the task. Ties go by a hash that differs
+    from query to query, so that they follow neither ids nor storage order.
     """
-    ids = queries.select("id", "vector").orderBy("id")
-    n = ids.count()
-    parts = []
-    numbered = ids.withColumn("_b", F.floor((F.row_number().over(Window.orderBy("id")) - 1) / QUERY_BLOCK))
-    for block in range(max(1, -(-n // QUERY_BLOCK))):
-        own = F.broadcast(numbered.where(F.col("_b") == block).agg(F.collect_list(F.struct("id", "vector")).alias("queries")))
-        one = vectors.select(F.col("id").alias("dst"), "vector").join(own, F.lit(True)).select("dst", "vector", F.explode("queries").alias("q"))
-        d2 = squared_distance(F.col("q.vector"), F.col("vector"))
-        tie = F.when(F.col("q.id") == F.col("dst"), F.lit(-(2**63))).otherwise(F.xxhash64(F.lit(seed), "q.id", "dst"))
-        near = one.select(F.col("q.id").alias("src"), "dst", F.when(F.col("q.id") == F.col("dst"), -1.0).otherwise(d2).alias("d2"), tie.alias("tie"))
-        parts.append(near.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("d2", "tie", "dst"))).where(F.col("rank") <= k))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.select("src", "dst", F.greatest("d2", F.lit(0.0)).alias("d2"), "rank")
+    groups = [by] if by else []
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    own = queries.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).groupBy("_b", *groups).agg(F.collect_list(F.struct("id", "vector")).alias("queries"))
+    rows = vectors.select(F.col("id").alias("dst"), "vector", *groups, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
+    one = rows.join(own, ["_b", *groups]).select("dst", "vector", F.explode("queries").alias("q"))
+    d2 = squared_distance(F.col("q.vector"), F.col("vector"))
+    tie = F.when(F.col("q.id") == F.col("dst"), F.lit(-(2**63))).otherwise(F.xxhash64(F.lit(seed), "q.id", "dst"))
+    near = one.select(F.col("q.id").alias("src"), "dst", F.when(F.col("q.id") == F.col("dst"), -1.0).otherwise(d2).alias("d2"), tie.alias("tie"))
+    best = near.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("d2", "tie", "dst"))).where(F.col("rank") <= k)
+    return best.select("src", "dst", F.greatest("d2", F.lit(0.0)).alias("d2"), "rank")
 
 
 def inverse_simpson(edges: DataFrame, batches: DataFrame) -> DataFrame:
@@ -44,30 +40,47 @@ def inverse_simpson(edges: DataFrame, batches: DataFrame) -> DataFrame:
     return n.select("src", share.alias("p")).groupBy(F.col("src").alias("id")).agg((1.0 / F.sum(F.col("p") * F.col("p"))).alias("simpson"))
 
 
-def _perplexity_simpson(distance: np.ndarray, batch: np.ndarray, perplexity: float) -> float:
-    """Inverse Simpson index of batches under Gaussian weights of the given perplexity, found by bisection."""
-    d = distance - distance.min()
-    low, high, beta = 0.0, np.inf, 1.0
+def _perplexity_simpson(distance: np.ndarray, batch: np.ndarray, perplexity: float) -> np.ndarray:
+    """Inverse Simpson index of batches of each row of neighbours, under Gaussian weights of the given perplexity, found by bisection.
+
+    Absent neighbours have an infinite distance. ``batch`` holds small numbers.
+    """
+    d = distance - distance.min(1, keepdims=True)
+    n = len(d)
+    low, high, beta = np.zeros(n), np.full(n, np.inf), np.ones(n)
     for _ in range(60):
-        p = np.exp(-d * beta)
-        p /= p.sum()
-        h = -(p[p > 0] * np.log(p[p > 0])).sum()
-        if abs(h - np.log(perplexity)) < 1e-7:
-            break
-        low, high = (beta, high) if h > np.log(perplexity) else (low, beta)
-        beta = beta * 2 if np.isinf(high) else (low + high) / 2
-    sums = np.bincount(np.unique(batch, return_inverse=True)[1], weights=p)
-    return float(1.0 / (sums**2).sum())
+        p = np.exp(-d * beta[:, None])
+        p /= p.sum(1, keepdims=True)
+        h = -(p * np.log(np.where(p > 0, p, 1.0))).sum(1)
+        flat, near = h > np.log(perplexity), np.abs(h - np.log(perplexity)) < 1e-7
+        low, high = np.where(flat & ~near, beta, low), np.where(~flat & ~near, beta, high)
+        beta = np.where(near, beta, np.where(np.isinf(high), beta * 2, (low + np.where(np.isinf(high), 0.0, high)) / 2))
+    sums = np.zeros((n, int(batch.max()) + 1))
+    np.add.at(sums, (np.arange(n)[:, None], batch), p)
+    return 1.0 / (sums**2).sum(1)
 
 
 def ilisi(edges: DataFrame, batches: DataFrame, k: int) -> DataFrame:
-    """``(id, ilisi)``: like :func:`inverse_simpson` with weights of perplexity k // 3; a neighbourhood goes to one task, k rows."""
-    rows = edges.join(batches.select(F.col("id").alias("dst"), "batch"), "dst").select("src", F.sqrt("d2").alias("d"), F.col("batch").cast("string").alias("batch"))
+    """``(id, ilisi)``: like :func:`inverse_simpson` with weights of perplexity k // 3 (2 at least).
 
-    def one(key, frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"id": [key[0]], "ilisi": [_perplexity_simpson(frame["d"].to_numpy(), frame["batch"].to_numpy(), max(2, k // 3))]})
+    A neighbourhood is one row with its at most k + 1 distances and batches; many go through one Arrow batch.
+    """
+    rows = edges.join(batches.select(F.col("id").alias("dst"), F.col("batch").cast("string").alias("batch")), "dst")
+    rows = rows.groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list(F.struct(F.sqrt("d2").alias("d"), "batch"))).alias("near"))
+    rows = rows.select("id", F.transform("near", lambda x: x["d"]).alias("d"), F.transform("near", lambda x: x["batch"]).alias("batch"))
 
-    return rows.groupBy("src").applyInPandas(one, "id long, ilisi double")
+    def index(frames):
+        for frame in frames:
+            if not len(frame):
+                continue
+            sizes, top = frame["d"].map(len).to_numpy(), int(frame["d"].map(len).max())
+            distance, batch = np.full((len(frame), top), np.inf), np.zeros((len(frame), top), np.int64)
+            filled = np.arange(top) < sizes[:, None]
+            distance[filled] = np.concatenate(frame["d"].to_list())
+            batch[filled] = np.unique(np.concatenate(frame["batch"].to_list()).astype(str), return_inverse=True)[1]
+            yield pd.DataFrame({"id": frame["id"], "ilisi": _perplexity_simpson(distance, batch, max(2, k // 3))})
+
+    return rows.mapInPandas(index, "id long, ilisi double")
 
 
 def scaled_median(scores: DataFrame, score: str, n_batches: int) -> DataFrame:
@@ -120,15 +133,30 @@ def mmd_l1(a: DataFrame, b: DataFrame, sigma: float = 1.0) -> DataFrame:
     return parts.select((F.col("xx") + F.col("yy") - 2.0 * F.col("xy")).alias("mmd"))
 
 
-def linear_cka(df: DataFrame, x: str, y: str, dx: int, dy: int) -> DataFrame:
-    """Linear centred kernel alignment of two array columns of the same rows, from one pass of moment sums."""
+def product_sums(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``(i, j, v)``: sums over the rows of the products of all components of some array columns, laid end to end, and of a 1 after them.
 
-    def gram(a: str, b: str, da: int, db: int):
-        return [(F.sum(F.col(a)[i] * F.col(b)[j]) - F.sum(F.col(a)[i]) * F.sum(F.col(b)[j]) / F.count("*")).alias(f"{a}_{b}_{i}_{j}") for i in range(da) for j in range(db)]
+    Each Arrow batch gives one matrix, added up by cell. Rows with a null column are left out; the columns have fixed widths.
+    """
+    def partial(batches):
+        for batch in batches:
+            if batch.num_rows:
+                parts = [np.asarray(batch.column(c).flatten().to_numpy(zero_copy_only=False), float).reshape(batch.num_rows, -1) for c in columns]
+                z = np.hstack([*parts, np.ones((batch.num_rows, 1))])
+                i, j = np.indices((z.shape[1], z.shape[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(i.ravel(), pa.int32()), pa.array(j.ravel(), pa.int32()), pa.array((z.T @ z).ravel())], ["i", "j", "v"])
+
+    rows = df.select(*columns).dropna()
+    return rows.mapInArrow(partial, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
 
-    names = [f"{x}_{y}_{i}_{j}" for i in range(dx) for j in range(dy)]
-    names_x = [f"{x}_{x}_{i}_{j}" for i in range(dx) for j in range(dx)]
-    names_y = [f"{y}_{y}_{i}_{j}" for i in range(dy) for j in range(dy)]
-    m = df.agg(*gram(x, y, dx, dy), *gram(x, x, dx, dx), *gram(y, y, dy, dy))
-    norm = lambda own: sum((F.col(c) * F.col(c) for c in own), F.lit(0.0))
-    return m.select(ratio(norm(names), F.sqrt(norm(names_x) * norm(names_y))).alias("cka"))
+
+def linear_cka(df: DataFrame, x: str, y: str, dx: int, dy: int) -> DataFrame:
+    """Linear centred kernel alignment of two array columns of the same rows, of ``dx`` and ``dy`` components, from one pass of product sums."""
+    sums = product_sums(df, [x, y])
+    ones = sums.where(F.col("j") == dx + dy).select("i", F.col("v").alias("s"))
+    n = ones.where(F.col("i") == dx + dy).select(F.col("s").alias("n"))
+    cells = sums.where((F.col("i") < dx + dy) & (F.col("j") < dx + dy)).join(ones, "i").join(ones.toDF("j", "t"), "j").join(F.broadcast(n), F.lit(True))  # a row for each pair of components
+    c = F.col("v") - F.col("s") * F.col("t") / F.col("n")
+    part = lambda rows, cols: F.sum(F.when(rows & cols, c * c).otherwise(0.0))
+    in_x = lambda k: F.col(k) < dx
+    return cells.agg(ratio(part(in_x("i"), ~in_x("j")), F.sqrt(part(in_x("i"), in_x("j")) * part(~in_x("i"), ~in_x("j")))).alias("cka"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import embedding as E
+from ..operators import harmonise as H
 from ..operators import tables as T
 from ..operators.vectors import nearest_centroid
 from .common import CELLS, EXPR, SEEDS, cells, expr, seeds
@@ -94,7 +95,7 @@ def spliced_seed(spark, d):
     return T.splice(old, new, "seed", 1).select("variant", "seed", F.round("value", 6).alias("value"))
 
 
-@query("SELECT user_id, event_id, round(value, 6) AS value, event_type FROM (SELECT e.*, c_mktsegment FROM events e LEFT JOIN customer ON c_custkey = user_id)")
+@query("SELECT user_id, event_id, event_type, c_mktsegment, c_nationkey::VARCHAR AS c_nationkey FROM events LEFT JOIN customer ON c_custkey = user_id AND c_custkey % 3 <> 0")
 def annotation_join(spark, d):
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), "c_mktsegment")
-    return table(spark, d, "events").join(c, "user_id", "left").select("user_id", "event_id", F.round("value", 6).alias("value"), "event_type")
+    c = table(spark, d, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("user_id"), "c_mktsegment", F.col("c_nationkey").cast("string").alias("c_nationkey"))
+    return H.annotated(table(spark, d, "events").select("user_id", "event_id", "event_type"), c, "user_id")

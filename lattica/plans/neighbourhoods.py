@@ -209,26 +209,28 @@ def nearest_centroid(spark, d):
     return vectors.nearest_centroid(c, vectors.centroids(c, "label", 64), "label").select("id", "label", F.round("d2", 6).alias("d2"))
 
 
-@query("""WITH s AS (SELECT vec_id AS id, embedding[1:8]::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0), a AS (SELECT v FROM s WHERE id % 40 = 0), b AS (SELECT v FROM s WHERE id % 40 <> 0),
-k AS (SELECT 'xx' AS g, x.v AS v, y.v AS w FROM a x, a y UNION ALL SELECT 'yy', x.v, y.v FROM b x, b y UNION ALL SELECT 'xy', x.v, y.v FROM a x, b y),
-m AS (SELECT g, avg(exp(-pow(list_sum(list_transform(list_zip(v, w), lambda z: abs(z[1] - z[2]))), 2) / 2)) AS m FROM k GROUP BY 1)
-SELECT round(sum(CASE WHEN g = 'xy' THEN -2 * m ELSE m END), 9) AS mmd FROM m""")
+@query("""WITH s AS (SELECT vec_id AS id, label < 5 AS a, embedding::DOUBLE[] AS v FROM embeddings),
+k AS (SELECT x.a AS xa, y.a AS ya, x.v AS v, y.v AS w FROM s x, s y WHERE x.a >= y.a),
+m AS (SELECT xa, ya, avg(exp(-pow(list_sum(list_transform(list_zip(v, w), lambda z: abs(z[1] - z[2]))), 2) / 2)) AS m FROM k GROUP BY 1, 2)
+SELECT round(sum(CASE WHEN xa <> ya THEN -2 * m ELSE m END), 9) AS mmd FROM m""")
 def mmd_l1(spark, d):
-    s = cells(spark, d).where("id % 20 = 0").select("id", F.slice("vector", 1, 8).alias("vector"))
-    return vectors.mmd_l1(s.where("id % 40 = 0"), s.where("id % 40 <> 0")).select(F.round("mmd", 9).alias("mmd"))
+    c = cells(spark, d)
+    return vectors.mmd_l1(c.where("label < 5"), c.where("label >= 5")).select(F.round("mmd", 9).alias("mmd"))
 
 
-# mmd_l1 above is a sample that its SQL states; this is the whole of two sections, all components, all pairs
-@query()
+@query("""WITH s AS (SELECT vec_id % 3 = 0 AS a, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 3 < 2),
+k AS (SELECT x.a AS xa, y.a AS ya, x.v AS v, y.v AS w FROM s x, s y WHERE x.a >= y.a),
+m AS (SELECT xa, ya, avg(exp(-pow(list_sum(list_transform(list_zip(v, w), lambda z: abs(z[1] - z[2]))), 2) / 2)) AS m FROM k GROUP BY 1, 2)
+SELECT round(sum(CASE WHEN xa <> ya THEN -2 * m ELSE m END), 9) AS mmd FROM m""")
 def mmd_l1_sections(spark, d):
     c = cells(spark, d)
     return vectors.mmd_l1(c.where("section_id = 0"), c.where("section_id = 1")).select(F.round("mmd", 9).alias("mmd"))
 
 
-@query("""WITH e AS (SELECT vec_id, unnest(range(1, 5)) AS i, unnest(embedding[1:4])::DOUBLE AS x, unnest(embedding[5:8])::DOUBLE AS y FROM embeddings),
+@query("""WITH e AS (SELECT vec_id, unnest(range(1, 33)) AS i, unnest(embedding[1:32])::DOUBLE AS x, unnest(embedding[33:64])::DOUBLE AS y FROM embeddings),
 c AS (SELECT vec_id, i, x - avg(x) OVER (PARTITION BY i) AS x, y - avg(y) OVER (PARTITION BY i) AS y FROM e),
 g AS (SELECT a.i, b.i AS j, sum(a.x * b.y) AS xy, sum(a.x * b.x) AS xx, sum(a.y * b.y) AS yy FROM c a JOIN c b USING (vec_id) GROUP BY 1, 2)
 SELECT round(sum(xy * xy) / sqrt(sum(xx * xx) * sum(yy * yy)), 6) AS cka FROM g""")
 def linear_cka(spark, d):
-    c = cells(spark, d).select(F.slice("vector", 1, 4).alias("a"), F.slice("vector", 5, 4).alias("b"))
-    return vectors.linear_cka(c, "a", "b", 4, 4).select(F.round("cka", 6).alias("cka"))
+    c = cells(spark, d).select(F.slice("vector", 1, 32).alias("a"), F.slice("vector", 33, 32).alias("b"))
+    return vectors.linear_cka(c, "a", "b", 32, 32).select(F.round("cka", 6).alias("cka"))

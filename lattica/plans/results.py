@@ -224,3 +224,15 @@ def printed_values(spark, d):
 def latex_rows(spark, d):
     n = table(spark, d, "nation").withColumn("region", F.when(F.col("n_regionkey") > 0, F.col("n_regionkey")))
     return T.latex_rows(n, ["n_nationkey", "n_name", "region"])
+
+
+@query()
+def mann_whitney_p(spark, d):
+    o = table(spark, d, "orders").withColumnRenamed("o_orderpriority", "g")
+    return S.mann_whitney_p(S.mann_whitney(o, ["g"], "o_orderstatus", "F", "O", "o_totalprice")).select("g", "u", "p")
+
+
+@query(f"""WITH {SEEDS}, d AS (SELECT a.variant, a.rmse - b.rmse AS d FROM seeds a JOIN seeds b USING (seed) WHERE b.variant = 'R-F' AND a.variant = 'A-F' AND a.rmse <> b.rmse),
+r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS rank FROM d) SELECT count(*) AS n, sum(rank) FILTER (d > 0)::DOUBLE AS w FROM r""")
+def wilcoxon(spark, d):
+    return S.wilcoxon(seeds(spark, d), [], "seed", "variant", "A-F", "R-F", "rmse").select("n", "w")

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranges import numbered
 from ..schema import resolve_column
 
 COORDINATES = [("x", "y"), ("x_centroid", "y_centroid"), ("CenterX_global_px", "CenterY_global_px"), ("center_x", "center_y")]
@@ -63,7 +64,7 @@ def read_merfish(spark: SparkSession, expression: str, cells: str, slide: str) -
 def read_starmap(spark: SparkSession, expression: str, cells: str) -> tuple[DataFrame, DataFrame]:
     """The original id is kept beside a dense one, in order of the original."""
     meta, expr = read_paired(spark, expression, cells, key=lambda df: F.col(resolve_column(df, ["NAME", "cell", "_c0"])).cast("string"), drop=("NAME", "cell", "_c0"))
-    dense = meta.select(F.col("cell_id").alias("original_id")).withColumn("cell_id", F.row_number().over(Window.orderBy("original_id")) - 1)
+    dense = numbered(meta.select(F.col("cell_id").alias("original_id")), "original_id", "cell_id")
     meta = meta.withColumnRenamed("cell_id", "original_id").join(dense, "original_id")
     expr = expr.withColumnRenamed("cell_id", "original_id").join(dense, "original_id").select("cell_id", "gene_id", "value")
     return meta, expr

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from lattica import plans
@@ -24,7 +25,7 @@ def duck():
 
 
 def cell(v):
-    if v is None or v != v:
+    if v is None or v is pd.NA or v != v:
         return None
     return f"{float(v):.9g}" if isinstance(v, float) else str(v)
 
