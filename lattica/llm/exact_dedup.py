@@ -1,26 +1,29 @@
 """Exact duplicates with a heavy-hitter split, in DataFrame operations only.
 
-1. A mergeable Misra-Gries summary of the text digests: each scan partition counts
-   its digests and keeps at most ``capacity`` counters, lowered by the next largest
-   count; the summaries are added up and lowered once more. A digest with more than
-   a ``2 / (capacity + 1)`` share of all rows is always found.
+1. A frequent-items sketch of the Misra-Gries family (bounded counters that are lowered when they are full) runs over
+   the text digests: each task fills one, groups of tasks merge theirs, and the groups' are merged. Only sketches
+   are shuffled. A digest with more than a ``2 / (capacity + 1)`` share of all rows is always found.
 2. The candidates are counted exactly; those with two rows or more are verified heavy,
    and the row that stays of each is found by a combined aggregate. At most
    ``capacity`` rows of fixed width: a proven bound for the broadcast.
 3. The winners are broadcast and settle all rows of heavy digests where they are read.
-   The remaining digests, none of them frequent, are shuffled in the ordinary way.
+   The remaining digests, none of them frequent, are shuffled in the ordinary way, and a combined aggregate finds their winners.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
 from .text import SPACES
 
-#: Counters of a summary; rows that are broadcast, of about 100 bytes each.
+#: Frequent digests at most; rows that are broadcast, of about 100 bytes each.
 CAPACITY = 512
+#: Counters of a sketch for each of these. Its error is 3.5 / counters of all rows at most, so a share of 7 / counters is always found.
+COUNTERS = 4
+#: Groups of tasks whose sketches are merged first, so that no task merges those of all.
+MERGERS = 256
 
 
 def normalised(text: Column) -> Column:
@@ -28,20 +31,17 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text.cast("string"), F.lit("")), SPACES, "")
 
 
-def misra_gries(df: DataFrame, key: str, capacity: int = CAPACITY) -> DataFrame:
-    """``(key, counter)`` of the frequent keys: at most ``capacity`` rows.
+def misra_gries(df: DataFrame, key: str, capacity: int = CAPACITY, *figures: Column) -> DataFrame:
+    """``(key, counter)`` of the frequent keys, and aggregates of their rows: at most ``capacity`` rows.
 
     Keys whose share of the rows exceeds ``2 / (capacity + 1)`` are always among them;
-    counters are lower bounds of the counts. Null keys are left out.
+    counters are exact, as the sketch only names candidates. Null keys are left out. No rows: none.
     """
-    counts = df.where(F.col(key).isNotNull()).groupBy(F.spark_partition_id().alias("block"), key).agg(F.count("*").alias("n"))
-    ranked = counts.withColumn("place", F.row_number().over(Window.partitionBy("block").orderBy(F.desc("n"), key))).where(F.col("place") <= capacity + 1)
-    next_ = F.max(F.when(F.col("place") == capacity + 1, F.col("n"))).over(Window.partitionBy("block"))
-    lowered = ranked.select(key, (F.col("n") - F.coalesce(next_, F.lit(0))).alias("n")).where("n > 0")
-    merged = lowered.groupBy(key).agg(F.sum("n").alias("n"))
-    top = checkpointed(merged.orderBy(F.desc("n"), key).limit(capacity + 1))
-    held, last = top.agg(F.count("*"), F.min("n")).first()
-    return top.select(key, (F.col("n") - F.lit(last if held > capacity else 0)).alias("counter")).where("counter > 0")
+    held = max(16, COUNTERS * capacity)
+    by_task = df.where(F.col(key).isNotNull()).groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGERS)).alias("_g")).agg(F.expr(f"approx_top_k_accumulate(`{key}`, {held})").alias("s"))
+    found = by_task.groupBy(F.lit("all").alias("_all")).agg(F.expr(f"approx_top_k_combine(s, {held})").alias("s"))  # a sketch for each group of tasks
+    candidates = checkpointed(found.select(F.explode(F.expr(f"approx_top_k_estimate(s, {capacity})")).alias("c")).select(F.col("c.item").alias(key)))
+    return df.join(F.broadcast(candidates), key).groupBy(key).agg(F.count("*").alias("counter"), *figures)
 
 
 def _better(n_chars: str, doc_id: str) -> Column:
@@ -56,9 +56,8 @@ def _digests(docs: DataFrame) -> DataFrame:
 
 def _winners(rows: DataFrame, capacity: int, best: Column) -> DataFrame:
     """Of each verified heavy digest: ``(digest, best, group_size)``; at most ``capacity`` rows."""
-    candidates = F.broadcast(misra_gries(rows, "digest", capacity).select("digest"))
-    exact = rows.join(candidates, "digest").groupBy("digest").agg(F.max(best).alias("best"), F.count("*").alias("group_size"))
-    return checkpointed(exact.where("group_size > 1"))
+    exact = misra_gries(rows, "digest", capacity, F.max(best).alias("best"))
+    return checkpointed(exact.where("counter > 1").select("digest", "best", F.col("counter").alias("group_size")))
 
 
 def exact_duplicates(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -68,7 +67,7 @@ def exact_duplicates(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     as empty, so all empty texts are one group. Returns one row per row of ``docs``:
     doc_id, keep_id, group_size, kept, text_sha256. Of a group the row with the most code
     points in its original text stays, then that with the smallest doc_id, a null one
-    last; of wholly equal rows exactly one. Empty table: no rows.
+    last; of wholly equal rows exactly one. Texts of any length are digested whole. Empty table: no rows.
     """
     rows = checkpointed(_digests(docs).withColumn("row", F.monotonically_increasing_id()))
     best = F.struct("n_chars", F.col("doc_id").isNotNull().alias("known"), (-F.col("doc_id")).alias("minus_id"), (-F.col("row")).alias("minus_row"))
@@ -76,8 +75,7 @@ def exact_duplicates(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     split = rows.join(F.broadcast(heavy), "digest", "left")
     settled = split.where("best IS NOT NULL")
     rest = split.where("best IS NULL").drop("best", "group_size")
-    group = Window.partitionBy("digest")
-    rest = rest.withColumn("best", F.max(best).over(group)).withColumn("group_size", F.count("*").over(group))
+    rest = rest.join(rest.groupBy("digest").agg(F.max(best).alias("best"), F.count("*").alias("group_size")), "digest")
     both = settled.select("doc_id", "row", "digest", "best", "group_size").union(rest.select("doc_id", "row", "digest", "best", "group_size"))
     return both.select(
         "doc_id",
