@@ -8,35 +8,42 @@ Counts are maximum-likelihood counts. The weights of each bucket of context freq
 expectation-maximisation on held-out counts: a tenth of the training texts is deleted, and their
 tokens are scored by the counts of the others. The final estimates use all training texts.
 
-How counts move. Texts are scanned in blocks of bounded rows. A block sends each of its distinct
+How counts move. Texts are scanned in blocks of bounded bytes. A block sends each of its distinct
 n-grams once, as packed 64-bit hashes dealt out by hash, with its own counts; the reducers of each hash
 range add up all blocks' counts and send back the totals. Neither the vocabulary nor any
-n-gram table is ever held whole anywhere, and a frequent n-gram is one entry per block.
+n-gram table is ever held whole anywhere, and a frequent n-gram is one entry per block. Sorted hashes move as differences, so
+an entry takes about 6 bytes; a block sends a row to a range only if it has an entry there, so what is sent is never more than
+a row for each entry, and grows with the input.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
 from ..session import checkpointed
 
-#: Rows of a scan partition that make a block.
-BLOCK_ROWS = 8192
+#: Bytes of text of a scan partition that make a block; a longer text is a block of its own.
+BLOCK_BYTES = 24_000_000
 #: Bytes of text for each range of hashes.
 RANGE_BYTES = 12_000_000
 #: Buckets of context frequency: 0, 1, 2-3, 4-7, ... the last is open.
 BUCKETS = 24
 #: Probabilities on held-out tokens are gathered in steps of 1/4 of a power of two, down to 2**-40; index 0 is for zero.
+#: So the weights are learned from probabilities that are off by at most a factor of 2**(1/8), 9 %; scores use exact ones.
 STEPS, LOWEST = 4, 40
 GRID = STEPS * LOWEST + 2
+#: Shorter packed values aren't compressed.
+_PLAIN = 256
 
 _END = np.uint64(0xE4D0F7E475E4D0F7)
 _START = np.uint64(0x57A8757A8757A875)
@@ -76,17 +83,35 @@ def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _pack(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(values.tobytes())
+    """Numbers with their first bytes together, then their second ones, and so on, as the high ones are mostly zeros; short ones as they are."""
+    raw = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+    return b"\0" + raw if len(raw) < _PLAIN else b"\1" + zstandard.ZstdCompressor(level=1).compress(raw)
 
 
-def _unpack(packed: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint32)
+def _unpack(packed: bytes, kind: type = np.uint32) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(packed[1:]) if packed[0] else packed[1:]
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-def _ranges_of(sorted_hashes: np.ndarray, ranges: int) -> np.ndarray:
-    """Where each of ``ranges`` equal ranges of 64-bit hashes begins; the last entry is the end."""
-    edges = [np.uint64(k * (1 << 64) // ranges) for k in range(1, ranges)]
-    return np.concatenate([[0], np.searchsorted(sorted_hashes, np.array(edges, np.uint64)), [len(sorted_hashes)]]).astype(np.int64)
+def _pack_keys(sorted_hashes: np.ndarray) -> bytes:
+    return _pack(np.diff(sorted_hashes, prepend=np.uint64(0)))
+
+
+def _unpack_keys(packed: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(packed, np.uint64), dtype=np.uint64)
+
+
+@lru_cache(maxsize=2)
+def _edges(ranges: int) -> np.ndarray:
+    return np.array([k * (1 << 64) // ranges for k in range(1, ranges)], np.uint64)
+
+
+def _ranges_of(sorted_hashes: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges, of ``ranges`` equal ones of 64-bit hashes, that have an entry, and where each begins; the last entry is the end."""
+    place = np.searchsorted(_edges(ranges), sorted_hashes, "right")
+    own, at = np.unique(place, return_index=True)
+    return own, np.append(at, len(place))
 
 
 def _block_rows(block: int, group: int, texts: pa.Array, ranges: int) -> Iterator[tuple]:
@@ -95,11 +120,9 @@ def _block_rows(block: int, group: int, texts: pa.Array, ranges: int) -> Iterato
     starts = np.full(len(begin) - 1, _START, np.uint64)
     for kind, grams in ((UNIGRAM, np.concatenate([tokens, starts])), (BIGRAM, bigrams)):
         keys, counts = np.unique(grams, return_counts=True)
-        at = _ranges_of(keys, ranges)
-        for k in range(ranges):
-            part = slice(at[k], at[k + 1])
-            if at[k] < at[k + 1]:
-                yield (k, kind, block, group, keys[part].tobytes(), _pack(counts[part].astype(np.uint32)))
+        own, at = _ranges_of(keys, ranges)
+        for k, start, end in zip(own.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+            yield (k, kind, block, group, _pack_keys(keys[start:end]), _pack(counts[start:end].astype(np.uint32)))
 
 
 _SENT = "range int, kind int, block long, grp int, keys binary, counts binary"
@@ -143,7 +166,7 @@ def _totals(sent: DataFrame) -> DataFrame:
     """
 
     def add_up(key, frame: pd.DataFrame) -> pd.DataFrame:
-        keys = [np.frombuffer(x, np.uint64) for x in frame["keys"]]
+        keys = [_unpack_keys(x) for x in frame["keys"]]
         distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
         ends = np.cumsum([len(x) for x in keys])
         sums = np.zeros((2, len(distinct)), np.int64)
@@ -220,7 +243,23 @@ def learn_weights(cells: np.ndarray, counts: np.ndarray, v: int, rounds: int = 2
     return weights
 
 
-def score_texts(docs: DataFrame, held_out: Column, *, deleted: Column | None = None, block_rows: int = BLOCK_ROWS, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def _blocked(base: DataFrame, block_bytes: int) -> DataFrame:
+    """``base(doc_id, text, grp)`` with ``block``: in each scan partition a new one when the texts of the last have ``block_bytes``."""
+    schema = "doc_id long, text string, grp int, block long"
+
+    def deal(batches):
+        first, total = TaskContext.get().partitionId() << 33, 0
+        for batch in batches:
+            sizes = np.diff(T.utf8(batch.column("text"))[1])
+            upto = total + np.cumsum(sizes) - sizes
+            blocks = first + upto // block_bytes
+            total += int(sizes.sum())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), batch.column("grp"), pa.array(blocks, pa.int64())], ["doc_id", "text", "grp", "block"])
+
+    return base.mapInArrow(deal, schema)
+
+
+def score_texts(docs: DataFrame, held_out: Column, *, deleted: Column | None = None, block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Scores every text of ``docs(doc_id, text)`` with a model learned from those that aren't held out.
 
     ``held_out`` and ``deleted`` are boolean columns of ``docs``; ``deleted`` (by default one training
@@ -230,15 +269,12 @@ def score_texts(docs: DataFrame, held_out: Column, *, deleted: Column | None = N
     Returns doc_id, held_out, n_tokens (words and one end), n_known (tokens that training texts hold),
     train_tokens, base_score (add-0.1 unigrams), score (the model's log10 probability).
     Null and empty texts consist of the end. Repeated rows count as often as they come and have equal
-    scores. Without training texts both estimates are uniform. Empty table: no rows.
+    scores. Without training texts both estimates are uniform. A text of any length is scored whole, in one task. Empty table: no rows.
     """
     deleted = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("deleted")), F.lit(10)) == 0 if deleted is None else deleted
     group = F.when(held_out, UNSEEN).when(deleted, DELETED).otherwise(TRAIN)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), group.cast("int").alias("grp"),
-        F.floor(F.monotonically_increasing_id() / block_rows).cast("long").alias("block"),
-    )
+    base = _blocked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), group.cast("int").alias("grp")), block_bytes)
     ranges = max(1, -(-(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // range_bytes))
     totals = checkpointed(_totals(_sent(base, ranges)))
     sums = totals.where("block IS NULL").groupBy("kind").agg(F.sum("n_kept").alias("n_kept"), F.sum("n_deleted").alias("n_deleted"), F.sum("v").alias("v"))
