@@ -11,13 +11,15 @@ the stream up to boundary i at token p(i),
 and the minimum over a moving window is kept by a monotone queue: constant time per boundary. The last
 window costs what its rest does below.
 
-A stream goes through in runs of bounded tokens; what is left after the last full window of a run
-goes on to the next, so that only a partition's end has a short window. That rest is
+A stream goes through in runs of bounded tokens. Of a run only the windows are cut that all least-cost ways to its last window's length of
+boundaries share; the rest goes on to the next run. So runs don't show in the result: the cuts are the best of the whole partition,
+and only its end has a short window. That rest is
 split into powers of two, which need no padding, where this costs less than padding it.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
 
 import numpy as np
@@ -36,6 +38,8 @@ RUN_TOKENS = 1 << 20
 #: Bytes of text that are tokenised at once, and distinct words that a worker remembers.
 BATCH_BYTES, CACHE_WORDS = 4 << 20, 3_000_000
 TOKENIZER = "word_bpe_49k.json"
+#: Texts that a worker tokenises both ways.
+TRIAL_TEXTS = 64
 
 DOC, SENTENCE, HARD = 0, 1, 2
 
@@ -49,13 +53,15 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 class WordIds:
     """Ids of whole texts from ids of words: exact for tokenizers that never look across white space.
 
-    Distinct words are tokenised once and remembered in sorted arrays, by 64-bit hash.
+    Distinct words are tokenised once and remembered in sorted arrays, by 64-bit hash. The first texts that a worker sees are
+    tokenised both ways; where these differ it takes whole texts from then on, with sentence ends unknown.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_word: bool | None = None  # not yet known
         self.forget()
 
     def forget(self) -> None:
@@ -81,6 +87,16 @@ class WordIds:
     def encode(self, data: np.ndarray, offsets: np.ndarray):
         """``(ids, first, word_end, is_last)``: ids of all texts in a row, where each text starts, and after which
         ids a word ends, with whether it ends a sentence."""
+        if self.by_word is None:
+            self.by_word = True  # try it
+            ids, first, *_ = self.encode(data, offsets)
+            texts = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offsets[:TRIAL_TEXTS], offsets[1 : TRIAL_TEXTS + 1], strict=False)]
+            whole = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            self.by_word = all(own.ids == ids[first[k] : first[k + 1]].tolist() for k, own in enumerate(whole))
+        if not self.by_word:
+            whole = self.tokenizer.encode_batch_fast([data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offsets, offsets[1:], strict=False)], add_special_tokens=False)
+            first = np.concatenate([[0], np.cumsum([len(own.ids) for own in whole])]).astype(np.int64)
+            return np.fromiter((i for own in whole for i in own.ids), np.uint32, int(first[-1])), first, np.zeros(0, np.int64), np.zeros(0, bool)
         hashes, first, start, end = T.words(data, offsets, fold_case=False, spans=True)
         if len(self.keys) > CACHE_WORDS:
             self.forget()
@@ -111,20 +127,15 @@ def encoder(path: str) -> WordIds:
     return _encoders[path]
 
 
-def cut_windows(position: np.ndarray, kind: np.ndarray, length: int, sentence_penalty: int = SENTENCE_PENALTY, hard_penalty: int = HARD_PENALTY, rest_cost=lambda size: 0) -> list[int]:
-    """Indexes of the boundaries at which windows end, the last boundary included.
-
-    ``position``: increasing token positions of all boundaries, each at most ``length`` after the one
-    before; ``kind``: DOC, SENTENCE or HARD. The stream starts at 0 and ends at the last position.
-    The last window isn't padded: it costs ``rest_cost`` of its size.
-    """
+def _ways_back(position: np.ndarray, kind: np.ndarray, length: int, sentence_penalty: int, hard_penalty: int) -> tuple[list, list]:
+    """Least cost up to each boundary, 0 being the start, as a cut, and the boundary where the last window of that way starts."""
     n = len(position)
     places = position.tolist()
     cost = (np.array([0, sentence_penalty, hard_penalty])[kind] + length - position).tolist()
-    best, back = [0] * (n + 1), [0] * (n + 1)  # boundary 0 is the start
+    best, back = [0] * (n + 1), [0] * (n + 1)
     queue, key, at = [0], [0], [0]  # boundaries in reach, with rising f(j) + p(j), and their positions
     head = 0
-    for i in range(n - 1):
+    for i in range(n):
         p = places[i]
         while at[head] < p - length:
             head += 1
@@ -139,20 +150,55 @@ def cut_windows(position: np.ndarray, kind: np.ndarray, length: int, sentence_pe
         queue.append(i + 1)
         key.append(own)
         at.append(p)
+    return best, back
+
+
+def _cuts_to(back: list[int], i: int) -> list[int]:
+    cuts = []
+    while i > 0:
+        cuts.append(i - 1)
+        i = back[i]
+    return cuts[::-1]
+
+
+def cut_windows(position: np.ndarray, kind: np.ndarray, length: int, sentence_penalty: int = SENTENCE_PENALTY, hard_penalty: int = HARD_PENALTY, rest_cost=lambda size: 0) -> list[int]:
+    """Indexes of the boundaries at which windows end, the last boundary included.
+
+    ``position``: increasing token positions of all boundaries, each at most ``length`` after the one
+    before; ``kind``: DOC, SENTENCE or HARD. The stream starts at 0 and ends at the last position.
+    The last window isn't padded: it costs ``rest_cost`` of its size.
+    """
+    n = len(position)
+    best, back = _ways_back(position, kind, length, sentence_penalty, hard_penalty)
+    places = [0, *position.tolist()]
     reach, least = n - 1, None
     while reach >= 0:
-        size = places[-1] - (places[reach - 1] if reach else 0)
+        size = places[n] - places[reach]
         if size > length:
             break
         total = best[reach] + rest_cost(size)
         if least is None or total < least:
             least, back[n] = total, reach
         reach -= 1
-    cuts, i = [], n
-    while i > 0:
-        cuts.append(i - 1)
-        i = back[i]
-    return cuts[::-1]
+    return _cuts_to(back, n)
+
+
+def shared_cuts(position: np.ndarray, kind: np.ndarray, length: int, sentence_penalty: int = SENTENCE_PENALTY, hard_penalty: int = HARD_PENALTY) -> list[int]:
+    """Indexes of the cuts that are settled whatever follows: those on the way to every boundary at which a later window may start."""
+    _, back = _ways_back(position, kind, length, sentence_penalty, hard_penalty)
+    open_ = [int(i) + 1 for i in np.flatnonzero(position >= position[-1] - length)]
+    if position[-1] <= length:
+        open_.append(0)
+    heap = [-i for i in set(open_)]
+    heapq.heapify(heap)
+    while len(heap) > 1:  # the latest goes one window back until all ways are one
+        latest = -heapq.heappop(heap)
+        while heap and heap[0] == -latest:
+            heapq.heappop(heap)
+        if not heap:
+            return _cuts_to(back, latest)
+        heapq.heappush(heap, -back[latest])
+    return _cuts_to(back, -heap[0])
 
 
 def boundaries(n_tokens: int, doc_end: np.ndarray, sentence_end: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -203,12 +249,11 @@ class _Stream:
         ids = np.concatenate(self.ids)
         sentences = np.concatenate(self.sentence_end)
         position, kind = boundaries(self.size, np.array([d[3] for d in self.docs]), sentences, self.length)
-        ends = [int(position[k]) for k in cut_windows(position, kind, self.length, rest_cost=(lambda size: rest_cost(size, self.length)) if final else lambda size: 0)]
+        found = cut_windows(position, kind, self.length, rest_cost=lambda size: rest_cost(size, self.length)) if final else shared_cuts(position, kind, self.length)
+        ends = [int(position[k]) for k in found]
         if final:
             begin = ends[-2] if len(ends) > 1 else 0
             ends[-1:] = [begin + x for x in np.cumsum(split_rest(self.size - begin, self.length)).tolist()]
-        else:
-            ends.pop()  # the last window may yet grow
         at, k = 0, 0
         for end in ends:
             offset = 0
@@ -233,7 +278,8 @@ def pack_documents(docs: DataFrame, *, length: int = LENGTH, end_id: int = END_I
     A document's tokens are its text's ids and then ``end_id``; a null or empty text has the end alone. Each token lies
     in one piece, and pieces of a sequence follow one another from offset 0. Returns doc_id, start (the document's
     tokens before the piece), length, ids_crc32 (of its little-endian 32-bit ids), doc_tokens, sequence_id, offset.
-    Null doc_ids are kept; repeated rows are packed as often as they come. Empty table: no rows.
+    Null doc_ids are kept; repeated rows are packed as often as they come. Empty table: no rows. A text of any length is taken whole; its
+    tokens must fit a task.
     ``path`` names a tokenizer file that the tasks can open (default: the installed one).
     No shuffle; a sequence_id holds the partition's number in its upper bits.
     """
@@ -241,7 +287,7 @@ def pack_documents(docs: DataFrame, *, length: int = LENGTH, end_id: int = END_I
 
     def pack(batches):
         words = encoder(path or tokenizer_path())
-        stream = _Stream(length, TaskContext.get().partitionId() << 33)
+        stream, limit = _Stream(length, TaskContext.get().partitionId() << 33), RUN_TOKENS
 
         def flush():
             columns = list(zip(*stream.rows, strict=True)) or [[]] * len(types)
@@ -262,8 +308,9 @@ def pack_documents(docs: DataFrame, *, length: int = LENGTH, end_id: int = END_I
                 for k in range(hi - lo):
                     own = np.concatenate([ids[first[k] : first[k + 1]], end])
                     stream.add(names[lo + k], own, closed[inside[k] : inside[k + 1]] - first[k])
-                    if stream.size >= RUN_TOKENS:
+                    if stream.size >= limit:
                         stream.cut(final=False)
+                        limit = max(RUN_TOKENS, 2 * stream.size)
                 lo = hi
             if len(stream.rows) > 10_000:
                 yield flush()
