@@ -1,11 +1,15 @@
 """Quality rules: length and repetition, then divergence from language references.
 
 In DataFrame operations only. Each text gets two histograms, of character classes
-and of common words. The references are the pooled histograms of all sufficiently
-long texts of each language. A text's distance from a reference is the mean of the two
+and of common words. The references are the pooled histograms of the sufficiently
+long texts of each language that pass the base rules, so that what these reject doesn't move the yardstick. A text's distance from
+a reference is the mean of the two
 Jensen-Shannon distances (base 2, so from 0 to 1); it is held against the reference
 of its own language, or, where that is unknown, against the nearest. Texts below a
 minimum length have histograms too coarse to judge and are not rejected by distance.
+
+Texts are scanned once: the figures and histograms of each are stored in a table, from which both
+the references and the verdicts are made.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .cluster import packed, stored, unpacked
 from .text import SPACE
 from .url_filter import fold
 
@@ -90,20 +95,38 @@ def _with_counts(docs: DataFrame) -> DataFrame:
     return out.withColumn("_common", let(common, histogram))
 
 
-def language_references(docs: DataFrame, min_words: int = MIN_WORDS) -> list[dict]:
-    """Pooled histograms of the long enough texts of each known language: at most one row each."""
-    rows = _with_counts(docs.select("lang", "text").where(F.col("lang").isin(*COMMON_WORDS))).where(F.size("_words") >= min_words)
-    pooled = rows.groupBy("lang").agg(
+def _measured(docs: DataFrame, *kept: str) -> DataFrame:
+    """What the rules need of each text, and the columns ``kept``, as a stored table."""
+    n_words = F.size("_words")
+    out = _with_counts(docs)
+    lines = F.filter(F.split("_text", "\n"), lambda x: F.length(F.regexp_replace(x, SPACE, "")) > 0)
+    out = out.withColumn("_repeats", repeated_words(F.col("_words")))
+    out = out.withColumn("_dup_lines", let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"))
+    at = {name: k for k, (name, _) in enumerate(CLASSES)}
+    return stored(out.select(
+        *kept, F.col("lang").cast("string").alias("_lang"), n_words.cast("long").alias("_n_words"), (F.char_length("_text") - F.col("_classes")[at["space"]]).cast("long").alias("_word_chars"),
+        F.col("_classes")[at["symbol"]].alias("_n_symbols"), "_dup_lines", "_repeats", ((n_words < 10) | (100 * F.col("_repeats") > 20 * n_words)).alias("_failed"), "_classes", "_common",
+    ))
+
+
+def _references(measured: DataFrame, min_words: int) -> list[dict]:
+    rows = measured.where(F.col("_lang").isin(*COMMON_WORDS) & (F.col("_n_words") >= min_words) & ~F.col("_failed"))
+    pooled = rows.groupBy("_lang").agg(
         *(F.sum(F.col("_classes")[k]).alias(f"c{k}") for k in range(len(CLASSES) + 1)),
         *(F.sum(F.col("_common")[k]).alias(f"w{k}") for k in range(len(BINS) + 1)),
     )
     found = []
     for row in pooled.collect():  # as many rows as COMMON_WORDS has languages at most
         classes, common = [row[f"c{k}"] for k in range(len(CLASSES) + 1)], [row[f"w{k}"] for k in range(len(BINS) + 1)]
-        found.append({"lang": row["lang"], "classes": [x / sum(classes) for x in classes], "common": [x / sum(common) for x in common]})
+        found.append({"lang": row["_lang"], "classes": [x / sum(classes) for x in classes], "common": [x / sum(common) for x in common]})
     return sorted(found, key=lambda r: r["lang"])
 
 
+def language_references(docs: DataFrame, min_words: int = MIN_WORDS) -> list[dict]:
+    """Pooled histograms of the long enough texts of each known language that pass the base rules: at most one row each."""
+    return _references(_measured(docs.select("lang", "text")), min_words)
+
+
 def js_distance(counts: Column, reference: list[float]) -> Column:
     """Jensen-Shannon distance (base 2) of a histogram from a distribution; an empty one has distance 1."""
     total = F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + x)
@@ -119,24 +142,17 @@ def js_distance(counts: Column, reference: list[float]) -> Column:
     return F.when(total > 0, let(total, distance)).otherwise(1.0)
 
 
-def _judged(docs: DataFrame, references: list[dict] | None, min_words: int, max_distance: float) -> DataFrame:
-    references = language_references(docs, min_words) if references is None else references
-    n_words = F.size("_words")
-    out = _with_counts(docs)
-    lines = F.filter(F.split("_text", "\n"), lambda x: F.length(F.regexp_replace(x, SPACE, "")) > 0)
-    out = out.withColumn("_repeats", repeated_words(F.col("_words")))
-    out = out.withColumn("_dup_lines", let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"))
-    out = out.withColumn("_failed", (n_words < 10) | (100 * F.col("_repeats") > 20 * n_words))
+def _judged(measured: DataFrame, references: list[dict] | None, min_words: int, max_distance: float) -> DataFrame:
+    references = _references(measured, min_words) if references is None else references
     if references:
         each = {r["lang"]: (js_distance(F.col("_classes"), r["classes"]) + js_distance(F.col("_common"), r["common"])) / 2 for r in references}
-        nearest = F.array_min(F.array(*each.values()))
-        distance = nearest
+        distance = F.array_min(F.array(*each.values()))
         for name, own in each.items():
-            distance = F.when(F.col("lang") == name, own).otherwise(distance)
-        distance = F.when(n_words >= min_words, F.round(distance, 9))
+            distance = F.when(F.col("_lang") == name, own).otherwise(distance)
+        distance = F.when(F.col("_n_words") >= min_words, F.round(distance, 9))
     else:
         distance = F.lit(None).cast("double")
-    out = out.withColumn("_distance", distance)
+    out = measured.withColumn("_distance", distance)
     return out.withColumn("_kept", ~F.col("_failed") & F.coalesce(F.col("_distance") <= max_distance, F.lit(True)))
 
 
@@ -147,29 +163,17 @@ def quality_verdicts(docs: DataFrame, *, references: list[dict] | None = None, m
     base_failed, distance (null where too short to judge) and kept. A null or empty text has
     no words and fails the base. A null or unknown lang is held against the nearest reference; if
     no text is long enough for a reference, there is no distance and the base decides.
-    Repeated rows have equal verdicts. Empty table: no rows. Two scans, no shuffle of texts.
+    Repeated rows have equal verdicts. Empty table: no rows. Texts are scanned once and not shuffled.
     """
-    out = _judged(docs.select("doc_id", "text", "lang"), references, min_words, max_distance)
-    at = {name: k for k, (name, _) in enumerate(CLASSES)}
+    out = _judged(_measured(docs.select("doc_id", "text", "lang"), "doc_id"), references, min_words, max_distance)
     return out.select(
-        "doc_id",
-        F.size("_words").cast("long").alias("n_words"),
-        (F.char_length("_text") - F.col("_classes")[at["space"]]).cast("long").alias("word_chars"),
-        F.col("_classes")[at["symbol"]].alias("n_symbols"),
-        F.col("_dup_lines").alias("n_dup_lines"),
-        F.col("_repeats").alias("n_repeat_words"),
-        F.col("_failed").alias("base_failed"),
-        F.col("_distance").alias("distance"),
-        F.col("_kept").alias("kept"),
-    )
+        "doc_id", F.col("_n_words").alias("n_words"), F.col("_word_chars").alias("word_chars"), F.col("_n_symbols").alias("n_symbols"), F.col("_dup_lines").alias("n_dup_lines"),
+        F.col("_repeats").alias("n_repeat_words"), F.col("_failed").alias("base_failed"), F.col("_distance").alias("distance"), F.col("_kept").alias("kept"),
+    )
 
 
-def keep_by_rules(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with exactly its columns."""
-    names = docs.columns
-    inner = docs.select(F.struct(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names))).alias("_row"), F.col("text").alias("text"), F.col("lang").alias("lang"))
-    settings = {"references": None, "min_words": MIN_WORDS, "max_distance": MAX_DISTANCE} | options
-    judged = _judged(inner, **settings)
-    # a filter would be pushed down, and the whole verdict with it, into one expression that computes its parts again and again
-    kept = judged.select(F.explode(F.when(F.col("_kept"), F.array("_row"))).alias("_row"))
-    return kept.select(*(F.col(f"_row.c{k}").alias(c) for k, c in enumerate(names)))
+def keep_by_rules(docs: DataFrame, *, references: list[dict] | None = None, min_words: int = MIN_WORDS, max_distance: float = MAX_DISTANCE) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with exactly its columns; whole rows go through the stored table."""
+    rows = packed(docs, "text", "lang")
+    judged = _judged(_measured(rows, "row"), references, min_words, max_distance)
+    return judged.where("_kept").select(*unpacked(docs.columns))

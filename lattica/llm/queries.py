@@ -127,21 +127,23 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || c
 FROM c GROUP BY conv_id
 """
 
-#: Holds for rates below MAX_DRAWN_RATE; above, documents draw their whole rate and this SQL only the rest of it.
+_U = "('0x' || substr(md5({name}), 1, 12))::BIGINT / 281474976710656.0::DOUBLE"
 _OP6 = rf"""
 WITH d AS (SELECT doc_id, source, coalesce(source, '') AS s, length(coalesce(text, '')) AS c FROM documents),
 per AS (SELECT s, sum(c)::DOUBLE AS chars FROM d GROUP BY s),
 total AS (SELECT sum(chars) AS chars, count(*) FILTER (WHERE chars > 0) AS n FROM per),
 rates AS (SELECT s, CASE WHEN per.chars > 0 THEN 1.0 / total.n * total.chars / per.chars ELSE 1.0 END AS rate FROM per, total),
+draws AS (
+  SELECT s, rate, 0 AS draw, rate - floor(rate / {mixing.MAX_DRAWN_RATE}) * {mixing.MAX_DRAWN_RATE} AS part FROM rates
+  UNION ALL SELECT s, rate, unnest(range(1, floor(rate / {mixing.MAX_DRAWN_RATE})::BIGINT + 1)), {mixing.MAX_DRAWN_RATE}::DOUBLE FROM rates
+),
 steps AS (
-  SELECT s, rate, floor(rate / {mixing.MAX_DRAWN_RATE}) * {mixing.MAX_DRAWN_RATE} AS sure, k,
-    sum(CASE WHEN k = 0 THEN exp(-(rate - sure)) WHEN rate - sure <= 0 THEN 0 ELSE exp(-(rate - sure) + k * ln(rate - sure) - lgamma(k + 1)) END) OVER (PARTITION BY s ORDER BY k) AS p
-  FROM rates, range(160) AS t(k)
+  SELECT s, rate, draw, sum(CASE WHEN k = 0 THEN exp(-part) WHEN part <= 0 THEN 0 ELSE exp(-part + k * ln(part) - lgamma(k + 1)) END) OVER (PARTITION BY s, draw ORDER BY k) AS p
+  FROM draws, range(160) AS t(k)
 ),
-u AS (SELECT *, ('0x' || substr(md5('{mixing.SEED}:' || doc_id), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u FROM d),
 drawn AS (
-  SELECT doc_id, source, any_value(rate) AS rate, (any_value(sure) + count(*) FILTER (WHERE p <= u))::INT AS copies
-  FROM u JOIN steps USING (s) GROUP BY doc_id, source
+  SELECT doc_id, source, any_value(rate) AS rate, (count(*) FILTER (WHERE p <= CASE WHEN draw = 0 THEN {_U.format(name=f"'{mixing.SEED}:' || doc_id")} ELSE {_U.format(name=f"'{mixing.SEED}:' || doc_id || ':draw:' || draw")} END))::INT AS copies
+  FROM d JOIN steps USING (s) GROUP BY doc_id, source
 ),
 each AS (SELECT doc_id, source, unnest(range(copies))::INT AS copy, copies, rate FROM drawn)
 SELECT doc_id, source, copy, copies, round(rate, 9) AS rate, md5('{mixing.SEED}:' || doc_id || ':' || copy) AS shuffle_key FROM each
@@ -172,7 +174,8 @@ hist AS (
   UNION ALL SELECT doc_id, 'c', '(other)', n - {" - ".join(f"c{k}" for k in range(len(own)))} FROM c
 ),
 p AS (SELECT doc_id, h, b, hist.n / sum(hist.n) OVER (PARTITION BY doc_id, h)::DOUBLE AS p FROM hist JOIN c USING (doc_id) WHERE c.n_words >= {m}),
-pool AS (SELECT lang, h, b, sum(hist.n) AS n FROM hist JOIN c USING (doc_id) WHERE c.n_words >= {m} AND lang IN ({langs}) GROUP BY ALL),
+passed AS (SELECT c.doc_id FROM c LEFT JOIN cov USING (doc_id) WHERE c.n_words >= {m} AND 100 * coalesce(n_repeat_words, 0) <= 20 * c.n_words),
+pool AS (SELECT lang, h, b, sum(hist.n) AS n FROM hist JOIN c USING (doc_id) JOIN passed USING (doc_id) WHERE lang IN ({langs}) GROUP BY ALL),
 q AS (SELECT lang, h, b, n / sum(n) OVER (PARTITION BY lang, h)::DOUBLE AS q FROM pool),
 js AS (SELECT doc_id, q.lang, h, sqrt(greatest(0, least(1, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2))) AS js FROM p JOIN q USING (h, b) GROUP BY ALL),
 far AS (SELECT doc_id, lang, avg(js) AS far FROM js GROUP BY ALL),
