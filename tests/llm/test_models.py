@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lattica.llm import cluster, interpolation, mixing, packing, pairwise_quality, queries, sentence_dedup
+from lattica.llm import cluster, interpolation, mixing, near_dup, packing, pairwise_quality, queries, sentence_dedup
 
 WORDS = "the of and to in house river stone walk quick".split()
 
@@ -148,6 +148,35 @@ def test_ranking_weights_solve_the_pairs():
     assert ((r.score(x) >= pairwise_quality.CUT) == (y == 1)).mean() > 0.93
 
 
+def test_ranking_weights_equal_gradient_descent():
+    """The same loss by plain gradient descent over all drawn pairs, a step at a time."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(60, 3)) * [1.0, 5.0, 0.2]
+    y = (x[:, 0] + rng.normal(size=60) > 0).astype(int)
+    r = pairwise_quality.learn_ranking(x, y, pairs_each=4, ridge=0.05)
+    z = np.clip((x - x.mean(0)) / x.std(0), -8, 8)
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    draw = np.random.default_rng(20240607)
+    winners = np.concatenate([np.repeat(good, 4), draw.choice(good, len(bad) * 4)])
+    losers = np.concatenate([draw.choice(bad, len(good) * 4), np.repeat(bad, 4)])
+    w = np.zeros(3)
+    for _ in range(20_000):
+        slope = 0.05 * w
+        for k in range(3):
+            slope[k] -= np.mean((z[winners, k] - z[losers, k]) / (1 + np.exp((z[winners] - z[losers]) @ w)))
+        w -= 0.5 * slope
+        if np.abs(slope).max() < 1e-10:
+            break
+    assert np.allclose(r.weights, w, atol=1e-6)
+    assert r.threshold == pytest.approx(np.quantile(z @ w, len(bad) / 60), abs=1e-5)
+
+
+def test_a_score_at_the_cut_is_predicted_good():
+    r = pairwise_quality.Ranking(np.zeros(1), np.ones(1), np.ones(1), 0.5, 1.0)
+    assert r.score(np.array([[0.5], [0.5 + 1e-6], [0.5 - 1e-3]])) == pytest.approx([0.3, 0.3, 0.3], abs=1e-3)
+    assert r.score(np.array([[0.5 + 1e-6]]))[0] >= pairwise_quality.CUT > r.score(np.array([[0.5 - 1e-3]]))[0]
+
+
 def test_mixing_reaches_targets(spark):
     rng = random.Random(1)
     rows = [(i, "x" * rng.randrange(1, 200), rng.choice("aaaaaaaabbc"), "n", 5) for i in range(6000)]
@@ -254,6 +283,35 @@ def test_cuts_are_optimal(steps):
     assert cuts[-1] == len(steps) - 1 and got == best[-1]
 
 
+@pytest.mark.parametrize("run_tokens", [64, 500, 5000])
+def test_runs_do_not_show_in_the_cuts(monkeypatch, run_tokens):
+    rng = np.random.default_rng(4)
+    docs = [(k, rng.integers(5, 900, int(n)).astype(np.uint32)) for k, n in enumerate(rng.integers(1, 400, 150))]
+
+    def pieces(limit):
+        stream, at = packing._Stream(256, 0), limit
+        for k, ids in docs:
+            stream.add(k, ids, np.flatnonzero(ids % 11 == 0) + 1)
+            if stream.size >= at:
+                stream.cut(final=False)
+                at = max(limit, 2 * stream.size)
+        stream.cut(final=True)
+        return stream.rows
+
+    assert pieces(run_tokens) == pieces(1 << 40)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_any_tokenizer_gives_its_own_ids(name):
+    path = packing.tokenizer_path(name)
+    texts = ["Two  words\n\n and   more. ", "", "x", "it's 12 %% \t a."]
+    data = "".join(texts).encode()
+    offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    ids, first, *_ = packing.WordIds(path).encode(np.frombuffer(data, np.uint8), offsets)
+    whole = TOKENIZER.from_file(path)
+    assert [ids[a:b].tolist() for a, b in zip(first, first[1:])] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def plain_spans(rows, span, min_words):
     first, gone = {}, {}
     for i, text in sorted(rows, key=lambda r: (r[0] is None, r[0])):
@@ -349,3 +407,20 @@ def test_mixing_counts_of_large_rates_are_poisson(spark, rate):
     counts = Counter(r.doc_id for r in mixing.mix_sources(docs, size=rate).select("doc_id").collect())
     n = np.array([counts[i] for i in range(2000)])
     assert abs(n.mean() / rate - 1) < 0.02 and abs(n.var() / rate - 1) < 0.15
+
+
+def test_very_long_texts(spark, tmp_path):
+    """A text of 200,000 words through the operators that run Python, beside short ones."""
+    rng = random.Random(12)
+    long = " ".join(rng.choice(WORDS) + str(rng.randrange(500)) for _ in range(200_000)) + "."
+    rows = [(1, long), (2, long + " more"), (3, "a short text of seven words here"), (4, None)]
+    docs = stored(spark, tmp_path, rows)
+    scored = {r.doc_id: r for r in interpolation.score_texts(docs, F.col("doc_id") == 3).collect()}
+    assert scored[1].n_tokens == 200_001 and scored[2].n_tokens == 200_002 and scored[1].n_known == 200_001
+    near = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs).collect()}
+    assert near == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert check_packing(rows, packing.pack_documents(docs).collect()) < 0.02
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int")
+    assert pairwise_quality.score_quality(docs, labels, F.lit(True)).where("score IS NOT NULL").count() == 4
+    cleaned = {r.doc_id: r for r in sentence_dedup.drop_repeated_spans(docs).collect()}
+    assert cleaned[1].text == long and len(cleaned[2].text.split()) < 100 and cleaned[3].n_removed == 0
