@@ -349,10 +349,20 @@ def test_repeated_spans_equal_brute_force(spark, span):
 def test_repeated_rows_count_once(spark):
     text = "One two three four five. Six seven eight nine ten. Eleven twelve thirteen fourteen."
     docs = spark.createDataFrame([(1, text), (1, text), (2, text), (1, "else. other. third one.")], "doc_id long, text string")
-    found = sentence_dedup.drop_repeated_spans(docs).collect()
+    found = sentence_dedup.drop_repeated_spans(docs, min_words=12).collect()
     assert sorted((r.doc_id, r.n_removed) for r in found) == [(1, 0), (1, 0), (1, 0), (2, 3)]
 
 
+def test_phrases_and_repeats_in_one_text_stay(spark):
+    licence = "Shared under the usual terms. All rights are kept. See the notice."
+    shouted = " ".join("buy!! now!!" for _ in range(60))
+    own = [" ".join(f"w{i}x{k}" for k in range(40)) + "." for i in range(3)]
+    rows = [(0, f"{licence} {own[0]}"), (1, f"{own[1]} {licence}"), (2, f"start {shouted} end"), (3, f"{own[2]} {shouted}")]
+    found = {r.doc_id: r.text for r in sentence_dedup.drop_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[0] == rows[0][1] and found[1] == rows[1][1]
+    assert found[3].startswith(own[2]) and len(found[3].split()) < 70  # another text's run is a repeat
+
+
 def test_repeated_passages_of_any_sentences_are_found(spark):
     rng = random.Random(12)
     fresh = lambda n: [f"{rng.choice(WORDS)}{rng.randrange(10**9)}" for _ in range(n)]
