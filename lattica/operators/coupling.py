@@ -96,7 +96,7 @@ def label_mixing(df: DataFrame, queries: DataFrame, k: int = 90, least: int = 10
     ``min(k, n - 1)`` nearest of the same label and itself count; ``score`` is the median of their index, scaled to 0 ... 1.
     """
     sizes = df.groupBy("label").agg(F.count("*").alias("n_cells"), F.count_distinct("batch").alias("n_batches")).where((F.col("n_cells") >= least) & (F.col("n_batches") >= 2))
-    own = df.join(F.broadcast(sizes.select("label")), "label", "left_semi")  # labels are a vocabulary
+    own = df.join(sizes.select("label"), "label", "left_semi")
     edges = vector_knn(own, own.join(queries.select("id"), "id", "left_semi"), k + 1, by="label")
     scores = ilisi(edges, own, k).join(own.select("id", "label"), "id")
     per = scores.groupBy("label").agg(F.count("*").alias("n_queries"), F.median("ilisi").alias("m"))

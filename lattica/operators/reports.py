@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stars
-from .codes import cell_text
+from .agreement import contingency, partition_scores
+from .codes import cell_text, first_valid, labels_present
 from .panel import pearson
 from .stats import moments, welch, welch_p
 from .tables import summary_long
@@ -216,7 +217,7 @@ def cluster_column(columns: list[str], explicit: str | None = None) -> str | Non
 def rescored(stored: DataFrame, legacy: DataFrame, truth: DataFrame, by: list[str]) -> DataFrame:
     """RMSE by seed and feature of stored predictions ``(seed, id, feature, predicted)`` against ``truth``; seeds that only the legacy table has come from it."""
     seeds = stored.select("seed").distinct()
-    rows = stored.unionByName(legacy.join(F.broadcast(seeds), "seed", "left_anti"))
+    rows = stored.unionByName(legacy.join(seeds, "seed", "left_anti"))
     e = F.col("predicted") - F.col("target")
     return rows.join(truth, ["id", "feature"]).groupBy("seed", *by).agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.count("*").alias("n"))
 
@@ -265,12 +266,26 @@ def missing_neighbours(edges: DataFrame) -> DataFrame:
 
 def tagged_usage(runs: DataFrame, usage: DataFrame) -> DataFrame:
     """Usage rows of each run with its variant's decay, in one table; ``runs(run, beta)``, ``usage(run, ...)``."""
-    return usage.join(F.broadcast(runs.select("run", "beta").distinct()), "run").where("beta IS NOT NULL")
+    return usage.join(runs.select("run", "beta").distinct(), "run").where("beta IS NOT NULL")
 
 
 def similarity_records(pairs: DataFrame, sections: DataFrame) -> DataFrame:
     """Ordered pairs of sections of one kind with both donors, and whether these are the same; ``pairs(kind, a, b, similarity)``, ``sections(section, donor)``."""
     both = pairs.unionByName(pairs.where("a <> b").select("kind", F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
-    spec = F.broadcast(sections.select("section", "donor"))  # a row for each section
+    spec = sections.select("section", "donor")
     named = both.join(spec.withColumnsRenamed({"section": "a", "donor": "donor_a"}), "a").join(spec.withColumnsRenamed({"section": "b", "donor": "donor_b"}), "b")
     return named.select("kind", "a", "b", "donor_a", "donor_b", (F.col("donor_a") == F.col("donor_b")).alias("same_donor"), "similarity")
+
+
+def recomputed_run(cells: DataFrame, labels: list[str], seed: int, clusters: str | None = None) -> DataFrame:
+    """Scores of one run: ``(seed, code_key, label_key, n_cells, nmi, ari, ...)`` of its cluster column against every label column that holds one."""
+    column = cluster_column(cells.columns, clusters)
+    if column is None:
+        raise KeyError("no column of clusters")
+    found = labels_present(cells, labels, every=True)
+    if not found:
+        raise KeyError(f"none of {labels} holds labels")
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("label_key"), first_valid(F.col(c)).alias("y")) for c in found)))
+    rows = cells.select(F.col(column).alias("x"), pairs.alias("p")).select("x", "p.label_key", "p.y")
+    scores = partition_scores(contingency(rows, F.col("x"), F.col("y"), "label_key"), "label_key")
+    return scores.select(F.lit(seed).alias("seed"), F.lit(column).alias("code_key"), *scores.columns)

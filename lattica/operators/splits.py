@@ -44,7 +44,7 @@ def regional_split(points: DataFrame, x_share: float = 0.6, y_share: float = 0.5
     box = points.groupBy("section_id").agg(F.min("x").alias("_x0"), F.max("x").alias("_x1"), F.min("y").alias("_y0"), F.max("y").alias("_y1"))
     x_at, y_at = F.col("_x0") + (F.col("_x1") - F.col("_x0")) * x_share, F.col("_y0") + (F.col("_y1") - F.col("_y0")) * y_share
     split = F.when(F.col("x") <= x_at, "train").when(F.col("y") < y_at, "test").otherwise("val")
-    return points.join(F.broadcast(box), "section_id").withColumn("data_split", split).select(*points.columns, "data_split")
+    return points.join(box, "section_id").withColumn("data_split", split).select(*points.columns, "data_split")
 
 
 def scattered_mask(df: DataFrame, id_: str, share: float, seed: int = 0) -> DataFrame:
@@ -61,7 +61,7 @@ def scattered_mask(df: DataFrame, id_: str, share: float, seed: int = 0) -> Data
             break
         left, below = left - g.n, g._g
     last = rows.where(F.col("_g") == below + 1).select("_h", id_).withColumn("_r", F.row_number().over(Window.orderBy("_h", id_))).where(F.col("_r") <= left).select(id_, F.lit(True).alias("_in"))
-    edge = rows.join(F.broadcast(last), id_, "left")
+    edge = rows.join(last, id_, "left")
     return edge.withColumn("masked", (F.col("_g") <= below) | F.coalesce("_in", F.lit(False))).select(*df.columns, "masked")
 
 
@@ -165,7 +165,7 @@ def perturbed(expr: DataFrame, groups: DataFrame, masked: str, pool: str, mode:
         profile = middle.groupBy("gene_id").agg((F.sum(F.col("value") * F.when(F.lit(n % 2 == 1), 2.0).otherwise(1.0)) / 2.0).alias("value"))
     else:
         raise ValueError(mode)
-    given = target.join(F.broadcast(profile.where("value <> 0")), F.lit(True)).select("cell_id", "gene_id", "value")  # one row a gene
+    given = target.join(F.broadcast(profile.where("value <> 0")), F.lit(True)).select("cell_id", "gene_id", "value")  # a row for each gene of the panel
     return kept.unionByName(given)
 
 

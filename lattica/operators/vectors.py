@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import manhattan, ratio, squared_distance
+from .embedding import vocabulary
 
 #: Queries that are compared at once; a block of queries is broadcast, so this bounds it.
 QUERY_BLOCK = 4096
@@ -160,3 +161,29 @@ def linear_cka(df: DataFrame, x: str, y: str, dx: int, dy: int) -> DataFrame:
     part = lambda rows, cols: F.sum(F.when(rows & cols, c * c).otherwise(0.0))
     in_x = lambda k: F.col(k) < dx
     return cells.agg(ratio(part(in_x("i"), ~in_x("j")), F.sqrt(part(in_x("i"), in_x("j")) * part(~in_x("i"), ~in_x("j")))).alias("cka"))
+
+
+#: Rows on which the cells of an index are fitted, at most.
+INDEX_SAMPLE = 50_000
+
+
+def cell_index(vectors: DataFrame, cells: int, seed: int = 1) -> DataFrame:
+    """``(cell, centroid)`` of an inverted index: k-means on at most ``INDEX_SAMPLE`` rows, those of the least hashes; at most ``cells`` rows."""
+    sample = vectors.select("id", "vector").orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(INDEX_SAMPLE)
+    return vocabulary(sample, "vector", cells, seed).withColumnRenamed("token", "cell")
+
+
+def approximate_knn(vectors: DataFrame, queries: DataFrame, k: int, *, cells: int = 64, probes: int = 8, seed: int = 1) -> DataFrame:
+    """About the ``k`` nearest vectors of each query, itself first: ``(src, dst, d2, rank)``.
+
+    Every row is in the index, under its nearest cell; a query looks into the ``probes`` cells nearest to it, and ranks what it finds exactly. More
+    probes find more of the true neighbours; with all cells probed the result is exact. A query finds fewer than ``k`` where its cells hold fewer.
+    """
+    centres = F.broadcast(cell_index(vectors, cells, seed).agg(F.collect_list(F.struct("cell", "centroid")).alias("centres")))  # ``cells`` rows
+    near = F.sort_array(F.transform("centres", lambda c: F.struct(squared_distance(c["centroid"], F.col("vector")).alias("d"), c["cell"].alias("cell"))))
+    placed = vectors.select("id", "vector").join(centres, F.lit(True)).select(F.col("id").alias("dst"), F.col("vector").alias("w"), near[0]["cell"].alias("cell"))
+    asked = queries.select("id", "vector").join(centres, F.lit(True)).select(F.col("id").alias("src"), F.col("vector").alias("v"), F.explode(F.transform(F.slice(near, 1, probes), lambda c: c["cell"])).alias("cell"))
+    same = F.col("src") == F.col("dst")
+    pairs = asked.join(placed, "cell").select("src", "dst", F.when(same, -1.0).otherwise(squared_distance(F.col("v"), F.col("w"))).alias("d2"))
+    best = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("d2", F.xxhash64(F.lit(seed), "src", "dst")))).where(F.col("rank") <= k)
+    return best.select("src", "dst", F.greatest("d2", F.lit(0.0)).alias("d2"), "rank")

@@ -313,3 +313,9 @@ def neighbour_components(spark, d):
     c = cells(spark, d)
     counts = features(c, 8, 6).select("id", F.col("feature").alias("gene_id"), F.abs("value").alias("value"))
     return E.neighbour_components(spatial.neighbour_aggregate(spatial.knn_join(c, c, 8), counts, "sum"), list(range(6)), 3)
+
+
+@query()
+def approximate_knn(spark, d):
+    c = cells(spark, d)
+    return vectors.approximate_knn(c, c.where("id % 20 = 0"), 10, cells=16, probes=8)

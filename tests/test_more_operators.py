@@ -216,3 +216,23 @@ def test_agreement_of_large_clusters(spark):
 
     table = spark.createDataFrame([("a", "a", 40_000_000), ("a", "b", 10_000_000), ("b", "a", 10_000_000), ("b", "b", 40_000_000)], "x string, y string, n long")
     assert agreement.adjusted_mutual_information(table).first().ami == pytest.approx(agreement.partition_scores(table).first().nmi, abs=1e-4)
+
+
+def test_index_holds_every_row_and_finds_most_neighbours(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(12, 8)) * 3
+    x = centres[rng.integers(0, 12, 1200)] + rng.normal(size=(1200, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>").repartition(3)
+    queries = df.where("id % 20 = 0")
+    got, want = ({(r.src, r.dst) for r in edges.collect()} for edges in (vectors.approximate_knn(df, queries, 10, cells=16, probes=6), vectors.vector_knn(df, queries, 10)))
+    assert len(got & want) / len(want) >= 0.9
+    whole = {(r.src, r.dst) for r in vectors.approximate_knn(df, queries, 10, cells=4, probes=4).collect()}
+    assert whole == want
+
+
+def test_run_is_recomputed_against_every_label(spark):
+    df = spark.createDataFrame([(i % 2, "ab"[i % 2], "x" if i < 5 else None, "nan") for i in range(10)], "leiden int, l1 string, l2 string, l3 string")
+    rows = {r.label_key: r for r in reports.recomputed_run(df, ["l3", "l1", "l2", "l4"], 0).collect()}
+    assert set(rows) == {"l1", "l2"} and rows["l1"].nmi == pytest.approx(1.0) and rows["l1"].code_key == "leiden"
+    with pytest.raises(KeyError):
+        reports.recomputed_run(df.drop("leiden"), ["l1"], 0)
