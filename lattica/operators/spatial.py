@@ -44,13 +44,15 @@ def _in_cells(points: DataFrame, grid: DataFrame, factor: float) -> DataFrame:
     return points.join(grid, "section_id").withColumn("gx", F.floor((F.col("x") - F.col("x0")) / side)).withColumn("gy", F.floor((F.col("y") - F.col("y0")) / side)).withColumn("reach", side).drop("x0", "y0", "side")
 
 
-def _first_factor(targets: DataFrame, grid: DataFrame, k: int) -> float:
-    """How far below the mean density's side the search starts: so that no cell holds more than ``MAX_FILL * k`` targets, as far as that helps."""
+def _first_factor(targets: DataFrame, grid: DataFrame, k: int) -> tuple[float | None, float]:
+    """The widest section in cells of factor 1 (None without targets), and how far below the mean density's side the search
+    starts: so that no cell holds more than ``MAX_FILL * k`` targets, as far as that helps."""
     factor, before = 1.0, None
     while True:
-        fullest = _in_cells(targets, grid, factor).groupBy("section_id", "gx", "gy").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        cells = _in_cells(targets, grid, factor).groupBy("section_id", "gx", "gy").agg(F.count("*").alias("n"), F.max(F.col("wide") / F.col("reach")).alias("wide"))
+        fullest, wide = cells.agg(F.max("n"), F.max("wide") * factor).first()
         if fullest is None or fullest <= MAX_FILL * k or fullest == before:  # many points in one place don't come apart
-            return factor
+            return wide, factor
         before, factor = fullest, factor / 4
 
 
@@ -64,11 +66,11 @@ def knn_join(queries: DataFrame, targets: DataFrame, k: int, *, exclude_self: bo
     fewer than ``k`` targets in their section have all of these. Checkpoints cut the lineage between rounds.
     """
     grid = checkpointed(section_grid(targets, k, fill))
-    wide = grid.agg(F.max(F.col("wide") / F.col("side"))).first()[0]
+    wide, factor = _first_factor(targets, grid, k)
     if wide is None:
         return _no_edges(queries)
     me = ["section_id", "src"]
-    left, out, factor = queries.select("section_id", F.col("id").alias("src"), "x", "y"), None, _first_factor(targets, grid, k)
+    left, out = queries.select("section_id", F.col("id").alias("src"), "x", "y"), None
     for _ in range(MAX_ROUNDS):
         q = _ring(_in_cells(left, grid, factor)).withColumnsRenamed({"x": "qx", "y": "qy"})
         t = _in_cells(targets.select("section_id", F.col("id").alias("dst"), "x", "y"), grid, factor).drop("reach", "wide")

@@ -270,3 +270,12 @@ def similarity_records(spark, d):
     a, b = s.select(F.col("section").alias("a")), s.select(F.col("section").alias("b"))
     pairs = a.join(b, F.col("a") <= F.col("b")).select(F.lit("codes").alias("kind"), "a", "b", (1.0 / (1 + F.abs(F.col("a") - F.col("b")))).alias("similarity"))
     return R.similarity_records(pairs, s)
+
+
+@query("""WITH r AS (SELECT (p_size % 4)::VARCHAR AS x, 'p_brand' AS label_key, p_brand AS y FROM part UNION ALL SELECT (p_size % 4)::VARCHAR, 'p_type', p_type FROM part),
+t AS (SELECT label_key, x, y, count(*) AS n FROM r GROUP BY ALL), nn AS (SELECT label_key, sum(n)::BIGINT AS n, sum(n * ln(n)) AS s FROM t GROUP BY 1),
+rx AS (SELECT label_key, sum(n * ln(n)) AS s FROM (SELECT label_key, x, sum(n) AS n FROM t GROUP BY 1, 2) GROUP BY 1), ry AS (SELECT label_key, sum(n * ln(n)) AS s FROM (SELECT label_key, y, sum(n) AS n FROM t GROUP BY 1, 2) GROUP BY 1)
+SELECT 7 AS seed, 'leiden' AS code_key, label_key, nn.n AS n_cells, round(2 * (ln(nn.n) - rx.s / nn.n + ln(nn.n) - ry.s / nn.n - (ln(nn.n) - nn.s / nn.n)) / (ln(nn.n) - rx.s / nn.n + ln(nn.n) - ry.s / nn.n), 6) AS nmi FROM nn JOIN rx USING (label_key) JOIN ry USING (label_key)""")
+def recomputed_run(spark, d):
+    p = table(spark, d, "part").withColumn("leiden", F.col("p_size") % 4).withColumn("empty", F.lit("nan"))
+    return _r(R.recomputed_run(p, ["empty", "p_brand", "p_type"], 7), "nmi").select("seed", "code_key", "label_key", "n_cells", "nmi")

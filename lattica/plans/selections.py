@@ -222,9 +222,13 @@ def coupling_bundle(spark, d):
     return K.coupling_bundle(c, "x", "y", "label", (16, 16), n_sub=300)
 
 
-@query()
+@query("""WITH e AS (SELECT vec_id AS id, label, ('0x' || substr(md5('1:' || vec_id), 1, 8))::BIGINT % 2 AS half, unnest(range(1, 65)) AS j, unnest(embedding)::DOUBLE AS v FROM embeddings),
+m AS (SELECT j, avg(v) AS mu, stddev_pop(v) + 1e-8 AS sd FROM e WHERE half = 0 GROUP BY 1), z AS (SELECT id, any_value(label) AS label, any_value(half) AS half, list((v - mu) / sd ORDER BY j) AS v FROM e JOIN m USING (j) GROUP BY 1),
+p AS (SELECT q.id AS src, q.label AS truth, t.label, row_number() OVER (PARTITION BY q.id ORDER BY list_distance(q.v, t.v), t.id) AS r FROM z q, z t WHERE q.half = 1 AND t.half = 0),
+n AS (SELECT src, truth, label::VARCHAR AS label, count(*) AS n FROM p WHERE r <= 15 GROUP BY 1, 2, 3), w AS (SELECT src, truth, label, row_number() OVER (PARTITION BY src ORDER BY n DESC, label) AS r FROM n)
+SELECT round(avg(recall), 6) AS balanced_accuracy, count(*) AS n_classes FROM (SELECT truth, avg(CASE WHEN label = truth::VARCHAR THEN 1.0 ELSE 0 END) AS recall FROM w WHERE r = 1 GROUP BY 1)""")
 def neighbour_classifier(spark, d):
-    return K.neighbour_classifier(cells(spark, d), "vector", "label")
+    return K.neighbour_classifier(cells(spark, d), "vector", "label").select(F.round("balanced_accuracy", 6).alias("balanced_accuracy"), "n_classes")
 
 
 _BISECT = """st(src, d, b, low, high, beta, it) AS (

@@ -236,3 +236,13 @@ def test_run_is_recomputed_against_every_label(spark):
     assert set(rows) == {"l1", "l2"} and rows["l1"].nmi == pytest.approx(1.0) and rows["l1"].code_key == "leiden"
     with pytest.raises(KeyError):
         reports.recomputed_run(df.drop("leiden"), ["l1"], 0)
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from lattica.session import shared_folder
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared_folder(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *_: None)))
