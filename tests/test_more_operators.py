@@ -246,3 +246,35 @@ def test_a_cluster_without_a_shared_folder_is_an_error():
     context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
     with pytest.raises(RuntimeError, match="checkpoint"):
         shared_folder(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *_: None)))
+
+
+def test_components_and_vocabulary_against_numpy(spark):
+    from lattica.operators import embedding
+
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(80, 5)) * [5, 3, 1, 0.5, 0.1]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, [float("nan")] * 5)]
+    found = {r.id: r.pc for r in embedding.principal_components(spark.createDataFrame(rows, "id long, vector array<double>"), 2).collect()}
+    assert found.pop(900) is None
+    _, _, vt = np.linalg.svd(x - x.mean(0))
+    for k in range(2):
+        own, want = np.array([found[i][k] for i in range(80)]), x @ vt[k]
+        assert np.allclose(own, want, atol=1e-6) or np.allclose(own, -want, atol=1e-6)
+    clumps = spark.createDataFrame([(i, [float(i % 3 * 100), float(i % 7) * 0.01]) for i in range(90)], "id long, vector array<double>")
+    book = embedding.vocabulary(clumps, "vector", 3)
+    tokens = {r.id: r.token for r in vectors.nearest_centroid(clumps, book, "token").collect()}
+    assert len(set(tokens.values())) == 3 and all(tokens[i] == tokens[i % 3] for i in range(90))
+
+
+def test_usage_summary_stars_and_balanced_accuracy(spark):
+    from lattica.functions import stars
+    from lattica.operators import agreement
+
+    usage = spark.createDataFrame([("a", 8, s, 0.2 + s / 10, 0.5, 0.1 * s) for s in range(3)], "level string, codebook_size int, seed int, active_fraction double, normalized_perplexity double, max_code_share double")
+    row = agreement.usage_summary(usage, "level").first().asDict()
+    assert [v for k, v in row.items() if k.startswith("active_fraction")] == pytest.approx([0.3, 0.1])
+    marks = spark.createDataFrame([(p,) for p in (0.0005, 0.005, 0.03, 0.2)], "p double").select(stars(F.col("p")).alias("m"))
+    assert [r.m for r in marks.collect()] == ["***", "**", "*", "ns"]
+    truth = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (4, "b")], "id long, label string")
+    guess = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, "b")], "id long, label string")
+    assert vectors.balanced_accuracy(guess, truth).first().balanced_accuracy == pytest.approx((2 / 3 + 1) / 2)
