@@ -33,7 +33,7 @@ from . import text as T
 from ..session import checkpointed
 
 #: Bytes of text of a scan partition that make a block; a longer text is a block of its own.
-BLOCK_BYTES = 24_000_000
+BLOCK_BYTES = 16_000_000
 #: Bytes of text for each range of hashes.
 RANGE_BYTES = 12_000_000
 #: Buckets of context frequency: 0, 1, 2-3, 4-7, ... the last is open.
@@ -128,11 +128,25 @@ def _block_rows(block: int, group: int, texts: pa.Array, ranges: int) -> Iterato
 _SENT = "range int, kind int, block long, grp int, keys binary, counts binary"
 
 
-def _sent(base: DataFrame, ranges: int) -> DataFrame:
+class _Blocks:
+    """Numbers of the blocks of one scan partition, batch by batch: a new one when the texts of the last have ``block_bytes``."""
+
+    def __init__(self, block_bytes: int):
+        self.first, self.total, self.block_bytes = TaskContext.get().partitionId() << 33, 0, block_bytes
+
+    def of(self, texts: pa.Array) -> np.ndarray:
+        sizes = np.diff(T.utf8(texts)[1])
+        before = self.total + np.cumsum(sizes) - sizes
+        self.total += int(sizes.sum())
+        return self.first + before // self.block_bytes
+
+
+def _sent(base: DataFrame, ranges: int, block_bytes: int) -> DataFrame:
     schema = pa.schema([("range", pa.int32()), ("kind", pa.int32()), ("block", pa.int64()), ("grp", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
     def send(batches):
         waiting: dict[int, list] = {}
+        numbers = _Blocks(block_bytes)
 
         def flush(group):
             block, texts = waiting.pop(group)
@@ -140,7 +154,7 @@ def _sent(base: DataFrame, ranges: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
         for batch in batches:
-            blocks, groups = batch.column("block").to_numpy(), batch.column("grp").to_numpy()
+            blocks, groups = numbers.of(batch.column("text")), batch.column("grp").to_numpy()
             texts = batch.column("text").cast(pa.large_string())
             for group in (TRAIN, DELETED, UNSEEN):
                 rows = np.flatnonzero(groups == group)
@@ -153,7 +167,7 @@ def _sent(base: DataFrame, ranges: int) -> DataFrame:
         for group in list(waiting):
             yield flush(group)
 
-    return base.select("block", "grp", "text").mapInArrow(send, _SENT)
+    return base.select("grp", "text").mapInArrow(send, _SENT)
 
 
 _TOTALS = "block long, grp int, kind int, range int, kept binary, deleted binary, n_kept long, n_deleted long, v long"
@@ -244,17 +258,13 @@ def learn_weights(cells: np.ndarray, counts: np.ndarray, v: int, rounds: int = 2
 
 
 def _blocked(base: DataFrame, block_bytes: int) -> DataFrame:
-    """``base(doc_id, text, grp)`` with ``block``: in each scan partition a new one when the texts of the last have ``block_bytes``."""
+    """``base(doc_id, text, grp)`` with the ``block`` of each row, the same as its n-grams are sent under."""
     schema = "doc_id long, text string, grp int, block long"
 
     def deal(batches):
-        first, total = TaskContext.get().partitionId() << 33, 0
+        numbers = _Blocks(block_bytes)
         for batch in batches:
-            sizes = np.diff(T.utf8(batch.column("text"))[1])
-            upto = total + np.cumsum(sizes) - sizes
-            blocks = first + upto // block_bytes
-            total += int(sizes.sum())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), batch.column("grp"), pa.array(blocks, pa.int64())], ["doc_id", "text", "grp", "block"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "text", "grp")), pa.array(numbers.of(batch.column("text")), pa.int64())], ["doc_id", "text", "grp", "block"])
 
     return base.mapInArrow(deal, schema)
 
@@ -274,9 +284,10 @@ def score_texts(docs: DataFrame, held_out: Column, *, deleted: Column | None = N
     deleted = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("deleted")), F.lit(10)) == 0 if deleted is None else deleted
     group = F.when(held_out, UNSEEN).when(deleted, DELETED).otherwise(TRAIN)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = _blocked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), group.cast("int").alias("grp")), block_bytes)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), group.cast("int").alias("grp"))
+    base = _blocked(rows, block_bytes)
     ranges = max(1, -(-(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // range_bytes))
-    totals = checkpointed(_totals(_sent(base, ranges)))
+    totals = checkpointed(_totals(_sent(rows, ranges, block_bytes)))
     sums = totals.where("block IS NULL").groupBy("kind").agg(F.sum("n_kept").alias("n_kept"), F.sum("n_deleted").alias("n_deleted"), F.sum("v").alias("v"))
     of_kind = {row["kind"]: row for row in sums.collect()}  # two rows
     single = of_kind.get(UNIGRAM)
