@@ -52,9 +52,14 @@ UNIGRAM, BIGRAM = 0, 1
 TRAIN, DELETED, UNSEEN = 0, 1, 2
 
 
+def checksum(doc_id: Column) -> Column:
+    """crc32 of doc_id as text; a null doc_id counts as an empty text, so 0."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+
+
 def remainder(doc_id: Column, of: int) -> Column:
-    """crc32 of doc_id as text modulo ``of``; a null doc_id counts as an empty text, so 0."""
-    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % of
+    """crc32 of doc_id as text modulo ``of``."""
+    return checksum(doc_id) % of
 
 
 def bigram_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, interpolation, mixing, near_dup, packing, pairwise_quality, quality_rules, sentence_dedup, url_filter
+from . import chat_format, exact_dedup, interpolation, mixing, near_dup, packing, pairwise_quality, periodic_runs, quality_rules, sentence_dedup, url_filter
 from .cluster import stored
 
 
@@ -73,6 +73,25 @@ def op10_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_sentences", "n_removed", "removed", F.char_length("text").cast("long").alias("chars_left"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def _with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """One document in ten, by hash, repeats a few of its words from some word on, as ``op13`` wants it."""
+    h, words = interpolation.checksum(F.col("doc_id")), F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
+    rows = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words).alias("words")).withColumn("n", F.size("words"))
+    rows = rows.withColumn("a", F.expr("IF(n > 0, h div 10 % n, 0)").cast("int")).withColumn("p", F.expr("1 + (n - a) div (3 + h div 10 % 8)").cast("int"))
+    tail = F.expr("slice(flatten(array_repeat(slice(words, a + 1, p), CAST(ceil((n - a) / p) AS INT))), 1, n - a)")
+    return rows.select("doc_id", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), F.array_join(F.concat(F.expr("slice(words, 1, a)"), tail), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.collapse_runs(_with_periodic_tails(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    line = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    best = F.col("strongest")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"), F.sha2(line, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_deleted_interpolation": op1_deleted_interpolation,
     "op2_exact_dedup": op2_exact_dedup,
@@ -84,6 +103,7 @@ QUERIES = {
     "op8_order_preserving_packing": op8_order_preserving_packing,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_sentence_dedup": op10_sentence_dedup,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -186,5 +206,29 @@ SELECT base.*, distance, NOT base_failed AND coalesce(distance <= {quality_rules
 """
 
 
+#: crc32 of doc_id as text, bit by bit.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(coalesce(doc_id::VARCHAR, ''), '.'), lambda x: ascii(x)::BIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+
+#: Pairs of equal 5-grams of a text, their distance as the period, and stretches without a gap.
+_OP13 = rf"""
+WITH h AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {_CRC} AS h FROM documents),
+n AS (SELECT *, len(w) AS n, CASE WHEN len(w) > 0 THEN h // 10 % len(w) END AS a FROM h),
+p AS (SELECT *, 1 + (n - a) // (3 + h // 10 % 8) AS p FROM n),
+d AS (SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) ELSE w END AS w FROM p),
+g AS (SELECT r, i, array_to_string(w[i + 1:i + 5], ' ') AS g FROM (SELECT r, w, unnest(range(n - 4)) AS i FROM d)),
+e AS (SELECT x.r, x.i, y.i - x.i AS q FROM g x JOIN g y ON x.r = y.r AND x.g = y.g AND x.i < y.i),
+b AS (SELECT r, q, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS b, i FROM e),
+s AS (SELECT r, q, min(i) AS s, count(*) + 4 + q AS l FROM b GROUP BY r, q, b),
+runs AS (SELECT r, s, l, min(q) AS q FROM s WHERE l >= greatest(6, 4 * q) GROUP BY r, s, l),
+best AS (SELECT r, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS t FROM runs GROUP BY r),
+top AS (SELECT * FROM (SELECT x.*, NOT EXISTS (SELECT 1 FROM runs y WHERE y.r = x.r AND (y.l * x.q > x.l * y.q OR y.l * x.q = x.l * y.q AND (y.s < x.s OR y.s = x.s AND y.q < x.q))) AS top FROM runs x) WHERE top),
+gone AS (SELECT DISTINCT r, unnest(range(s + q, s + l)) AS i FROM runs),
+left_over AS (SELECT r, string_agg(x, ' ' ORDER BY i) AS c FROM (SELECT r, unnest(w) AS x, unnest(range(n)) AS i FROM d) ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, top.s AS start, top.l AS length, top.q AS period, 1000 * top.l // top.q AS exponent_milli,
+       sha256(coalesce(t, '')) AS runs_sha256, sha256(coalesce(c, '')) AS collapsed_sha256
+FROM d LEFT JOIN best USING (r) LEFT JOIN top USING (r) LEFT JOIN left_over USING (r)
+"""
+
 #: Held-out learning, iteration, tokenizers, sketches and closures have no SQL; tests hold those against plain versions.
-ORACLE_SQL = {"op2_exact_dedup": _OP2, "op3_url_filter": _OP3, "op5_chat_format": _OP5, "op6_mix_sources": _OP6, "op7_quality_rules": _op7()}
+ORACLE_SQL = {"op2_exact_dedup": _OP2, "op3_url_filter": _OP3, "op5_chat_format": _OP5, "op6_mix_sources": _OP6, "op7_quality_rules": _op7(), "op13_periodic_runs": _OP13}
