@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, interpolation, mixing, near_dup, packing, pairwise_quality, periodic_runs, quality_rules, sentence_dedup, url_filter
+from . import chat_format, exact_dedup, interpolation, mixing, near_dup, packing, pairwise_quality, periodic_runs, quality_rules, secret_scan, sentence_dedup, url_filter
 from .cluster import stored
 
 
@@ -73,6 +73,16 @@ def op10_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_sentences", "n_removed", "removed", F.char_length("text").cast("long").alias("chars_left"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    line = F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+    base = F.filter("spans", lambda s: s["kind"].isin(*secret_scan.FORMS))
+    return found.select(
+        "doc_id", *(F.expr(f"CAST(size(filter(spans, s -> s.kind = '{kind}')) AS BIGINT)").alias(f"n_{kind}") for kind in secret_scan.FORMS),
+        F.sha2(F.array_join(F.transform(base, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","), 256).alias("base_sha256"), F.array_join(line, ",").alias("spans"),
+    )
+
+
 def _with_periodic_tails(docs: DataFrame) -> DataFrame:
     """One document in ten, by hash, repeats a few of its words from some word on, as ``op13`` wants it."""
     h, words = interpolation.checksum(F.col("doc_id")), F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
@@ -103,6 +113,7 @@ QUERIES = {
     "op8_order_preserving_packing": op8_order_preserving_packing,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_sentence_dedup": op10_sentence_dedup,
+    "op11_secret_scan": op11_secret_scan,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
@@ -206,6 +217,38 @@ SELECT base.*, distance, NOT base_failed AND coalesce(distance <= {quality_rules
 """
 
 
+def _op11() -> str:
+    """Matches and what lies between them give the places; each window of a candidate is counted anew."""
+    def quoted(x: str) -> str:
+        return x.replace("'", "''")
+
+    def found(name: str, pattern: str, group: int) -> str:
+        return rf"""{name}_m AS (SELECT r, string_split_regex(t, '{quoted(pattern)}') AS s, regexp_extract_all(t, '{quoted(pattern)}') AS m, regexp_extract_all(t, '{quoted(pattern)}', {group}) AS g FROM d),
+{name}_s AS (SELECT r, x, y, list_sum(list_transform(s[1:i], lambda z: length(z)))::BIGINT + coalesce(list_sum(list_transform(m[1:i - 1], lambda z: length(z)))::BIGINT, 0) AS s FROM (SELECT r, s, m, unnest(m) AS x, unnest(g) AS y, unnest(range(1, len(m) + 1)) AS i FROM {name}_m))"""
+
+    parts, spans = ["d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents)"], []
+    for k, (name, (pattern, group, least)) in enumerate(secret_scan.FORMS.items()):
+        parts.append(found(name, pattern, group))
+        spans.append(f"SELECT r, {k} AS k, '{name}' AS kind, s, s + length(x) AS e FROM {name}_s WHERE length(y) >= {least}")
+    parts.append(f"all_{len(spans)} AS ({' UNION ALL '.join(spans)})")
+    allowed = " OR ".join(f"regexp_full_match(x, '{quoted(x)}')" for x in secret_scan.ALLOWED)
+    for k, c in enumerate(secret_scan.CLASSES, len(spans)):
+        terms = ", ".join(map(str, c.terms()))
+        parts.append(found(c.kind, f"[{c.characters}]{{{c.width},}}", 0))
+        parts.append(rf"""{c.kind}_w AS (SELECT r, s, w, sum(([{terms}])[n + 1]) AS sums FROM (
+  SELECT r, s, w, c, count(*) AS n FROM (SELECT r, s, w, unnest(string_split(substr(x, w + 1, {c.width}), '')) AS c FROM (SELECT r, s, x, unnest(range(length(x) - {c.width} + 1)) AS w FROM {c.kind}_s WHERE NOT ({allowed}))) GROUP BY ALL
+) GROUP BY ALL),
+{c.kind}_h AS (SELECT r, s, w, sum(new) OVER (PARTITION BY r, s ORDER BY w) AS part FROM (SELECT r, s, w, (coalesce(w - lag(w) OVER (PARTITION BY r, s ORDER BY w), 1000) > {c.width})::INT AS new FROM {c.kind}_w WHERE sums <= {c.most})),
+{c.kind}_a AS (SELECT r, s + min(w) AS s, s + max(w) + {c.width} AS e FROM {c.kind}_h GROUP BY r, {c.kind}_h.s, part),
+all_{k + 1} AS (SELECT * FROM all_{k} UNION ALL SELECT r, {k}, '{c.kind}', s, e FROM {c.kind}_a x WHERE NOT EXISTS (SELECT 1 FROM all_{k} y WHERE y.r = x.r AND y.s <= x.s AND x.e <= y.e))""")
+    last, base = f"all_{len(secret_scan.FORMS) + len(secret_scan.CLASSES)}", len(secret_scan.FORMS)
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{name}') AS n_{name}" for name in secret_scan.FORMS)
+    return f"""WITH {", ".join(parts)},
+told AS (SELECT r, {counts}, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (WHERE k < {base}) AS base FROM {last} GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{name}, 0) AS n_{name}" for name in secret_scan.FORMS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN told USING (r)
+"""
+
+
 #: crc32 of doc_id as text, bit by bit.
 _CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(coalesce(doc_id::VARCHAR, ''), '.'), lambda x: ascii(x)::BIGINT)),
   lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
@@ -231,4 +274,4 @@ FROM d LEFT JOIN best USING (r) LEFT JOIN top USING (r) LEFT JOIN left_over USIN
 """
 
 #: Held-out learning, iteration, tokenizers, sketches and closures have no SQL; tests hold those against plain versions.
-ORACLE_SQL = {"op2_exact_dedup": _OP2, "op3_url_filter": _OP3, "op5_chat_format": _OP5, "op6_mix_sources": _OP6, "op7_quality_rules": _op7(), "op13_periodic_runs": _OP13}
+ORACLE_SQL = {"op2_exact_dedup": _OP2, "op3_url_filter": _OP3, "op5_chat_format": _OP5, "op6_mix_sources": _OP6, "op7_quality_rules": _op7(), "op11_secret_scan": _op11(), "op13_periodic_runs": _OP13}
