@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, interpolation, mixing, near_dup, packing, pairwise_quality, periodic_runs, quality_rules, secret_scan, sentence_dedup, url_filter
+from . import chat_format, divergence, exact_dedup, interpolation, mixing, near_dup, packing, pairwise_quality, periodic_runs, quality_rules, secret_scan, sentence_dedup, url_filter
 from .cluster import stored
 
 
@@ -83,6 +83,10 @@ def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"))
+
+
 def _with_periodic_tails(docs: DataFrame) -> DataFrame:
     """One document in ten, by hash, repeats a few of its words from some word on, as ``op13`` wants it."""
     h, words = interpolation.checksum(F.col("doc_id")), F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
@@ -114,6 +118,7 @@ QUERIES = {
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_sentence_dedup": op10_sentence_dedup,
     "op11_secret_scan": op11_secret_scan,
+    "op12_source_divergence": op12_source_divergence,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
@@ -249,6 +254,31 @@ SELECT doc_id, {", ".join(f"coalesce(n_{name}, 0) AS n_{name}" for name in secre
 """
 
 
+#: Every kept term for every group.
+_OP12 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(text, '') AS t, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+o AS (SELECT r, lang, source, translate(unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), {_AZ}) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM o GROUP BY lang, term HAVING count(DISTINCT r) >= {divergence.MIN_DOCS}),
+l AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS c FROM o SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+gt AS (SELECT lang, source, sum(c) AS total FROM c GROUP BY ALL),
+s AS (
+  SELECT g.lang, g.source, kept.term, coalesce(c.c, 0) AS c, (1 + 1000000000::HUGEINT * (coalesce(c.c, 0) + 2) // (coalesce(gt.total, 0) + 2 * l.v))::BIGINT AS p,
+         (1 + 1000000000::HUGEINT * (kept.n + 2) // (l.total + 2 * l.v))::BIGINT AS q
+  FROM g JOIN kept USING (lang) JOIN l USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term LEFT JOIN gt ON gt.lang = g.lang AND gt.source = g.source
+),
+pairs AS (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value FROM s x JOIN s y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+pair AS (SELECT x.lang, x.source, y.source AS item, coalesce(value, 0)::BIGINT AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN pairs ON pairs.lang = x.lang AND pairs.source = x.source AND pairs.item = y.source),
+term AS (SELECT lang, source, term AS item, (p - q) * (p - q) // (p + q) AS value FROM s WHERE c > 0 AND p > q),
+ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pair
+  UNION ALL SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM term
+)
+SELECT lang, source, part, item, value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= {divergence.TOP}
+"""
+
+
 #: crc32 of doc_id as text, bit by bit.
 _CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(coalesce(doc_id::VARCHAR, ''), '.'), lambda x: ascii(x)::BIGINT)),
   lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
@@ -274,4 +304,4 @@ FROM d LEFT JOIN best USING (r) LEFT JOIN top USING (r) LEFT JOIN left_over USIN
 """
 
 #: Held-out learning, iteration, tokenizers, sketches and closures have no SQL; tests hold those against plain versions.
-ORACLE_SQL = {"op2_exact_dedup": _OP2, "op3_url_filter": _OP3, "op5_chat_format": _OP5, "op6_mix_sources": _OP6, "op7_quality_rules": _op7(), "op11_secret_scan": _op11(), "op13_periodic_runs": _OP13}
+ORACLE_SQL = {"op2_exact_dedup": _OP2, "op3_url_filter": _OP3, "op5_chat_format": _OP5, "op6_mix_sources": _OP6, "op7_quality_rules": _op7(), "op11_secret_scan": _op11(), "op12_source_divergence": _OP12, "op13_periodic_runs": _OP13}
