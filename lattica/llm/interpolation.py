@@ -12,7 +12,7 @@ How counts move. Texts are scanned in blocks of bounded bytes. A block sends eac
 n-grams once, as packed 64-bit hashes dealt out by hash, with its own counts; the reducers of each hash
 range add up all blocks' counts and send back the totals. Neither the vocabulary nor any
 n-gram table is ever held whole anywhere, and a frequent n-gram is one entry per block. Sorted hashes move as differences, so
-an entry takes about 6 bytes; a block sends a row to a range only if it has an entry there, so what is sent is never more than
+an entry takes about 6 bytes, and numbers take as many bytes as the largest of them needs, up to 64 bits; a block sends a row to a range only if it has an entry there, so what is sent is never more than
 a row for each entry, and grows with the input.
 """
 
@@ -88,15 +88,18 @@ def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _pack(values: np.ndarray) -> bytes:
-    """Numbers with their first bytes together, then their second ones, and so on, as the high ones are mostly zeros; short ones as they are."""
-    raw = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
-    return b"\0" + raw if len(raw) < _PLAIN else b"\1" + zstandard.ZstdCompressor(level=1).compress(raw)
+    """Numbers with their first bytes together, then their second ones, and so on, up to the last that one of them needs; many are compressed, too."""
+    width = max(1, -(-int(values.max()).bit_length() // 8)) if len(values) else 1
+    raw = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(len(values), 8)[:, :width].T).tobytes()
+    return bytes([2 * width]) + raw if len(raw) < _PLAIN else bytes([2 * width + 1]) + zstandard.ZstdCompressor(level=1).compress(raw)
 
 
-def _unpack(packed: bytes, kind: type = np.uint32) -> np.ndarray:
-    raw = zstandard.ZstdDecompressor().decompress(packed[1:]) if packed[0] else packed[1:]
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
+def _unpack(packed: bytes) -> np.ndarray:
+    width, raw = packed[0] // 2, zstandard.ZstdDecompressor().decompress(packed[1:]) if packed[0] % 2 else packed[1:]
+    planes = np.frombuffer(raw, np.uint8).reshape(width, -1).T
+    out = np.zeros((len(planes), 8), np.uint8)
+    out[:, :width] = planes
+    return out.view("<u8").ravel()
 
 
 def _pack_keys(sorted_hashes: np.ndarray) -> bytes:
@@ -104,7 +107,7 @@ def _pack_keys(sorted_hashes: np.ndarray) -> bytes:
 
 
 def _unpack_keys(packed: bytes) -> np.ndarray:
-    return np.cumsum(_unpack(packed, np.uint64), dtype=np.uint64)
+    return np.cumsum(_unpack(packed), dtype=np.uint64)
 
 
 @lru_cache(maxsize=2)
@@ -127,7 +130,7 @@ def _block_rows(block: int, group: int, texts: pa.Array, ranges: int) -> Iterato
         keys, counts = np.unique(grams, return_counts=True)
         own, at = _ranges_of(keys, ranges)
         for k, start, end in zip(own.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
-            yield (k, kind, block, group, _pack_keys(keys[start:end]), _pack(counts[start:end].astype(np.uint32)))
+            yield (k, kind, block, group, _pack_keys(keys[start:end]), _pack(counts[start:end]))
 
 
 _SENT = "range int, kind int, block long, grp int, keys binary, counts binary"
@@ -191,11 +194,11 @@ def _totals(sent: DataFrame) -> DataFrame:
         sums = np.zeros((2, len(distinct)), np.int64)
         for end, own, group, packed in zip(ends, keys, frame["grp"], frame["counts"], strict=True):
             if group != UNSEEN:
-                sums[group][place[end - len(own) : end]] += _unpack(packed)  # a block has each key once
+                sums[group][place[end - len(own) : end]] += _unpack(packed).astype(np.int64)  # a block has each key once
         out = []
         for end, own, block, group in zip(ends, keys, frame["block"], frame["grp"], strict=True):
             at = place[end - len(own) : end]
-            out.append((block, group, key[1], key[0], _pack(sums[0][at].astype(np.uint32)), _pack(sums[1][at].astype(np.uint32)), None, None, None))
+            out.append((block, group, key[1], key[0], _pack(sums[0][at]), _pack(sums[1][at]), None, None, None))
         tokens = distinct != _START
         seen = (sums.sum(0) > 0) & tokens
         out.append((None, None, key[1], key[0], None, None, int(sums[0][tokens].sum()), int(sums[1][tokens].sum()), int(seen.sum())))
@@ -224,7 +227,7 @@ def _looked_up(texts: pa.Array, totals: pd.DataFrame, with_deleted: bool):
         rows = totals[totals["kind"] == kind].sort_values("range")
         counts = np.concatenate([_unpack(x) for x in rows["kept"]]).astype(np.int64)
         if with_deleted:
-            counts = counts + np.concatenate([_unpack(x) for x in rows["deleted"]])
+            counts = counts + np.concatenate([_unpack(x) for x in rows["deleted"]]).astype(np.int64)
         if len(counts) != len(keys):
             raise ValueError("a block's rows changed between two scans; store the table first")
         found[kind] = counts[place]

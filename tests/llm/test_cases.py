@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lattica.llm import interpolation, mixing, pairwise_quality, quality_rules, url_filter
@@ -73,3 +75,34 @@ def test_components_of_hubs_and_of_a_random_graph(spark):
         parent[y] = x
     want = {v: root(v) for e in edges if e[0] != e[1] for v in e}
     assert {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()} == want
+
+
+@pytest.mark.parametrize("values", [[], [0], [5, 2**32 + 5, 3], [2**64 - 1] * 50, list(range(300)), [2**40] * 400])
+def test_packed_numbers(values):
+    packed = interpolation._pack(np.array(values, np.uint64))
+    assert interpolation._unpack(packed).tolist() == values
+
+
+def test_totals_above_32_bits(spark):
+    keys, rows = np.array([7, 9, 2**63], np.uint64), []
+    for block, group in ((1, interpolation.TRAIN), (2, interpolation.TRAIN), (3, interpolation.DELETED), (4, interpolation.UNSEEN)):
+        rows.append((0, interpolation.BIGRAM, block, group, interpolation._pack_keys(keys), interpolation._pack(np.array([1, 2**32 - 1, 3_000_000_000], np.int64))))
+    totals = interpolation._totals(spark.createDataFrame([(*r[:4], bytearray(r[4]), bytearray(r[5])) for r in rows], interpolation._SENT)).collect()
+    assert len(totals) == 5
+    for r in totals:
+        if r.block is not None:
+            assert interpolation._unpack(bytes(r.kept)).tolist() == [2, 2**33 - 2, 6_000_000_000] and interpolation._unpack(bytes(r.deleted)).tolist() == [1, 2**32 - 1, 3_000_000_000]
+        else:
+            assert (r.n_kept, r.n_deleted, r.v) == (2**33 + 6_000_000_000, 2**32 + 3_000_000_000, 3)
+
+
+def test_repeated_labels_and_texts_of_one_doc_id(spark):
+    texts = [(1, TEXT), (1, "Other words here."), (2, "| | |"), (3, TEXT + " More."), (4, "a | b | c")]
+    labels = [(1, 1), (2, 0), (3, 1), (4, 0)]
+
+    def scores(texts, labels):
+        docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+        found = pairwise_quality.score_quality(docs, spark.createDataFrame(labels, "doc_id long, quality int"), F.lit(True))
+        return sorted((r.doc_id, r.score) for r in found.collect())
+
+    assert scores(texts, labels) == scores(texts[::-1], [*labels, (1, 1), (1, 1), (4, 0)])
