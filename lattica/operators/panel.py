@@ -14,15 +14,24 @@ from ..functions import ratio
 from .ranges import running_totals
 
 
+def _about_mean(c: Column, mean_x: Column, mean_y: Column, n: Column) -> Column:
+    """What the zeros left out add to a sum of products about the means of ``c`` of ``n`` entries."""
+    return c * mean_x * mean_y * (1 - c / n)
+
+
 def pearson(df: DataFrame, by: list[str], n: Column | None = None, a: str = "target", b: str = "predicted") -> DataFrame:
-    """Pearson of ``a`` and ``b`` for each group; ``n`` entries each if zeros are left out, else its rows."""
+    """Pearson of ``a`` and ``b`` for each group; ``n`` entries each if zeros are left out, else its rows. Entries with a null are left out.
+
+    Moments about the mean, which merge without loss where means are large and deviations small; a deviation below ``1e-13`` of the mean is none.
+    """
     x, y = F.col(a).cast("double"), F.col(b).cast("double")
-    m = df.groupBy(*by).agg(F.count("*").alias("_c"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"), F.sum(x * y).alias("sxy"))
-    n = (F.col("_c") if n is None else n).cast("double")
-    top = F.col("sxy") - F.col("sx") * F.col("sy") / n
-    vx, vy = F.col("sxx") - F.col("sx") * F.col("sx") / n, F.col("syy") - F.col("sy") * F.col("sy") / n
-    flat = (vx <= F.col("sxx") * 1e-12) | (vy <= F.col("syy") * 1e-12)
-    return m.select(*by, F.when(~flat, top / F.sqrt(vx * vy)).alias("pearson"))
+    both = df.where(x.isNotNull() & y.isNotNull()).groupBy(*by)
+    m = both.agg(F.count("*").cast("double").alias("_c"), F.avg(x).alias("mx"), F.avg(y).alias("my"), F.var_pop(x).alias("vx"), F.var_pop(y).alias("vy"), F.covar_pop(x, y).alias("cxy"))
+    c = F.col("_c")
+    n = (c if n is None else n).cast("double")
+    sums = {name: c * F.col(v) + _about_mean(c, F.col(p), F.col(q), n) for name, v, p, q in (("xy", "cxy", "mx", "my"), ("xx", "vx", "mx", "mx"), ("yy", "vy", "my", "my"))}
+    flat = (sums["xx"] <= c * F.col("mx") * F.col("mx") * 1e-26) | (sums["yy"] <= c * F.col("my") * F.col("my") * 1e-26)
+    return m.select(*by, F.when(~flat, sums["xy"] / F.sqrt(sums["xx"] * sums["yy"])).alias("pearson"))
 
 
 def average_ranks(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
@@ -88,8 +97,8 @@ def average_precision(df: DataFrame, label: Column, score: str, *by: str) -> Dat
 def top_variance(expr: DataFrame, n_cells: int, n: int) -> DataFrame:
     """The ``n`` genes of largest population variance of log1p values, zeros included; ties by gene."""
     v = F.log1p(F.col("value").cast("double"))
-    m = expr.groupBy("gene_id").agg(F.sum(v).alias("s"), F.sum(v * v).alias("ss"))
-    var = F.col("ss") / n_cells - F.col("s") / n_cells * F.col("s") / n_cells
+    m = expr.groupBy("gene_id").agg(F.count(v).cast("double").alias("c"), F.avg(v).alias("m"), F.var_pop(v).alias("v"))
+    var = (F.col("c") * F.col("v") + _about_mean(F.col("c"), F.col("m"), F.col("m"), F.lit(float(n_cells)))) / n_cells
     top = m.select("gene_id", var.alias("variance")).orderBy(F.desc("variance"), "gene_id").limit(n)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("variance"), "gene_id")))
 

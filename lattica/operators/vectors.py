@@ -8,7 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import manhattan, ratio, squared_distance
+from ..functions import ratio, squared_distance
+from ..session import checkpointed
 from .embedding import vocabulary
 
 #: Queries that are compared at once; a block of queries is broadcast, so this bounds it.
@@ -119,35 +120,93 @@ def nearest_centroid(vectors: DataFrame, centres: DataFrame, label: str) -> Data
     return near.groupBy("id").agg(F.min(F.struct("d2", label)).alias("b")).select("id", F.col(f"b.{label}").alias(label), F.col("b.d2").alias("d2"))
 
 
+#: Rows of a tile: two tiles make one matrix of distances, in steps of a component.
+TILE_ROWS = 512
+
+
+def _kernel_means(sets: DataFrame, sigma: float) -> DataFrame:
+    """``(a, b, m)`` with ``a <= b``: the mean of ``exp(-L1^2 / (2 sigma^2))`` over all pairs of rows of two sets of ``sets(batch, vector)``.
+
+    All pairs are what is asked. Rows are dealt at random into tiles (like rows are spread), once and stored; each pair of tiles, once, is two matrices in one task, which gives one number. A tile goes to its partners by
+    a key for each of them, so the join is by equality.
+    """
+    tiles = -(-sets.count() // TILE_ROWS)
+    if not tiles:
+        return sets.select(F.col("batch").alias("a"), F.col("batch").alias("b"), F.lit(0.0).alias("m"))
+    dealt = sets.withColumn("_t", F.floor(F.rand(7) * tiles)).groupBy("batch", "_t").agg(F.flatten(F.collect_list("vector")).alias("v"), F.count("*").alias("n"))
+    numbered = checkpointed(dealt.withColumn("t", F.concat_ws(":", F.lpad(F.col("_t").cast("string"), 12, "0"), F.col("batch").cast("string"))).drop("_t"))
+    names = F.broadcast(numbered.agg(F.sort_array(F.collect_set("t")).alias("all")))  # one for each tile: a 512th of the rows
+    listed = numbered.join(names, F.lit(True))
+    left = listed.select("batch", "v", "n", "t", F.explode(F.filter("all", lambda u: u >= F.col("t"))).alias("u")).withColumnsRenamed({"batch": "ba", "v": "va", "n": "na"})
+    right = listed.select("batch", "v", "n", F.col("t").alias("u"), F.explode(F.filter("all", lambda u: u <= F.col("t"))).alias("t")).withColumnsRenamed({"batch": "bb", "v": "vb", "n": "nb"})
+    pairs = left.join(right.hint("shuffle_hash"), ["t", "u"]).select(F.least("ba", "bb").alias("a"), F.greatest("ba", "bb").alias("b"), "t", "u", "va", "vb", "na", "nb")
+
+    def add(batches):
+        for batch in batches:
+            sums, counts = [], []
+            for k in range(batch.num_rows):
+                x, y = (np.asarray(batch.column(c)[k].values, float).reshape(batch.column(m)[k].as_py(), -1).T for c, m in (("va", "na"), ("vb", "nb")))
+                d = np.zeros((x.shape[1], y.shape[1]))
+                for i in range(len(x)):
+                    d += np.abs(x[i][:, None] - y[i][None])
+                both = 1 if batch.column("t")[k].as_py() == batch.column("u")[k].as_py() or batch.column("a")[k].as_py() != batch.column("b")[k].as_py() else 2
+                sums.append(both * float(np.exp(-d * d / (2.0 * sigma * sigma)).sum()))
+                counts.append(both * d.size)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sums, pa.float64()), pa.array(counts, pa.int64())], ["a", "b", "s", "c"])
+
+    kind = sets.schema["batch"].dataType.simpleString()
+    return pairs.mapInArrow(add, f"a {kind}, b {kind}, s double, c long").groupBy("a", "b").agg((F.sum("s") / F.sum("c")).alias("m"))
+
+
 def mmd_l1(a: DataFrame, b: DataFrame, sigma: float = 1.0) -> DataFrame:
-    """Maximum mean discrepancy of two sets of vectors, kernel ``exp(-L1^2 / (2 sigma^2))``, diagonal included.
+    """Maximum mean discrepancy of two sets of vectors, kernel ``exp(-L1^2 / (2 sigma^2))``, diagonal included; null if one is empty.
 
     A mean over all pairs of rows is what is asked; sets are the samples that the caller states.
     """
+    means = _kernel_means(a.select(F.lit(0).alias("batch"), "vector").unionByName(b.select(F.lit(1).alias("batch"), "vector")), sigma)
+    part = lambda x, y: F.max(F.when((F.col("a") == x) & (F.col("b") == y), F.col("m")))
+    return means.agg((part(0, 0) + part(1, 1) - 2.0 * part(0, 1)).alias("mmd"))
+
 
-    def mean_kernel(x: DataFrame, y: DataFrame):
-        d = manhattan(F.col("v"), F.col("w"))
-        pairs = x.select(F.col("vector").alias("v")).join(y.select(F.col("vector").alias("w")), F.lit(True))
-        return pairs.agg(F.avg(F.exp(-d * d / (2.0 * sigma * sigma))).alias("m"))
+def mmd_between_batches(df: DataFrame, sigma: float = 1.0, most: int = 2000, seed: int = 0) -> DataFrame:
+    """``(a, b, mmd)`` for each pair of batches of ``df(id, batch, vector)``, of samples of at most ``most`` rows of each: those of the least hashes of seed and id.
 
-    parts = mean_kernel(a, a).withColumnRenamed("m", "xx").join(mean_kernel(b, b).withColumnRenamed("m", "yy"), F.lit(True)).join(mean_kernel(a, b).withColumnRenamed("m", "xy"), F.lit(True))
-    return parts.select((F.col("xx") + F.col("yy") - 2.0 * F.col("xy")).alias("mmd"))
+    Every sample meets every other once, so the figures of all pairs share their kernels of one batch.
+    """
+    order = Window.partitionBy("batch").orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col("id").cast("string"))), "id")
+    sample = df.where(F.col("batch").isNotNull()).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).select("batch", "vector")
+    means = _kernel_means(sample, sigma)
+    own = means.where("a = b")
+    pairs = means.where("a <> b").withColumnRenamed("m", "ab").join(own.select("a", F.col("m").alias("aa")), "a").join(own.select("b", F.col("m").alias("bb")), "b")
+    return pairs.select("a", "b", (F.col("aa") + F.col("bb") - 2.0 * F.col("ab")).alias("mmd"))
 
 
 def product_sums(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``(i, j, v)``: sums over the rows of the products of all components of some array columns, laid end to end, and of a 1 after them.
+    """``(i, j, v)``: sums over the rows of the products of all components, less their means, of some array columns, laid end to end, and of a 1 after them.
 
-    Each Arrow batch gives one matrix, added up by cell. Rows with a null column are left out; the columns have fixed widths.
+    A first pass takes the means; in the second each Arrow batch gives one matrix, added up by cell. Rows with a null column are left out; the columns have fixed widths.
     """
+    rows = df.select(*columns).dropna()
+
+    def matrix(batch, parts=columns):
+        return np.hstack([np.asarray(batch.column(c).flatten().to_numpy(zero_copy_only=False), float).reshape(batch.num_rows, -1) for c in parts])
+
+    def first(batches):
+        for batch in batches:
+            if batch.num_rows:
+                z = matrix(batch)
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64()), pa.array([z.mean(0)], pa.list_(pa.float64()))], ["n", "mean"])
+
+    means = rows.mapInArrow(first, "n long, mean array<double>").select("n", F.posexplode("mean").alias("i", "m")).groupBy("i").agg((F.sum(F.col("m") * F.col("n")) / F.sum("n")).alias("m")).orderBy("i").collect()  # a row for each component
+    centre = np.array([r.m for r in means])
+
     def partial(batches):
         for batch in batches:
             if batch.num_rows:
-                parts = [np.asarray(batch.column(c).flatten().to_numpy(zero_copy_only=False), float).reshape(batch.num_rows, -1) for c in columns]
-                z = np.hstack([*parts, np.ones((batch.num_rows, 1))])
+                z = np.hstack([matrix(batch) - centre, np.ones((batch.num_rows, 1))])
                 i, j = np.indices((z.shape[1], z.shape[1]))
                 yield pa.RecordBatch.from_arrays([pa.array(i.ravel(), pa.int32()), pa.array(j.ravel(), pa.int32()), pa.array((z.T @ z).ravel())], ["i", "j", "v"])
 
-    rows = df.select(*columns).dropna()
     return rows.mapInArrow(partial, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import columns, vectors
 from ..operators import communities as C
 from ..operators import integration as I
 from ..operators.spatial import knn_join
 from .common import CELLS, EXPR, cells, expr, knn_sql
-from .registry import query
+from .registry import query, table
 
 _GRAPH = "pairs AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM knn), graph AS (SELECT a AS src, b AS dst FROM pairs UNION ALL SELECT b, a FROM pairs)"
 
@@ -79,3 +80,22 @@ def seurat_v3_genes(spark, d):
     e = expr(spark, d)
     out = I.seurat_v3(e, e.select("cell_id", (F.col("cell_id") % 2).alias("batch")).distinct(), 12)
     return out.select("gene_id", F.round("variance", 6).alias("variance"), "rank", "batches", "chosen")
+
+
+@query("""WITH s AS (SELECT vec_id % 3 AS batch, vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY md5('0:' || id), id) AS r FROM s),
+k AS (SELECT x.batch AS a, y.batch AS b, avg(exp(-pow(list_sum(list_transform(list_zip(x.v, y.v), lambda z: abs(z[1] - z[2]))), 2) / 2)) AS m FROM r x JOIN r y ON x.batch <= y.batch WHERE x.r <= 120 AND y.r <= 120 GROUP BY 1, 2)
+SELECT k.a::INT AS a, k.b::INT AS b, round(x.m + y.m - 2 * k.m, 9) AS mmd FROM k JOIN k x ON x.a = k.a AND x.b = k.a JOIN k y ON y.a = k.b AND y.b = k.b WHERE k.a < k.b""")
+def mmd_between_batches(spark, d):
+    c = cells(spark, d).select("id", F.col("section_id").alias("batch"), "vector")
+    return vectors.mmd_between_batches(c, most=120).select("a", "b", F.round("mmd", 9).alias("mmd"))
+
+
+@query("""WITH n AS (SELECT unnest(['batch_status', 'Sample_customer', 'label_priority', 'cluster_clerk', 'region_day', 'note']) AS name, unnest([count(DISTINCT o_orderstatus), count(DISTINCT o_custkey), count(DISTINCT o_orderpriority), count(DISTINCT o_orderkey % 500), count(DISTINCT o_orderkey % 501), count(DISTINCT o_orderpriority)]) AS n FROM orders)
+SELECT name, CASE WHEN regexp_matches(lower(name), 'batch|sample') AND n BETWEEN 2 AND 50 THEN 'batch' ELSE 'label' END AS role FROM n
+WHERE regexp_matches(lower(name), 'batch|sample') AND n BETWEEN 2 AND 50 OR regexp_matches(name, 'label|cluster|region') AND n BETWEEN 2 AND 500""")
+def column_roles(spark, d):
+    o = table(spark, d, "orders").select(
+        F.col("o_orderstatus").alias("batch_status"), F.col("o_custkey").alias("Sample_customer"), F.col("o_orderpriority").alias("label_priority"), (F.col("o_orderkey") % 500).alias("cluster_clerk"),
+        (F.col("o_orderkey") % 501).alias("region_day"), F.col("o_orderpriority").alias("note"),
+    )
+    return spark.createDataFrame(sorted(columns.column_roles(o).items()), "name string, role string")
