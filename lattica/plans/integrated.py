@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import columns, vectors
 from ..operators import communities as C
+from ..operators import embedding, sparse_pca
 from ..operators import integration as I
 from ..operators.spatial import knn_join
 from .common import CELLS, EXPR, cells, expr, knn_sql
@@ -99,3 +100,16 @@ def column_roles(spark, d):
         (F.col("o_orderkey") % 501).alias("region_day"), F.col("o_orderpriority").alias("note"),
     )
     return spark.createDataFrame(sorted(columns.column_roles(o).items()), "name string, role string")
+
+
+@query()
+def sparse_components(spark, d):
+    e = embedding.log_normalised(expr(spark, d).withColumn("value", F.col("value").cast("double")))
+    return sparse_pca.sparse_components(e, e.select("cell_id"), 10)
+
+
+@query(f"""WITH {EXPR}, n AS (SELECT count(DISTINCT cell_id)::DOUBLE AS n FROM expr), s AS (SELECT gene_id, sum(value) / any_value(n) AS mean, sqrt((sum(pow(value, 2)) - pow(sum(value), 2) / any_value(n)) / (any_value(n) - 1)) AS sd FROM expr, n GROUP BY 1)
+SELECT cell_id, gene_id, round(greatest(-2, least(2, (value - mean) / sd)) - greatest(-2, least(2, -mean / sd)), 6) AS d FROM expr JOIN s USING (gene_id)""")
+def standardised_entries(spark, d):
+    e = expr(spark, d)
+    return sparse_pca.standardised_entries(e, e.select("cell_id"), 2.0)[0].select("cell_id", "gene_id", F.round("d", 6).alias("d"))
