@@ -312,8 +312,13 @@ def test_any_tokenizer_gives_its_own_ids(name):
     assert [ids[a:b].tolist() for a, b in zip(first, first[1:])] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
-def plain_spans(rows, span, min_words):
-    first, gone = {}, {}
+def plain_spans(rows, span, min_words, few):
+    first, gone, count = {}, {}, Counter()
+    for _, text in rows:
+        data = (text or "").encode()
+        cuts = sentence_dedup.sentence_starts(data).tolist()
+        parts = [data[a:b].lower().split() for a, b in zip(cuts, cuts[1:])] if data else []
+        count.update(tuple(w for p in parts[k : k + span] for w in p) for k in range(len(parts) - span + 1))
     for i, text in sorted(rows, key=lambda r: (r[0] is None, r[0])):
         data = (text or "").encode()
         cuts = sentence_dedup.sentence_starts(data).tolist()
@@ -321,7 +326,8 @@ def plain_spans(rows, span, min_words):
         own = set()
         for k in range(len(parts) - span + 1):
             words = tuple(w for p in parts[k : k + span] for w in p.lower().split())
-            if len(words) >= min_words and first.setdefault(words, (i, k)) != (i, k):
+            begun = first.setdefault(words, (i, k))
+            if begun != (i, k) if len(words) >= min_words else words and begun[0] != i and count[words] <= few:
                 own |= set(range(k, k + span))
         gone[i] = (len(parts), len(own), b"".join(p for k, p in enumerate(parts) if k not in own).decode())
     return gone
@@ -340,8 +346,9 @@ def test_repeated_spans_equal_brute_force(spark, span):
         rows.append((i, rng.choice([" ", "  "]).join(text)))
     rows += [(100, None), (101, ""), (102, "é. " * 40), (None, " ".join(passage)), (103, " ".join(passage))]
     docs = spark.createDataFrame([(i, t, "k", 3) for i, t in rows], "doc_id long, text string, starts string, removed int")
-    found = {r.doc_id: (r.n_sentences, r.n_removed, r.text) for r in sentence_dedup.drop_repeated_spans(docs, span=span).collect()}
-    assert found == plain_spans(rows, span, sentence_dedup.MIN_WORDS)
+    for few in (sentence_dedup.FEW, 2):
+        found = {r.doc_id: (r.n_sentences, r.n_removed, r.text) for r in sentence_dedup.drop_repeated_spans(docs, span=span, few=few).collect()}
+        assert found == plain_spans(rows, span, sentence_dedup.MIN_WORDS, few)
     assert found[0][1] < found[5][1] or found[0][1] == 0
     assert sentence_dedup.drop_repeated_spans(docs.where("false")).count() == 0
 
@@ -357,12 +364,25 @@ def test_phrases_and_repeats_in_one_text_stay(spark):
     licence = "Shared under the usual terms. All rights are kept. See the notice."
     shouted = " ".join("buy!! now!!" for _ in range(60))
     own = [" ".join(f"w{i}x{k}" for k in range(40)) + "." for i in range(3)]
-    rows = [(0, f"{licence} {own[0]}"), (1, f"{own[1]} {licence}"), (2, f"start {shouted} end"), (3, f"{own[2]} {shouted}")]
+    rows = [(0, f"{licence} {own[0]}"), (1, f"{own[1]} {licence}"), (2, f"start {shouted} end"), (3, f"{own[2]} {shouted}")] + [(10 + i, f"{licence} other{i} words.") for i in range(sentence_dedup.FEW)]
     found = {r.doc_id: r.text for r in sentence_dedup.drop_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found[0] == rows[0][1] and found[1] == rows[1][1]
     assert found[3].startswith(own[2]) and len(found[3].split()) < 70  # another text's run is a repeat
 
 
+@pytest.mark.parametrize("size", [9, 15, 20, 24, 30])
+def test_short_passages_of_two_texts_are_found(spark, size):
+    """Three whole sentences of any length that two texts share, in fresh text."""
+    rng = random.Random(size)
+    fresh = lambda n: " ".join(f"{rng.choice(WORDS)}{rng.randrange(10**9)}" for _ in range(n)) + ". "
+    rows = []
+    for i in range(40):
+        passage = "".join(fresh(size // 3) for _ in range(3))
+        rows += [(2 * i, fresh(30) + passage + fresh(20)), (2 * i + 1, fresh(10) + passage + fresh(40))]
+    found = {r.doc_id: r for r in sentence_dedup.drop_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert all(found[2 * i].n_removed == 0 and found[2 * i + 1].n_removed == 3 and len(found[2 * i + 1].text.split()) == 50 for i in range(40))
+
+
 def test_repeated_passages_of_any_sentences_are_found(spark):
     rng = random.Random(12)
     fresh = lambda n: [f"{rng.choice(WORDS)}{rng.randrange(10**9)}" for _ in range(n)]
