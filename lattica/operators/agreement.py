@@ -183,3 +183,13 @@ def feasibility(df: DataFrame, label: str, batch: str, min_cells: int = 10) -> D
     out = per.agg(F.count("*").alias("n_labels"), F.count_if(ok).alias("n_scorable"), F.sum("n").alias("n_cells"), F.coalesce(F.sum(F.when(ok, F.col("n"))), F.lit(0)).alias("scorable_cells"))
     share = ratio(F.col("scorable_cells"), F.col("n_cells"))
     return out.withColumn("share", share).withColumn("verdict", F.when(share >= 0.75, "OK").when(share > 0, "PARTIAL").otherwise("NOT FEASIBLE"))
+
+
+def decoded_profiles(shares: DataFrame, profiles: DataFrame) -> DataFrame:
+    """``(id, feature, weighted, picked)``: profiles of tokens mixed by their shares, and that of the token of the largest share (ties: the least token).
+
+    ``shares(id, token, p)``, ``profiles(token, feature, value)``; tokens without a profile add nothing, and an id none of whose tokens has one is absent. Where only the picked token lacks the feature, picked is null.
+    """
+    top = shares.groupBy("id").agg(F.min_by("token", F.struct((-F.col("p")).alias("p"), F.col("token"))).alias("_top"))
+    both = shares.join(profiles, "token").join(top, "id")
+    return both.groupBy("id", "feature").agg(F.sum(F.col("p") * F.col("value")).alias("weighted"), F.max(F.when(F.col("token") == F.col("_top"), F.col("value"))).alias("picked"))

@@ -147,3 +147,14 @@ def dense_token(spark, d):
 
     docs = table(spark, d, "documents").where("lang IS NOT NULL AND source IS NOT NULL").withColumn("pair", F.struct("lang", "source"))
     return dense(docs, "pair", "token").select("doc_id", F.col("token").cast("long").alias("token"))
+
+
+@query("""WITH n AS (SELECT l_suppkey AS id, l_linenumber AS token, sum(l_quantity)::DOUBLE AS n FROM lineitem WHERE l_linenumber < 7 GROUP BY ALL), p AS (SELECT id, token, n / sum(n) OVER (PARTITION BY id) AS p FROM n),
+c AS (SELECT l_linenumber AS token, l_returnflag AS feature, avg(l_extendedprice) AS value FROM lineitem WHERE l_linenumber <> 3 GROUP BY ALL), t AS (SELECT id, token AS top FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p DESC, token) AS r FROM p) WHERE r = 1)
+SELECT id, feature, round(sum(p * value), 6) AS weighted, round(max(CASE WHEN token = top THEN value END), 6) AS picked FROM p JOIN c USING (token) JOIN t USING (id) GROUP BY 1, 2""")
+def decoded_profiles(spark, d):
+    li = table(spark, d, "lineitem")
+    n = li.where("l_linenumber < 7").groupBy(F.col("l_suppkey").alias("id"), F.col("l_linenumber").alias("token")).agg(F.sum("l_quantity").cast("double").alias("n"))
+    shares = n.join(n.groupBy("id").agg(F.sum("n").alias("all")), "id").select("id", "token", (F.col("n") / F.col("all")).alias("p"))
+    profiles = li.where("l_linenumber <> 3").groupBy(F.col("l_linenumber").alias("token"), F.col("l_returnflag").alias("feature")).agg(F.avg("l_extendedprice").alias("value"))
+    return A.decoded_profiles(shares, profiles).select("id", "feature", F.round("weighted", 6).alias("weighted"), F.round("picked", 6).alias("picked"))

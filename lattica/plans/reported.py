@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import agreement as A
 from ..operators import reports as R
 from ..operators import spatial
+from .agreements import _JSD, _shares
 from .common import CELLS, SEEDS, SEEDS_LONG, cells, knn_sql, seeds, seeds_long
 from .registry import query, table
 
@@ -176,11 +178,12 @@ def overlap_summary(spark, d):
     return _r(R.overlap_summary(rows), "mean", "sd", "to_ceiling")
 
 
-@query("""WITH a AS (SELECT user_id AS batch, count(*) AS n FROM events GROUP BY 1), b AS (SELECT o_custkey AS prediction, count(*) AS n FROM orders GROUP BY 1),
+@query("""WITH a AS (SELECT o_custkey % 40 AS batch, count(*) AS n FROM orders GROUP BY 1), b AS (SELECT 'p' || (o_custkey % 40 * 7) AS prediction, count(*) AS n FROM orders WHERE o_custkey % 40 < 30 GROUP BY 1),
 x AS (SELECT n, min(batch) AS batch, count(*) AS c FROM a GROUP BY 1), y AS (SELECT n, min(prediction) AS prediction, count(*) AS c FROM b GROUP BY 1) SELECT batch, prediction, n FROM x JOIN y USING (n) WHERE x.c = 1 AND y.c = 1""")
 def matched_batches(spark, d):
-    a = table(spark, d, "events").groupBy(F.col("user_id").alias("batch")).agg(F.count("*").alias("n"))
-    return R.matched_batches(a, table(spark, d, "orders").groupBy(F.col("o_custkey").alias("prediction")).agg(F.count("*").alias("n")))
+    o = table(spark, d, "orders").withColumn("batch", F.col("o_custkey") % 40)
+    made = o.where("batch < 30").groupBy(F.concat(F.lit("p"), (F.col("batch") * 7).cast("string")).alias("prediction")).agg(F.count("*").alias("n"))
+    return R.matched_batches(o.groupBy("batch").agg(F.count("*").alias("n")), made)
 
 
 @query("SELECT c_custkey, lower(c_mktsegment) AS section, c_mktsegment || '+' || (c_custkey % 2) AS canonical, c_nationkey AS label FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey, lower(c_mktsegment), NULL, NULL FROM customer WHERE c_custkey % 3 <> 0")
@@ -263,13 +266,12 @@ def decay_sweep(spark, d):
     return R.tagged_usage(runs, usage).select("run", "level", "n_used", "beta")
 
 
-@query("""WITH s AS (SELECT n_nationkey AS section, n_regionkey AS donor FROM nation WHERE n_nationkey < 12), p AS (SELECT a.section AS a, b.section AS b, a.donor AS donor_a, b.donor AS donor_b FROM s a, s b)
-SELECT 'codes' AS kind, a, b, donor_a, donor_b, donor_a = donor_b AS same_donor, 1.0 / (1 + abs(a - b))::DOUBLE AS similarity FROM p""")
+@query(f"""WITH {_JSD} SELECT 'codes' AS kind, source AS a, target AS b, 'd' || (source % 3) AS donor_a, 'd' || (target % 3) AS donor_b, source % 3 = target % 3 AS same_donor, round(similarity, 5) AS similarity FROM sim""")
 def similarity_records(spark, d):
-    s = table(spark, d, "nation").where("n_nationkey < 12").select(F.col("n_nationkey").alias("section"), F.col("n_regionkey").alias("donor"))
-    a, b = s.select(F.col("section").alias("a")), s.select(F.col("section").alias("b"))
-    pairs = a.join(b, F.col("a") <= F.col("b")).select(F.lit("codes").alias("kind"), "a", "b", (1.0 / (1 + F.abs(F.col("a") - F.col("b")))).alias("similarity"))
-    return R.similarity_records(pairs, s)
+    shares = _shares(spark, d)
+    pairs = A.jsd_similarity(shares, "section", "code").where("source <= target").select(F.lit("codes").alias("kind"), F.col("source").alias("a"), F.col("target").alias("b"), "similarity")
+    sections = shares.select("section").distinct().select("section", F.concat(F.lit("d"), (F.col("section") % 3).cast("string")).alias("donor"))
+    return _r(R.similarity_records(pairs, sections), "similarity", places=5)
 
 
 @query("""WITH r AS (SELECT (p_size % 4)::VARCHAR AS x, 'p_brand' AS label_key, p_brand AS y FROM part UNION ALL SELECT (p_size % 4)::VARCHAR, 'p_type', p_type FROM part),
