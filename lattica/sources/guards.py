@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,22 +62,72 @@ def restamped(cells: DataFrame, sections: list[int], prefix: str = "s") -> DataF
     return kept.withColumn("section_id", F.col("_new")).withColumn("id", F.concat(F.lit(prefix), F.col("_new").cast("string"), F.lit("_"), F.col("id").cast("string"))).drop("_new").select(cells.columns)
 
 
+LOG = "_log"  # a name that Spark's own readers pass over
+
+
+def _log_folder(spark: SparkSession, root: str):
+    """The file system of ``root``, the folder of its commit log, and what makes a path."""
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    folder = make(f"{root}/{LOG}")
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder, make
+
+
+def _put_if_absent(spark: SparkSession, root: str, version: int, entry: dict) -> bool:
+    """Adds an entry to the log, unless there is one of that version."""
+    fs, folder, make = _log_folder(spark, root)
+    fs.mkdirs(folder)
+    try:
+        out = fs.create(make(folder, f"{version:06d}.json"), False)
+    except Exception as e:
+        if fs.exists(make(folder, f"{version:06d}.json")):
+            return False
+        raise e
+    try:
+        out.write(bytearray((json.dumps(entry) + "\n").encode()))
+    finally:
+        out.close()
+    return True
+
+
+def versions(spark: SparkSession, root: str) -> dict[int, str]:
+    """The committed versions of a table and the folder of each, from the log alone: one small file a version, no data file is listed or read."""
+    fs, folder, _ = _log_folder(spark, root)
+    if not fs.exists(folder) or not fs.listStatus(folder):
+        return {}
+    lines = spark.read.text(f"{root}/{LOG}/*.json").select(F.regexp_extract(F.input_file_name(), r"(\d+)\.json$", 1).cast("int").alias("v"), "value").collect()
+    found = {}
+    for r in lines:
+        try:
+            found[r.v] = json.loads(r.value)["folder"]
+        except ValueError:
+            continue  # its writer died before the entry was whole; that number stays unused
+    return dict(sorted(found.items()))
+
+
 def supersede(df: DataFrame, root: str, version: int) -> str:
     """Writes ``df`` as a new version beside the old ones, which stay; returns its path.
 
-    A table is a folder of versions ``v=<n>``; :func:`current` reads the highest. Nothing is moved or overwritten, so a
-    reader of the old version goes on undisturbed, and a failed write leaves no version marked as whole.
+    The rows go to a folder of their own, and only then an entry in the commit log makes them a version: the log takes one entry a version, whoever comes first, so of two writers
+    one is refused. Nothing is moved or overwritten, so a reader of the old version goes on undisturbed. A write that dies half-way has no entry, and no reader sees it; the version can be written again.
     """
+    if version in versions(df.sparkSession, root):
+        raise FileExistsError(f"{root} has version {version}")
     path = f"{root}/v={version:06d}"
+    fs, _, make = _log_folder(df.sparkSession, root)
+    if fs.exists(make(path)):  # of a writer that died, or of one that is at work
+        path = f"{path}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
+    if not _put_if_absent(df.sparkSession, root, version, {"version": version, "folder": path[len(root) + 1 :]}):
+        raise FileExistsError(f"{root} has version {version}; these rows lie in {path}")
     return path
 
 
-def current(spark: SparkSession, root: str) -> DataFrame:
-    """The rows of the highest version under ``root``."""
-    table = spark.read.parquet(root)
-    top = table.agg(F.max("v")).first()[0]
-    return table.where(F.col("v") == top).drop("v")
+def current(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    """The rows of the highest committed version under ``root``, or of the one given. The log is read first; then that version's files alone."""
+    found = versions(spark, root)
+    if not found or version is not None and version not in found:
+        raise FileNotFoundError(f"{root} has no version {'' if version is None else version}".rstrip())
+    return spark.read.parquet(f"{root}/{found[max(found) if version is None else version]}")
 
 
 def sanitised(df: DataFrame, schema: T.StructType) -> DataFrame:

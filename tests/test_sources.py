@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.sources import runs, sections
+from lattica.sources import guards, runs, sections
 from lattica.streaming import results
 
 RESULT = T.StructType([T.StructField("seed", T.IntegerType()), T.StructField("metric", T.StringType()), T.StructField("value", T.DoubleType())])
@@ -62,3 +62,31 @@ def test_arriving_results(spark, tmp_path):
     means.processAllAvailable()
     means.stop()
     assert spark.table("means").first().n == 3
+
+
+def test_versions_are_seen_when_they_are_committed(spark, tmp_path):
+    """A write that dies half-way, two writers of one version, and a reader of an old one."""
+    root = str(tmp_path / "table")
+    rows = spark.range(6).withColumnRenamed("id", "v").repartition(3)
+    with pytest.raises(FileNotFoundError):
+        guards.current(spark, root)
+    guards.supersede(rows, root, 1)
+    old = guards.current(spark, root)
+
+    broken = rows.select(F.when(F.col("v") == 5, F.raise_error(F.lit("lost"))).otherwise(F.col("v").cast("string")).alias("v"))
+    with pytest.raises(Exception, match="lost"):
+        guards.supersede(broken, root, 2)
+    assert guards.current(spark, root).count() == 6 and list(guards.versions(spark, root)) == [1]
+    (tmp_path / "table" / "v=000002").mkdir(exist_ok=True)  # what a writer leaves that was killed
+    (tmp_path / "table" / "v=000002" / "part-0.parquet").write_bytes(b"half")
+    assert guards.current(spark, root).count() == 6
+
+    second = guards.supersede(rows.where("v < 4"), root, 2)
+    assert guards.current(spark, root).count() == 4 and "v=000002-" in second
+    with pytest.raises(FileExistsError):
+        guards.supersede(rows, root, 2)
+    assert not guards._put_if_absent(spark, root, 2, {"version": 2, "folder": "v=other"}) and guards.current(spark, root).count() == 4
+    (tmp_path / "table" / "_log" / "000003.json").write_text('{"version": 3, "fol')  # died inside the entry
+    assert guards.current(spark, root).count() == 4 and old.count() == 6 and guards.current(spark, root, 1).count() == 6
+    guards.supersede(rows.limit(1), root, 4)
+    assert guards.current(spark, root).count() == 1 and list(guards.versions(spark, root)) == [1, 2, 4]
