@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ratio
+from .ranges import running_totals
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -119,13 +120,21 @@ def paired(df: DataFrame, by: list[str], pair: str, group: str, a: str, b: str,
     return m.select(*by, "n", "mean", ratio(F.col("mean"), F.col("sd") / F.sqrt(F.col("n").cast("double"))).alias("t"), (F.col("n") - 1).cast("double").alias("dof"))
 
 
+def _tied_ranks(counts: DataFrame, by: list[str], value: str) -> DataFrame:
+    """``counts`` of distinct values with ``rank``, the mean rank of each value's ``c`` rows. Without groups the values are ranked by ranges, as they can be as many as rows."""
+    if by:
+        upto = counts.withColumn("_upto", F.sum("c").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        upto = running_totals(counts, [F.col(value)], {"_upto": F.col("c")})
+    return upto.withColumn("rank", F.col("_upto") - (F.col("c") - 1) / F.lit(2.0)).drop("_upto")
+
+
 def mann_whitney(df: DataFrame, by: list[str], group: str, a: str, b: str, value: str) -> DataFrame:
     """U of group ``a`` against ``b`` by average ranks, and its normal z with tie correction."""
     v = F.col(value).cast("double")
     rows = df.where(F.col(group).isin(a, b) & v.isNotNull()).select(*by, group, v.alias("v"))
     ties = rows.groupBy(*by, "v").agg(F.count("*").alias("c"), F.count_if(F.col(group) == a).alias("ca"))
-    before = Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = ties.withColumn("rank", F.coalesce(F.sum("c").over(before), F.lit(0)) + (F.col("c") + 1) / F.lit(2.0))
+    ranked = _tied_ranks(ties, by, "v")
     c = F.col("c").cast("double")
     agg = ranked.groupBy(*by).agg(F.sum(F.col("rank") * F.col("ca")).alias("r"), F.sum("ca").cast("double").alias("na"), F.sum(F.col("c") - F.col("ca")).cast("double").alias("nb"), F.sum(c * c * c - c).alias("ties"))
     n = F.col("na") + F.col("nb")
@@ -190,8 +199,7 @@ def wilcoxon(df: DataFrame, by: list[str], pair: str, group: str, a: str, b: str
     wide = df.where(F.col(group).isin(a, b)).groupBy(*by, pair).agg(F.max(F.when(F.col(group) == a, v)).alias("a"), F.max(F.when(F.col(group) == b, v)).alias("b"))
     d = wide.where("a IS NOT NULL AND b IS NOT NULL").withColumn("d", F.col("a") - F.col("b"))
     at = d.where("d <> 0").groupBy(*by, F.abs("d").alias("size")).agg(F.count("*").alias("c"), F.count_if(F.col("d") > 0).alias("up"))
-    before = Window.partitionBy(*by).orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = at.withColumn("rank", F.coalesce(F.sum("c").over(before), F.lit(0)) + (F.col("c") + 1) / F.lit(2.0))
+    ranked = _tied_ranks(at, by, "size")
     c = F.col("c").cast("double")
     sums = ranked.groupBy(*by).agg(F.sum("c").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("w"), F.sum(c * c * c - c).alias("ties"))
     equal = d.groupBy(*by).agg(F.count_if(F.col("d") == 0).alias("equal"))
