@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm.cluster import Scratch
+from lattica.llm.cluster import Scratch, scratch_dropped
 from lattica.llm.exact_dedup import drop_exact_duplicates
 from lattica.llm.mixing import mix_sources
 from lattica.llm.near_dup import drop_near_duplicates
@@ -49,12 +49,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage. What a stage kept is stored for the next and dropped when that is stored in turn."""
+    """The rows of the last stage, stored. What a stage kept, and all that it left in the shared folder, is dropped when the next one's rows are stored."""
     docs, scratch, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark), None
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = scratch.keep(docs)
-            scratch.drop(before)
-            before = docs
+    for _, stage in STAGES:
+        with scratch_dropped():
+            docs = scratch.keep(stage(spark, docs, sf_dir))
+        scratch.drop(before)
+        before = docs
     return docs

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,19 +30,26 @@ def _shuffles_freed(spark: SparkSession):
             spark.conf.set(_FREE_SHUFFLES, before)
 
 
+_OPEN: contextvars.ContextVar[list | None] = contextvars.ContextVar("scratches of the step that runs", default=None)
+
+
 class Scratch:
     """Tables of one call in the shared folder. A step that has been read for the last time is dropped.
 
     Unlike a checkpoint, a table here is removed by its own path and not when some garbage is collected,
-    and the shuffle files behind it go as soon as it is written.
+    and the shuffle files behind it go as soon as it is written. Those that a result still reads stay, unless
+    the call ran inside :func:`scratch_dropped`.
     """
 
     def __init__(self, spark: SparkSession):
-        self.spark, self._paths = spark, {}
+        self.spark, self.folder, self._n, self._paths = spark, f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}", 0, {}
+        if (made := _OPEN.get()) is not None:
+            made.append(self)
 
     def keep(self, df: DataFrame) -> DataFrame:
         """``df`` as a stored table."""
-        path = f"{shared_folder(self.spark)}/tables/{uuid.uuid4().hex}"
+        self._n += 1
+        path = f"{self.folder}/{self._n}"
         with _shuffles_freed(self.spark):
             df.write.parquet(path)
         table = self.spark.read.schema(df.schema).parquet(path)
@@ -55,6 +63,25 @@ class Scratch:
                 path, _ = self._paths.pop(id(table))
                 self.spark.range(0).write.mode("overwrite").parquet(path)
 
+    def drop_all(self) -> None:
+        """Removes all that is left, in one step."""
+        if self._paths:
+            self._paths.clear()
+            self.spark.range(0).write.mode("overwrite").parquet(self.folder)
+
+
+@contextlib.contextmanager
+def scratch_dropped():
+    """Within it, operators may leave tables that their results read; all of them go at its end, so what is wanted of the results must be stored by then."""
+    made: list[Scratch] = []
+    token = _OPEN.set(made)
+    try:
+        yield
+    finally:
+        _OPEN.reset(token)
+        for scratch in made:
+            scratch.drop_all()
+
 
 def stored(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, which stays."""

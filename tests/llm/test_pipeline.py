@@ -6,14 +6,17 @@ import hashlib
 import math
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from lattica.llm import mixing, packing, queries
+from lattica.session import shared_folder
 from test_pairs import plain_exact, plain_near
 
 
@@ -93,6 +96,17 @@ def test_pipeline_equals_its_plain_stages(spark, tmp_path):
         assert all(start == 0 or ends[start] for start, *_ in own) and ends[len(ids)] == copies[i]
 
 
+def test_run_leaves_nothing_but_its_rows(spark, tmp_path):
+    """No text and no step's table stays in the shared folder: of all files there that ``run`` added, only those of its result have rows."""
+    _, path = fixture(spark, tmp_path)
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(folder.rglob("*.parquet"))
+    found = corpus_pipeline.run(spark, path)
+    rows = {f: pq.read_metadata(f).num_rows for f in set(folder.rglob("*.parquet")) - before}
+    assert sum(rows.values()) == found.count() > 0
+    assert {f.parent for f, n in rows.items() if n} == {Path(f.removeprefix("file:")).parent for f in found.inputFiles()}
+
+
 @pytest.mark.parametrize("k", range(len(corpus_pipeline.STAGES)))
 def test_stages_take_empty_tables(spark, k):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars int")
