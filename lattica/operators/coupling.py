@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import squared_distance
+from .quantiles import medians
 from .vectors import balanced_accuracy, ilisi, knn_vote, linear_cka, product_sums, vector_knn
 
 #: Rows of the sample on which a kernel matrix is made; the pairs of a sample are its square.
@@ -99,7 +100,7 @@ def label_mixing(df: DataFrame, queries: DataFrame, k: int = 90, least: int = 10
     own = df.join(sizes.select("label"), "label", "left_semi")
     edges = vector_knn(own, own.join(queries.select("id"), "id", "left_semi"), k + 1, by="label")
     scores = ilisi(edges, own, k).join(own.select("id", "label"), "id")
-    per = scores.groupBy("label").agg(F.count("*").alias("n_queries"), F.median("ilisi").alias("m"))
+    per = medians(scores, ["label"], "ilisi").withColumnsRenamed({"median": "m", "n": "n_queries"})
     scaled = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("m") - 1.0) / (F.col("n_batches") - 1.0)))
     return per.join(sizes, "label").select("label", "n_cells", "n_batches", "n_queries", scaled.alias("score"))
 

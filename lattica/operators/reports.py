@@ -6,6 +6,8 @@ broadcast tables of as many rows as are declared.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from ..functions import stars
 from .agreement import contingency, partition_scores
 from .codes import cell_text, first_valid, labels_present
 from .panel import pearson
+from .quantiles import medians
 from .stats import moments, welch, welch_p
 from .tables import summary_long
 
@@ -25,7 +28,10 @@ def _finite(c: str) -> Column:
 def finite_summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Mean and median of the finite values of each group, and how many there are; none: null."""
     v = F.when(_finite(value), F.col(value).cast("double"))
-    return df.groupBy(*by).agg(F.avg(v).alias("mean"), F.median(v).alias("median"), F.count(v).alias("n"))
+    means = df.groupBy(*by).agg(F.avg(v).alias("mean"))
+    middle = medians(df.withColumn(value, v), by, value).withColumnsRenamed({c: f"_{c}" for c in by})
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by), F.lit(True))
+    return means.join(middle, same).select(*by, "mean", "median", "n")
 
 
 def panel_grid(panel: DataFrame, spec: dict[str, tuple[str, str, str, str]]) -> DataFrame:

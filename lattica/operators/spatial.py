@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ratio
 from ..session import checkpointed
+from .quantiles import medians
 
 #: Rounds of the grid search; each makes the cells' side four times as long.
 MAX_ROUNDS = 40
@@ -234,7 +235,7 @@ def rotate_unit(points: DataFrame, degrees_: float, flip_x: bool = False) -> Dat
 
 def normalise_by_spacing(points: DataFrame, nearest: DataFrame) -> DataFrame:
     """Coordinates centred on the section's mean and divided by its median nearest-neighbour distance (1 if 0)."""
-    spacing = nearest.where("rank = 1").groupBy("section_id").agg(F.median(F.sqrt("d2")).alias("spacing"))
+    spacing = medians(nearest.where("rank = 1").select("section_id", F.sqrt("d2").alias("spacing")), ["section_id"], "spacing").select("section_id", F.col("median").alias("spacing"))
     centred = _with_section(points.select("section_id", "id", "x", "y"), F.avg("x").alias("_mx"), F.avg("y").alias("_my")).join(spacing, "section_id", "left")
     by = F.coalesce(F.when(F.col("spacing") > 0, F.col("spacing")).otherwise(1.0), F.lit(1.0))
     return centred.select("section_id", "id", ((F.col("x") - F.col("_mx")) / by).alias("x"), ((F.col("y") - F.col("_my")) / by).alias("y"))
@@ -245,7 +246,7 @@ def section_scale(points: DataFrame, nearest: DataFrame, target: float, radius:
 
     A declared factor wins; else ``target`` over the median nearest-neighbour distance; 1 where that is 0.
     """
-    spacing = nearest.where("rank = 1").groupBy("section_id").agg(F.median(F.sqrt("d2")).alias("spacing"))
+    spacing = medians(nearest.where("rank = 1").select("section_id", F.sqrt("d2").alias("spacing")), ["section_id"], "spacing").select("section_id", F.col("median").alias("spacing"))
     own = F.lit(None).cast("double")
     for section, factor in (declared or {}).items():
         own = F.when(F.col("section_id") == section, float(factor)).otherwise(own)

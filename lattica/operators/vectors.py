@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import ratio, squared_distance
 from ..session import checkpointed
 from .embedding import vocabulary
+from .quantiles import medians
 
 #: Queries that are compared at once; a block of queries is broadcast, so this bounds it.
 QUERY_BLOCK = 4096
@@ -87,7 +88,7 @@ def ilisi(edges: DataFrame, batches: DataFrame, k: int) -> DataFrame:
 
 def scaled_median(scores: DataFrame, score: str, n_batches: int) -> DataFrame:
     """``(median - 1) / (B - 1)``, from 0 (batches apart) to 1."""
-    return scores.agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.median(score) - 1.0) / (n_batches - 1.0))).alias("scaled"))
+    return medians(scores, [], score).select(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("median") - 1.0) / (n_batches - 1.0))).alias("scaled"))
 
 
 def tie_statistics(vectors: DataFrame, k: int) -> DataFrame:
