@@ -191,3 +191,28 @@ def test_intervals_of_more_than_31_values_and_many_centres(spark):
     centres = spark.range(100_500).select(F.col("id").alias("label"), F.array(F.col("id").cast("double")).alias("centroid"))
     points = spark.createDataFrame([(k, [float(k)]) for k in (0, 50_000, 100_499)], "id long, vector array<double>")
     assert {r.id: (r.label, r.d2) for r in vectors.nearest_centroid(points, centres, "label").collect()} == {k: (k, 0.0) for k in (0, 50_000, 100_499)}
+
+
+def test_neighbours_over_many_tiles_are_those_of_brute_force(spark, monkeypatch):
+    """Tiles of a few rows, copies, a row that isn't finite and far-off ones; no join makes a row for each pair or holds a block of queries in a row."""
+    import numpy as np
+
+    for name, small in (("TILE_VECTORS", 64), ("TILE_QUERIES", 16), ("BLOCK_QUERIES", 5), ("PART_VECTORS", 20)):
+        monkeypatch.setattr(vectors, name, small)
+    x = np.random.default_rng(3).normal(size=(300, 6)) + 1e6
+    x[100:140], x[7] = x[100], np.inf
+    rows = [(i, v.tolist(), i % 2) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>, batch int").repartition(5)
+    for by in (None, "batch"):
+        edges = vectors.vector_knn(df, df.where("id % 5 = 0"), 9, by=by, ties="id")
+        found = {(r.src, r["rank"]): r.dst for r in edges.collect()}
+        want = {}
+        for i in range(0, 300, 5):
+            with np.errstate(all="ignore"):
+                d = [sum((a - b) ** 2 for a, b in zip(x[i], y, strict=True)) for y in x]
+            near = sorted((j for j in range(300) if by is None or j % 2 == i % 2), key=lambda j: (j != i, d[j] != d[j], d[j], j))[:9]
+            want |= {(i, rank): j for rank, j in enumerate(near, 1)}
+        assert found == want
+    hashed = vectors.vector_knn(df.where("id BETWEEN 100 AND 139"), df.where("id IN (100, 120)"), 9).collect()
+    assert len({tuple(sorted(r.dst for r in hashed if r.src == q and r["rank"] > 1)) for q in (100, 120)}) == 2
+    assert "collect_list" not in edges._jdf.queryExecution().toString() and vectors.vector_knn(df.limit(0), df, 3).count() == 0
