@@ -79,3 +79,18 @@ def test_columns_by_names_and_values(spark):
     assert columns.column_roles(df) == {"sample": "batch", "cluster": "label"}
     assert columns.column_roles(df, ["leiden"]) == {"sample": "batch", "leiden": "label"}
     assert columns.column_roles(df.limit(0)) == {} and columns.column_roles(df.select("id")) == {}
+
+
+def test_kernel_means_over_stacks_send_a_row_to_few_tasks(spark, monkeypatch):
+    """Small tiles and stacks give what brute force gives, and tiles are copied once for each stack, not for each tile."""
+    monkeypatch.setattr(vectors, "TILE_ROWS", 8)
+    monkeypatch.setattr(vectors, "STACK_TILES", 5)
+    monkeypatch.setattr(vectors, "STACKS", 3)
+    x = np.random.default_rng(8).normal(size=(203, 5))
+    rows = spark.createDataFrame([(i % 3, v.tolist()) for i, v in enumerate(x)], "batch int, vector array<double>").repartition(4)
+    kernel = np.exp(-(np.abs(x[:, None] - x[None]).sum(2) ** 2) / (2 * 2.5**2))
+    found = {(r.a, r.b): r.m for r in vectors._kernel_means(rows, 2.5).collect()}
+    assert set(found) == {(a, b) for a in range(3) for b in range(a, 3)}
+    for (a, b), m in found.items():
+        assert m == pytest.approx(kernel[a::3, b::3].mean(), abs=1e-12)
+    assert "collect_set" not in vectors._kernel_means(rows, 2.5)._jdf.queryExecution().toString()
