@@ -216,3 +216,34 @@ def test_neighbours_over_many_tiles_are_those_of_brute_force(spark, monkeypatch)
     hashed = vectors.vector_knn(df.where("id BETWEEN 100 AND 139"), df.where("id IN (100, 120)"), 9).collect()
     assert len({tuple(sorted(r.dst for r in hashed if r.src == q and r["rank"] > 1)) for q in (100, 120)}) == 2
     assert "collect_list" not in edges._jdf.queryExecution().toString() and vectors.vector_knn(df.limit(0), df, 3).count() == 0
+
+
+def test_queries_in_holes_and_far_out_meet_few_targets(spark):
+    """Neighbours across a wide hole, around a clump and from far outside equal brute force, and a query in the hole is held against few of all targets."""
+    import numpy as np
+    from lattica.operators import spatial
+
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.uniform(size=(3000, 2)), np.full((40, 2), 0.9), [[30.0, -20.0], [0.5, 0.5]]])
+    hole = (np.abs(x - 0.5) < 0.3).all(1)
+    hole[-2:] = True
+    points = spark.createDataFrame([(0, i, *map(float, p), bool(h)) for i, (p, h) in enumerate(zip(x, hole, strict=True))], "section_id int, id long, x double, y double, hole boolean").repartition(3)
+    few = spark.createDataFrame([(1, i, float(i), 0.0, False) for i in range(4)], points.schema)
+    every = points.unionByName(few)
+    targets = every.where("NOT hole")
+    found = {}
+    for r in spatial.knn_join(every, targets, 6).collect():
+        found.setdefault((r.section_id, r.src), []).append((r["rank"], r.dst))
+    aims = np.flatnonzero(~hole)
+    for i, p in enumerate(x):
+        d = ((p - x[aims]) ** 2)
+        order = [j for _, j in sorted(zip((d[:, 0] + d[:, 1]).tolist(), aims.tolist(), strict=True)) if j != i][:6]
+        assert [j for _, j in sorted(found[0, i])] == order
+    assert all(len(found[1, i]) == 3 for i in range(4))
+    hashed = lambda seed: F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    many = spark.range(60_000).select(F.lit(0).alias("section_id"), "id", hashed(1).alias("x"), hashed(2).alias("y")).where("abs(x - 0.5) >= 0.3 OR abs(y - 0.5) >= 0.3")
+    grid = spatial.section_grid(many, 6, 2.0)
+    cells = spatial._in_cells(many, grid, 1.0).groupBy("section_id", "gx", "gy").agg(F.count("*").alias("n"))
+    middle = many.limit(1).select("section_id", F.lit(0.5).alias("x"), F.lit(0.5).alias("y"))
+    met = spatial._near_cells(middle, cells, grid, 1.0, 3, 6).join(cells, ["section_id", "gx", "gy"]).agg(F.sum("n")).first()[0]
+    assert 6 < met < many.count() / 8
