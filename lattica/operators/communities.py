@@ -37,6 +37,11 @@ def undirected(edges: DataFrame) -> DataFrame:
     return one.union(one.select("dst", "src", "w"))
 
 
+def _joined(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join that shuffles: there are hundreds over the rounds, and tables of nodes just small enough to be broadcast would all pass through the driver."""
+    return a.join(b.hint("merge"), on, how)
+
+
 def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) -> DataFrame:
     """One row ``(modularity)``: of ``labels(node, community)`` on the graph ``edges(src, dst[, w])``; nodes without a label are left out with their edges. No edges: null."""
     both = undirected(edges).join(labels.select(F.col("node").alias("src"), F.col("community").alias("a")), "src").join(labels.select(F.col("node").alias("dst"), F.col("community").alias("b")), "dst")
@@ -159,14 +164,14 @@ def _finished(block: pd.DataFrame, resolution: float, total: float, seed: int) -
 def _blocked(tables: Tables, graph: DataFrame, state: DataFrame, block_nodes: int) -> DataFrame:
     """The edges with what both ends know, and the block of the first; ``state(resolution, node, community, k)``."""
     keys = ["resolution", "community"]
-    known = state.join(state.groupBy(*keys).agg(F.sum("k").alias("tot"), F.count("*").alias("n")), keys)
+    known = _joined(state, state.groupBy(*keys).agg(F.sum("k").alias("tot"), F.count("*").alias("n")), keys)
     nodes = state.groupBy("resolution").agg(F.ceil(F.count("*") / block_nodes).alias("blocks"))
     known = known.join(F.broadcast(nodes), "resolution")  # a row for each resolution
     block = F.pmod(F.xxhash64("community", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / block_nodes))), F.col("blocks"))
     known = tables.keep(known.withColumn("block", block))  # read twice
     src = known.select("resolution", F.col("node").alias("src"), F.col("community").alias("sc"), F.col("k").alias("sk"), F.col("tot").alias("stot"), F.col("n").alias("sn"), "block")
     dst = known.select("resolution", F.col("node").alias("dst"), F.col("community").alias("dc"), F.col("tot").alias("dtot"))
-    return graph.join(src, ["resolution", "src"]).join(dst, ["resolution", "dst"])
+    return _joined(_joined(graph, src, ["resolution", "src"]), dst, ["resolution", "dst"])
 
 
 _LABELS = "resolution double, node long, label long"
@@ -212,38 +217,38 @@ def communities(edges: DataFrame, resolutions: list[float] | float = 1.0, *, nod
         sizes = graph.groupBy("resolution").agg(F.countDistinct("src").alias("n"), F.count("*").alias("edges")).agg(F.max("n"), F.max("edges")).first()
         if sizes[0] <= block_nodes and sizes[1] <= block_nodes * EDGES_PER_NODE:
             ends = [start.select("resolution", F.col("node").alias(end), F.col("community").alias(c)) for end, c in (("src", "sc"), ("dst", "dc"))]
-            known = graph.join(ends[0], ["resolution", "src"]).join(ends[1], ["resolution", "dst"])
+            known = _joined(_joined(graph, ends[0], ["resolution", "src"]), ends[1], ["resolution", "dst"])
             done = known.groupBy("resolution").applyInPandas(_to_the_end(total, seed + 7919 * level), _LABELS)
-            labels = labels.join(done.select("resolution", F.col("node").alias("at"), F.col("label").alias("community")), ["resolution", "at"])
+            labels = _joined(labels, done.select("resolution", F.col("node").alias("at"), F.col("label").alias("community")), ["resolution", "at"])
             break
         degree = graph.groupBy("resolution", F.col("src").alias("node")).agg(F.sum("w").alias("k"))
-        state = tables.keep(start.join(degree, ["resolution", "node"]))
+        state = tables.keep(_joined(start, degree, ["resolution", "node"]))
         counts = {r["resolution"]: r["n"] for r in state.groupBy("resolution").agg(F.count("*").alias("n")).collect()}  # a row for each resolution
         for turn in range(MAX_ROUNDS):
             moved = _blocked(tables, graph, state, block_nodes).groupBy("resolution", "block").applyInPandas(_on_blocks(_moved, total, turn, seed + 1000 * level + 100 * turn), _LABELS)
-            after = tables.keep(state.join(moved, ["resolution", "node"]).select("resolution", "node", F.col("label").alias("community"), "k", (F.col("label") != F.col("community")).alias("new")))
+            after = tables.keep(_joined(state, moved, ["resolution", "node"]).select("resolution", "node", F.col("label").alias("community"), "k", (F.col("label") != F.col("community")).alias("new")))
             changed = after.agg(F.count(F.when(F.col("new"), 1))).first()[0]
             state = after.drop("new")
             if changed <= SETTLED * sum(counts.values()) or max(counts.values()) <= block_nodes:
                 break
         parts = _blocked(tables, graph, state, block_nodes).where("sc = dc").groupBy("resolution", "block").applyInPandas(_on_blocks(_parts, total, seed + level), _LABELS)
-        joined = state.join(parts, ["resolution", "node"], "left").select("resolution", "node", "community", F.coalesce("label", "node").alias("part"))
+        joined = _joined(state, parts, ["resolution", "node"], "left").select("resolution", "node", "community", F.coalesce("label", "node").alias("part"))
         joined = tables.keep(joined)
         left = joined.agg(F.countDistinct("resolution", "part")).first()[0]
         if left == sum(counts.values()):  # nothing joins any more
-            labels = labels.join(joined.select("resolution", F.col("node").alias("at"), "community"), ["resolution", "at"])
+            labels = _joined(labels, joined.select("resolution", F.col("node").alias("at"), "community"), ["resolution", "at"])
             break
         into = joined.select("resolution", F.col("node").alias("at"), "part")
-        labels = tables.keep(labels.join(into, ["resolution", "at"]).select("resolution", "node", F.col("part").alias("at")))
-        graph = graph.join(into.withColumnsRenamed({"at": "src", "part": "a"}), ["resolution", "src"]).join(into.withColumnsRenamed({"at": "dst", "part": "b"}), ["resolution", "dst"])
+        labels = tables.keep(_joined(labels, into, ["resolution", "at"]).select("resolution", "node", F.col("part").alias("at")))
+        graph = _joined(_joined(graph, into.withColumnsRenamed({"at": "src", "part": "a"}), ["resolution", "src"]), into.withColumnsRenamed({"at": "dst", "part": "b"}), ["resolution", "dst"])
         graph = tables.keep(graph.groupBy("resolution", F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w")))
         start = joined.groupBy("resolution", F.col("part").alias("node")).agg(F.min("community").alias("community"))
     else:
         raise RuntimeError(f"communities did not settle in {MAX_LEVELS} levels")
     least = labels.groupBy("resolution", "community").agg(F.min("node").alias("least"))
-    out = labels.join(least, ["resolution", "community"]).select("resolution", "node", F.col("least").alias("community"))
+    out = _joined(labels, least, ["resolution", "community"]).select("resolution", "node", F.col("least").alias("community"))
     if alone is not None:
-        missing = alone.join(flat.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
+        missing = _joined(alone, flat.select(F.col("src").alias("node")).distinct(), ["node"], "left_anti")
         out = out.unionByName(missing.select(every, "node", F.col("node").alias("community")))
     return tables.result(out)
 

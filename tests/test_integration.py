@@ -180,3 +180,12 @@ def test_genes_that_vary_are_chosen(spark):
     sd = np.sqrt(10**fit)
     first = ((np.minimum(own, mean + sd * math.sqrt(60)) - mean) ** 2).sum(0) / (59 * sd**2)
     assert np.argmax(first) == 7
+
+
+def test_joins_of_community_rounds_do_not_pass_through_the_driver(spark):
+    """Tables small enough to be broadcast are shuffled all the same: over the rounds they add up."""
+    a, b = spark.range(50).withColumnRenamed("id", "node"), spark.range(40).selectExpr("id AS node", "id % 3 AS community")
+    for how in ("inner", "left", "left_anti"):
+        joined = C._joined(a, b, ["node"], how)
+        assert joined.count() == {"inner": 40, "left": 50, "left_anti": 10}[how]
+        assert "SortMergeJoin" in joined._jdf.queryExecution().executedPlan().toString() and "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
