@@ -454,3 +454,25 @@ def test_very_long_texts(spark, tmp_path):
     assert pairwise_quality.score_quality(docs, labels, F.lit(True)).where("score IS NOT NULL").count() == 4
     cleaned = {r.doc_id: r for r in sentence_dedup.drop_repeated_spans(docs).collect()}
     assert cleaned[1].text == long and len(cleaned[2].text.split()) < 100 and cleaned[3].n_removed == 0
+
+
+def test_ranking_learns_from_every_labelled_row(spark, monkeypatch):
+    """Over many small buckets, with a rare label: means, threshold and weights are those of all rows, and there are pairs for each of them."""
+    monkeypatch.setattr(pairwise_quality, "BUCKET", 40)
+    monkeypatch.setattr(pairwise_quality, "EACH_LABEL", 8)
+    counted = []
+    newton = pairwise_quality._newton
+    monkeypatch.setattr(pairwise_quality, "_newton", lambda sums, *more: newton(lambda w: counted.append(sums(w)) or counted[-1], *more))
+    rng = np.random.default_rng(5)
+    width = len(pairwise_quality.FEATURES)
+    y = (np.arange(400) % 20 > 0).astype(int)
+    x = rng.normal(size=(400, width))
+    x[:, 0] += 1.5 * y
+    learned = spark.createDataFrame([(i, int(b), v.tolist()) for i, (b, v) in enumerate(zip(y, x, strict=True))], "doc_id long, quality int, features array<double>").repartition(3)
+    r = pairwise_quality.learn_ranking_of_all(learned)
+    assert np.allclose(r.mean, x.mean(0)) and np.allclose(r.spread, x.std(0))
+    assert r.threshold == pytest.approx(np.quantile(r.raw(x), 20 / 400), abs=1e-12)
+    assert counted[0][0] == 400 * pairwise_quality.PAIRS_EACH
+    plain = pairwise_quality.learn_ranking(x, y)
+    assert np.corrcoef(r.weights, plain.weights)[0, 1] > 0.95
+    assert not hasattr(pairwise_quality, "MAX_LABELLED")
