@@ -218,6 +218,23 @@ def test_neighbours_over_many_tiles_are_those_of_brute_force(spark, monkeypatch)
     assert "collect_list" not in edges._jdf.queryExecution().toString() and vectors.vector_knn(df.limit(0), df, 3).count() == 0
 
 
+def test_a_tile_of_copies_takes_bounded_memory():
+    """Where all vectors of a tile are copies, every pair is near; pairs are still compared some at a time."""
+    import tracemalloc
+
+    import numpy as np
+
+    n, queries = 60_000, 64
+    w, ids, keys = np.ones((n, 2)), np.arange(n), np.zeros(n, np.uint64)
+    tracemalloc.start()
+    found = [(i, j, d2) for i, j, d2, _ in vectors._nearest_of_tile(w[:queries], w, ids[:queries], ids, keys[:queries], keys, 3)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    i, j, d2 = (np.concatenate(x) for x in zip(*found, strict=True))
+    assert [sorted(j[i == q].tolist()) for q in range(queries)] == [sorted([q, *[x for x in range(3) if x != q][:2]]) for q in range(queries)] and d2[0] == -1
+    assert peak < 150e6
+
+
 def test_queries_in_holes_and_far_out_meet_few_targets(spark):
     """Neighbours across a wide hole, around a clump and from far outside equal brute force, and a query in the hole is held against few of all targets."""
     import numpy as np
