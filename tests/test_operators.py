@@ -264,3 +264,35 @@ def test_queries_in_holes_and_far_out_meet_few_targets(spark):
     middle = many.limit(1).select("section_id", F.lit(0.5).alias("x"), F.lit(0.5).alias("y"))
     met = spatial._near_cells(middle, cells, grid, 1.0, 3, 6).join(cells, ["section_id", "gx", "gy"]).agg(F.sum("n")).first()[0]
     assert 6 < met < many.count() / 8
+
+
+def test_regression_in_a_hole_spreads_over_tasks_and_its_width_is_no_buffer(spark, monkeypatch):
+    """A point in a hole meets the cells within its own reach, dealt by cell over all tasks of a shuffle; the Gaussian width is an exact median from merged sketches."""
+    import numpy as np
+    from lattica.operators import spatial
+    from lattica.operators.quantiles import medians
+
+    x = np.random.default_rng(8).uniform(size=(4000, 2))
+    hole = (np.abs(x - 0.5) < 0.3).all(1)
+    points = spark.createDataFrame([(0, i, *map(float, p), bool(h)) for i, (p, h) in enumerate(zip(x, hole, strict=True))], "section_id int, id long, x double, y double, hole boolean")
+    targets, left = points.where("NOT hole"), points.where("hole").select("section_id", F.col("id").alias("src"), "x", "y")
+    grid = spatial.section_grid(targets, 4, 2.0)
+    cells = spatial._in_cells(targets, grid, 1.0).groupBy("section_id", "gx", "gy").agg(F.count("*").alias("n"))
+    own = spatial._cells_of_points(left, cells, grid, 1.0, 2, 4)
+    assert own.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    near = spatial._near_cells(left, cells, grid, 1.0, 2, 4).withColumnsRenamed({"gx": "tx", "gy": "ty"})
+    by_cell = spatial._in_cells(left, grid, 1.0).join(near, (F.col("gx") == F.col("qx")) & (F.col("gy") == F.col("qy")))
+    assert 2 * own.count() < by_cell.count()
+
+    taken = []
+    monkeypatch.setattr(spatial, "medians", lambda *a: taken.append(medians(*a)) or taken[-1])
+    values = targets.select("id", F.lit(0).alias("feature"), F.col("x").alias("value"))
+    found = {r.id: r.predicted for r in spatial.knn_regress(spatial.knn_join(points, targets, 4), values, "gaussian").collect()}
+    aims = np.flatnonzero(~hole)
+    d2 = ((x[:, None] - x[aims][None]) ** 2).sum(2)
+    d2[aims, np.arange(len(aims))] = np.inf
+    best = np.argsort(d2, 1)[:, :4]
+    d2 = np.take_along_axis(d2, best, 1)
+    w = np.exp(-d2 / (2 * np.median(np.sqrt(d2)) ** 2))
+    want = (w * x[aims][best, 0]).sum(1) / w.sum(1)
+    assert len(taken) == 1 and all(abs(found[i] - want[i]) < 1e-9 or w[i].sum() < 1e-300 for i in range(len(x)))
