@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.clustering import KMeans
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ratio
@@ -39,30 +40,46 @@ def banksy_features(points: DataFrame, values: DataFrame, k: int = 15, max_m: in
 
     ``points(section_id, id, x, y)``, ids unique over all sections; ``values(id, feature, value)``, absent ones 0. The gradient of order m is ``|sum of w * exp(i m angle) * (value - mean)|``, with the mean under the same weights.
     Every feature is standardised over all points (a flat one is 0) and scaled: own ones by ``sqrt(1 - mix)``, those of order m by ``sqrt(mix * 2**-m / sum of 2**-m)``.
-    A point without neighbours has 0 before standardising. One neighbour search serves all orders.
+    A point without neighbours has 0 before standardising. One neighbour search serves all orders. A point's values travel as one row of arrays, once to each
+    point that sees it, with the weights of all orders; sums of single features are made where a point's rows have met. A point's features are in one row.
     """
-    ids, names = points.select("id").distinct(), values.select("feature").distinct()
-    edges = knn_join(points, points, k * (max_m + 1))
-    parts = [values.select("id", F.lit(-1).alias("m"), "feature", F.col("value").cast("double").alias("value"))]
+    tables = Tables(points.sparkSession)
+    ids = points.select("id").distinct()
+    edges = tables.keep(knn_join(points, points, k * (max_m + 1)))
+    names = [c for m in range(1, max_m + 1) for c in (f"re{m}", f"im{m}")]
+    columns, parts = ["own", "w0", *names], []
     for m in range(max_m + 1):
         weights = neighbour_weights(edges.where(F.col("rank") <= k * (m + 1)), points, m)
-        seen = weights.join(values.select(F.col("id").alias("dst"), "feature", "value"), "dst").groupBy(F.col("src").alias("id"), "feature")
-        sums = seen.agg(F.sum(F.col("w") * F.col("value")).alias("mean"), F.sum(F.col("re") * F.col("value")).alias("re"), F.sum(F.col("im") * F.col("value")).alias("im"))
-        if m:
-            around = weights.groupBy(F.col("src").alias("id")).agg(F.sum("re").alias("sr"), F.sum("im").alias("si"))
-            re, im = F.col("re") - F.col("mean") * F.col("sr"), F.col("im") - F.col("mean") * F.col("si")
-            sums = sums.join(around, "id").withColumn("mean", F.sqrt(re * re + im * im))
-        parts.append(sums.select("id", F.lit(m).alias("m"), "feature", F.col("mean").alias("value")))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    orders = F.explode(F.sequence(F.lit(-1), F.lit(max_m))).alias("m")
-    full = ids.join(names.select("feature", orders), F.lit(True)).join(found, ["id", "m", "feature"], "left").fillna(0.0, ["value"])  # as many rows as the result
-    moments = full.groupBy("m", "feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
+        if m:  # sums of w * exp(i m angle) * (value - mean) are those of values under weights less their sum
+            around = Window.partitionBy("src")
+            weights = weights.select("src", "dst", *((F.col(c) - F.col("w") * F.sum(c).over(around)).alias(f"{c}{m}") for c in ("re", "im")))
+        else:
+            weights = weights.select("src", "dst", F.col("w").alias("w0"))
+        parts.append(weights)
+    parts.append(ids.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("own")))
+    links = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    links = links.groupBy("src", "dst").agg(*(F.sum(c).alias(c) for c in columns))  # null where a pair isn't of an order
+    entry = F.struct("feature", F.col("value").cast("double").alias("value"))
+    rows = values.groupBy(F.col("id").alias("dst")).agg(F.collect_list(entry).alias("_l")).select("dst", F.col("_l.feature").alias("f"), F.col("_l.value").alias("v"))
+    every = values.agg(F.collect_set("feature").alias("f"))  # the features' names
+    absent = ids.join(F.broadcast(every), F.lit(True)).select(F.col("id").alias("src"), *(F.lit(0.0).alias(c) for c in columns), "f", F.transform("f", lambda _: F.lit(0.0)).alias("v"))
+    met = links.join(rows, "dst").select("src", *columns, "f", "v").unionByName(absent).repartition("src")
+    seen = met.select("src", *columns, F.explode(F.arrays_zip("f", "v")).alias("e")).groupBy("src", F.col("e.f").alias("feature"))
+    sums = seen.agg(*(F.coalesce(F.sum(F.col(c) * F.col("e.v")), F.lit(0.0)).alias(c) for c in columns))
+    size = lambda m: F.sqrt(F.col(f"re{m}") * F.col(f"re{m}") + F.col(f"im{m}") * F.col(f"im{m}"))
+    orders = {-1: F.col("own"), 0: F.col("w0")} | {m: size(m) for m in range(1, max_m + 1)}
+    full = tables.keep(sums.select(F.col("src").alias("id"), "feature", *(c.alias(f"o{m + 1}") for m, c in orders.items())))
+    figures = [f(f"o{m + 1}").alias(f"{n}{m + 1}") for m in orders for f, n in ((F.avg, "mean"), (F.stddev_pop, "sd"))]
+    moments = full.groupBy("feature").agg(*figures)
     total = sum(2.0**-m for m in range(max_m + 1))
-    scale = F.when(F.col("m") < 0, math.sqrt(1 - mix)).otherwise(F.sqrt(F.lit(mix / total) * F.pow(F.lit(2.0), -F.col("m"))))
-    z = F.when(F.col("sd") > 1e-12, (F.col("value") - F.col("mean")) / F.col("sd")).otherwise(0.0)
-    return full.join(moments, ["m", "feature"]).select("id", "m", "feature", (z * scale).alias("value"))
+    scale = {m: math.sqrt(1 - mix) if m < 0 else math.sqrt(mix / total * 2.0**-m) for m in orders}
+
+    def scaled(m: int) -> Column:
+        value, mean, sd = (F.col(f"{n}{m + 1}") for n in ("o", "mean", "sd"))
+        return F.struct(F.lit(m).alias("m"), (F.when(sd > 1e-12, (value - mean) / sd).otherwise(0.0) * scale[m]).alias("value"))
+
+    out = full.join(moments, "feature").select("id", "feature", F.explode(F.array(*map(scaled, orders))).alias("e"))
+    return out.select("id", F.col("e.m").alias("m"), "feature", F.col("e.value").alias("value"))
 
 
 # batch correction

@@ -151,6 +151,37 @@ def test_gradients_of_neighbours(spark):
     assert rows[(0, 1, "g")] == max(v for (_, m, f), v in rows.items() if (m, f) == (1, "g"))
 
 
+def test_neighbourhood_features_equal_plain_ones_and_move_points_not_features(spark, monkeypatch):
+    """Sparse values, three orders, two sections, a point alone; no shuffle has a row for each feature of each neighbour."""
+    rng = np.random.default_rng(12)
+    xy, section, k, mix = rng.normal(size=(61, 2)), np.append(rng.integers(0, 2, 60), 2), 3, 0.3
+    v = np.where(rng.uniform(size=(61, 4)) < 0.5, rng.normal(size=(61, 4)), 0.0)
+    plans, keep = [], I.Tables.keep
+    monkeypatch.setattr(I.Tables, "keep", lambda self, df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(self, df))
+    points = spark.createDataFrame([(int(s), i, *map(float, p)) for i, (s, p) in enumerate(zip(section, xy, strict=True))], "section_id int, id long, x double, y double")
+    values = spark.createDataFrame([(i, f"g{j}", float(v[i, j])) for i in range(61) for j in range(4) if v[i, j]] + [(99, "g0", 5.0)], "id long, feature string, value double")
+    got = {(r.id, r.m, r.feature): r.value for r in I.banksy_features(points, values, k=k, max_m=2, mix=mix).collect()}
+    want = np.zeros((4, 61, 4))
+    want[0] = v
+    for i in range(61):
+        d = np.sqrt(((xy - xy[i]) ** 2).sum(1))
+        others = sorted((d[j], j) for j in range(61) if j != i and section[j] == section[i])
+        for m in range(3):
+            near = [j for _, j in others[: k * (m + 1)]]
+            if near:
+                w = np.exp(-((d[near] / np.median(d[near])) ** 2))
+                w /= w.sum()
+                turn = w * np.exp(1j * m * np.arctan2(xy[near, 1] - xy[i, 1], xy[near, 0] - xy[i, 0]))
+                want[m + 1, i] = w @ v[near] if m == 0 else np.abs(turn @ (v[near] - w @ v[near]))
+    want = (want - want.mean(1, keepdims=True)) / want.std(1, keepdims=True)
+    want *= np.sqrt([1 - mix, *(mix / 1.75 * 2.0**-m for m in range(3))])[:, None, None]
+    assert len(got) == want.size
+    # a gradient is of values less their weighted mean of the same order
+    for (i, m, f), value in got.items():
+        assert abs(value - want[m + 1, i, int(f[1])]) < 1e-8
+    assert len(plans) == 2 and not any("hashpartitioning" in line and "feature" in line for plan in plans for line in plan.split("\n"))
+
+
 def test_local_quadratic_is_exact_on_a_parabola_and_equals_plain_fits():
     rng = np.random.default_rng(4)
     x = rng.uniform(-2, 2, 60)
