@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lattica.operators import graphs
 from lattica.operators.quantiles import medians
@@ -86,6 +87,36 @@ def test_spectral_coordinates_of_nothing(spark):
     assert coords.count() == 0 and values == {}
 
 
+def test_spectral_steps_move_a_row_a_node_between_places(spark, monkeypatch):
+    """Parts of a few nodes, by place and by hash, give the dense values; with places a step gives few rows more than nodes, however many edges there are."""
+    monkeypatch.setattr(graphs, "PART_NODES", 12)
+    pairs = {(i, (i + j) % 48) for i in range(48) for j in (1, 2, 3)} | {(0, 24)}
+    pairs |= {(b, a) for a, b in pairs}
+    df = spark.createDataFrame([("r", a, b) for a, b in pairs], "graph string, src long, dst long").repartition(3)
+    places = spark.createDataFrame([("r", i, i // 16) for i in range(48)], "graph string, node long, place long")
+    exact, _ = plain_values(pairs)
+    for of in (places.where("node > 20"), None):
+        coords, values = graphs.spectral_coordinates(df, 3, steps=10, places=of)
+        assert coords.count() == 48 and np.allclose([v for v, _ in values["r"]], exact[:3], atol=1e-8)
+    monkeypatch.setattr(graphs, "PART_NODES", 16)
+    degree = graphs._parts(df.groupBy("graph", F.col("src").alias("node")).agg(F.count("*").cast("double").alias("degree")), places)
+    x = degree.select("graph", "part", "node", F.array(F.sqrt("degree")).alias("x"))
+    moved = graphs._moved(graphs._packed(df, degree), x, 1)
+    sums = {r.node: r.y for r in moved.groupBy("node").agg(F.sum(F.col("y")[0]).alias("y")).collect()}
+    assert moved.count() == 3 * (16 + 6) + 2 and all(abs(sums[r.node] - r.degree**0.5) < 1e-9 for r in degree.collect())
+
+
+def test_places_hold_points_that_lie_together(spark):
+    rng = np.random.default_rng(2)
+    rows = [(s, i, *map(float, rng.normal(size=2))) for s in (0, 1) for i in range(2000 if s else 3000)]
+    found = graphs.point_places(spark.createDataFrame(rows, "section_id int, id long, x double, y double"), 200).collect()
+    xy, by = {(s, i): (x, y) for s, i, x, y in rows}, {}
+    for r in found:
+        by.setdefault((r.section_id, r.place), []).append(xy[r.section_id, r.id])
+    assert len(found) == 5000 and max(map(len, by.values())) < 260 and len(by) == 32
+    assert np.median([np.ptp(np.array(v), axis=0).max() for v in by.values()]) < 2.5
+
+
 def test_random_walks_equal_plain_ones(spark):
     pairs = ring(12, [(0, 6), (1, 4)])
     df = spark.createDataFrame([("g", a, b) for a, b in pairs], "graph string, src long, dst long")
