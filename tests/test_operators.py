@@ -235,6 +235,25 @@ def test_a_tile_of_copies_takes_bounded_memory():
     assert peak < 150e6
 
 
+def test_tiles_of_wide_vectors_hold_no_more_components(spark, monkeypatch):
+    """Fewer wide vectors meet in a task, and the neighbours are those of brute force."""
+    import numpy as np
+
+    n, width, most, kept, seen = 1100, 8192, 1 << 22, vectors.checkpointed, []
+    monkeypatch.setattr(vectors, "checkpointed", lambda df: seen.append(kept(df)) or seen[-1])
+    value = lambda j: ((F.col("id") * 7919 + j * 104_729 + F.col("id") * j * j) % 1009).cast("double")
+    df = spark.range(n).select("id", F.transform(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long")), value).alias("vector"))
+    edges = vectors.vector_knn(df, df.where("id % 100 = 0"), 4, ties="id")
+    assert width * n / seen[0].first()["_rows"] <= most
+    i, j = np.arange(n)[:, None], np.arange(width)[None]
+    x = ((i * 7919 + j * 104_729 + i * j * j) % 1009).astype(float)
+    want = {}
+    for q in range(0, n, 100):
+        d = ((x - x[q]) ** 2).sum(1)
+        want |= {(q, rank): (o, d[o]) for rank, o in enumerate(sorted(range(n), key=lambda o: (o != q, d[o], o))[:4], 1)}
+    assert {(r.src, r["rank"]): (r.dst, r.d2) for r in edges.collect()} == want
+
+
 def test_queries_in_holes_and_far_out_meet_few_targets(spark):
     """Neighbours across a wide hole, around a clump and from far outside equal brute force, and a query in the hole is held against few of all targets."""
     import numpy as np
