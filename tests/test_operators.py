@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -254,6 +255,20 @@ def test_tiles_of_wide_vectors_hold_no_more_components(spark, monkeypatch):
     assert {(r.src, r["rank"]): (r.dst, r.d2) for r in edges.collect()} == want
 
 
+def test_tiles_of_vectors_have_tasks_of_their_own(spark, monkeypatch):
+    """However few partitions a shuffle has, many tiles don't meet in one task; where tiles are small, a task gets several."""
+    for name, small in (("TILE_VECTORS", 64), ("TILE_QUERIES", 16), ("PART_VECTORS", 20)):
+        monkeypatch.setattr(vectors, name, small)
+    kept, plans = vectors.checkpointed, []
+    monkeypatch.setattr(vectors, "checkpointed", lambda df: plans.append(df._jdf.queryExecution().toString()) or kept(df))
+    df = spark.range(300).select("id", F.array((F.col("id") * 37 % 101).cast("double")).alias("vector"), (F.col("id") % 100).alias("g"))
+    for by, tasks in ((None, 96), ("g", 12)):
+        plans.clear()
+        edges = vectors.vector_knn(df, df.where("id % 5 = 0"), 2, by=by, ties="id")
+        assert set(re.findall(r"hashpartitioning\([^()]*_r#[^()]*, (\d+)\)", plans[-1])) == {str(tasks)}
+        assert edges.count() == 120 and edges.where("rank = 1 AND src = dst").count() == 60
+
+
 def test_queries_in_holes_and_far_out_meet_few_targets(spark):
     """Neighbours across a wide hole, around a clump and from far outside equal brute force, and a query in the hole is held against few of all targets."""
     import numpy as np
