@@ -27,6 +27,8 @@ MAX_ROUNDS, MAX_LEVELS, MAX_SWEEPS = 12, 20, 30
 SETTLED = 0.001
 #: Gains below this count as none.
 LEAST_GAIN = 1e-10
+#: Nodes of a block, at most, and the share of moves at which a level has settled, where a graph is made coarse.
+COARSE_NODES, COARSE_SETTLED = 5_000, 0.02
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -195,32 +197,25 @@ def _to_the_end(total: float, seed: int):
     return apply
 
 
-def communities(edges: DataFrame, resolutions: list[float] | float = 1.0, *, nodes: DataFrame | None = None, seed: int = 0, block_nodes: int = BLOCK_NODES) -> DataFrame:
-    """``(resolution, node, community)`` of the graph ``edges(src, dst[, w])`` (see :func:`undirected`), a community named by its least node.
+def _settled(tables: Tables, graph: DataFrame, labels: DataFrame, total: float, seed: int, block_nodes: int, *, coarse: bool = False):
+    """``(resolution, node, at, community)``: the communities of ``graph(resolution, src, dst, w)``, level after level; ``labels(resolution, node, at)`` says at which of its nodes an original one is.
 
-    Nodes are the ends of edges; ``nodes(node)`` may add others, each a community of its own. The result depends on the seed, and beyond ``block_nodes`` nodes on how these fall into
-    blocks, never on the order of the rows. No edges and no nodes: no rows.
+    With ``coarse`` it ends with ``(graph, labels)`` as soon as the parts make a graph that fits one block (or join no more), in smaller blocks and fewer rounds: what comes after begins from its nodes, and no community is chosen.
     """
-    wanted = sorted({float(r) for r in (resolutions if isinstance(resolutions, (list, tuple)) else [resolutions])})
-    tables = Tables(edges.sparkSession)
-    flat = tables.keep(undirected(edges))
-    total = flat.agg(F.sum("w")).first()[0]
-    every = F.explode(F.array(*(F.lit(r) for r in wanted))).alias("resolution")
-    alone = None if nodes is None else nodes.select(F.col("node").cast("long").alias("node")).where("node IS NOT NULL").distinct()
-    if total is None:
-        empty = flat.select(F.lit(0.0).alias("resolution"), F.col("src").alias("node"), F.col("src").alias("community"))
-        return empty if alone is None else alone.select(every, "node", F.col("node").alias("community"))
-    graph = flat.select(every, "src", "dst", "w")
-    labels = flat.select("src").distinct().select(every, F.col("src").alias("node"), F.col("src").alias("at"))
+    fits, settled = block_nodes, SETTLED
+    if coarse:
+        block_nodes, settled = min(block_nodes, COARSE_NODES), COARSE_SETTLED
     start = labels.select("resolution", F.col("at").alias("node"), F.col("at").alias("community"))
     for level in range(MAX_LEVELS):
         sizes = graph.groupBy("resolution").agg(F.countDistinct("src").alias("n"), F.count("*").alias("edges")).agg(F.max("n"), F.max("edges")).first()
-        if sizes[0] <= block_nodes and sizes[1] <= block_nodes * EDGES_PER_NODE:
+        if sizes[0] <= fits and sizes[1] <= fits * EDGES_PER_NODE:
+            if coarse:
+                return graph, labels
             ends = [start.select("resolution", F.col("node").alias(end), F.col("community").alias(c)) for end, c in (("src", "sc"), ("dst", "dc"))]
             known = _joined(_joined(graph, ends[0], ["resolution", "src"]), ends[1], ["resolution", "dst"])
             done = known.groupBy("resolution").applyInPandas(_to_the_end(total, seed + 7919 * level), _LABELS)
             labels = _joined(labels, done.select("resolution", F.col("node").alias("at"), F.col("label").alias("community")), ["resolution", "at"])
-            break
+            return labels
         degree = graph.groupBy("resolution", F.col("src").alias("node")).agg(F.sum("w").alias("k"))
         state = tables.keep(_joined(start, degree, ["resolution", "node"]))
         counts = {r["resolution"]: r["n"] for r in state.groupBy("resolution").agg(F.count("*").alias("n")).collect()}  # a row for each resolution
@@ -229,24 +224,47 @@ def communities(edges: DataFrame, resolutions: list[float] | float = 1.0, *, nod
             after = tables.keep(_joined(state, moved, ["resolution", "node"]).select("resolution", "node", F.col("label").alias("community"), "k", (F.col("label") != F.col("community")).alias("new")))
             changed = after.agg(F.count(F.when(F.col("new"), 1))).first()[0]
             state = after.drop("new")
-            if changed <= SETTLED * sum(counts.values()) or max(counts.values()) <= block_nodes:
+            if changed <= settled * sum(counts.values()) or max(counts.values()) <= block_nodes:
                 break
         parts = _blocked(tables, graph, state, block_nodes).where("sc = dc").groupBy("resolution", "block").applyInPandas(_on_blocks(_parts, total, seed + level), _LABELS)
         joined = _joined(state, parts, ["resolution", "node"], "left").select("resolution", "node", "community", F.coalesce("label", "node").alias("part"))
         joined = tables.keep(joined)
         left = joined.agg(F.countDistinct("resolution", "part")).first()[0]
         if left == sum(counts.values()):  # nothing joins any more
-            labels = _joined(labels, joined.select("resolution", F.col("node").alias("at"), "community"), ["resolution", "at"])
-            break
+            return (graph, labels) if coarse else _joined(labels, joined.select("resolution", F.col("node").alias("at"), "community"), ["resolution", "at"])
         into = joined.select("resolution", F.col("node").alias("at"), "part")
         labels = tables.keep(_joined(labels, into, ["resolution", "at"]).select("resolution", "node", F.col("part").alias("at")))
         graph = _joined(_joined(graph, into.withColumnsRenamed({"at": "src", "part": "a"}), ["resolution", "src"]), into.withColumnsRenamed({"at": "dst", "part": "b"}), ["resolution", "dst"])
         graph = tables.keep(graph.groupBy("resolution", F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w")))
         start = joined.groupBy("resolution", F.col("part").alias("node")).agg(F.min("community").alias("community"))
-    else:
-        raise RuntimeError(f"communities did not settle in {MAX_LEVELS} levels")
+    raise RuntimeError(f"communities did not settle in {MAX_LEVELS} levels")
+
+
+def _named(labels: DataFrame) -> DataFrame:
+    """``(resolution, node, community)``, a community named by its least node."""
     least = labels.groupBy("resolution", "community").agg(F.min("node").alias("least"))
-    out = _joined(labels, least, ["resolution", "community"]).select("resolution", "node", F.col("least").alias("community"))
+    return _joined(labels, least, ["resolution", "community"]).select("resolution", "node", F.col("least").alias("community"))
+
+
+def communities(edges: DataFrame, resolutions: list[float] | float = 1.0, *, nodes: DataFrame | None = None, seed: int = 0, block_nodes: int = BLOCK_NODES) -> DataFrame:
+    """``(resolution, node, community)`` of the graph ``edges(src, dst[, w])`` (see :func:`undirected`), a community named by its least node.
+
+    Nodes are the ends of edges; ``nodes(node)`` may add others, each a community of its own. The result depends on the seed, and beyond ``block_nodes`` nodes on how these fall into
+    blocks, never on the order of the rows. No edges and no nodes: no rows.
+    """
+    wanted = sorted({float(r) for r in (resolutions if isinstance(resolutions, (list, tuple)) else [resolutions])})
+    tables = Tables(edges.sparkSession)
+    flat = tables.keep(undirected(edges))
+    total = flat.agg(F.sum("w")).first()[0]
+    every = F.explode(F.array(*(F.lit(r) for r in wanted))).alias("resolution")
+    alone = None if nodes is None else nodes.select(F.col("node").cast("long").alias("node")).where("node IS NOT NULL").distinct()
+    if total is None:
+        empty = flat.select(F.lit(0.0).alias("resolution"), F.col("src").alias("node"), F.col("src").alias("community"))
+        return empty if alone is None else alone.select(every, "node", F.col("node").alias("community"))
+    graph = flat.select(every, "src", "dst", "w")
+    labels = flat.select("src").distinct().select(every, F.col("src").alias("node"), F.col("src").alias("at"))
+    labels = _settled(tables, graph, labels, total, seed, block_nodes)
+    out = _named(labels)
     if alone is not None:
         missing = _joined(alone, flat.select(F.col("src").alias("node")).distinct(), ["node"], "left_anti")
         out = out.unionByName(missing.select(every, "node", F.col("node").alias("community")))
@@ -257,15 +275,26 @@ def communities_of_count(edges: DataFrame, target: int, *, nodes: DataFrame | No
     """``(resolution, node, community)`` at a resolution that gives ``target`` communities, or the nearest number found.
 
     Each pass tries ``probes`` resolutions inside the bracket at once, at equal ratios, and keeps the gap in which the number passes the target: a bisection with more
-    than two ways. Of equally near ones the lowest resolution counts. Only numbers of communities come to the driver.
+    than two ways. Of equally near ones the lowest resolution counts. A graph beyond ``block_nodes`` is made coarse once: its well-connected parts at the highest resolution, which those of lower
+    ones consist of, become the nodes that every pass begins with, all of them and all edges. Only numbers of communities come to the driver.
     """
+    tables = Tables(edges.sparkSession)
+    flat = tables.keep(undirected(edges))
+    total = flat.agg(F.sum("w")).first()[0]
+    if total is None:
+        return communities(edges, lowest, nodes=nodes)
+    each = F.lit(float(highest)).alias("resolution")
+    ends = flat.select(F.col("src").alias("node")).distinct()
+    graph, at = _settled(tables, flat.select(each, "src", "dst", "w"), ends.select(each, "node", F.col("node").alias("at")), total, seed, block_nodes, coarse=True)
+    graph, at = tables.keep(graph.drop("resolution")), tables.keep(at.select("node", "at"))
+    alone = None if nodes is None else tables.keep(_joined(nodes.select(F.col("node").cast("long").alias("node")).where("node IS NOT NULL").distinct(), ends, ["node"], "left_anti"))
+    others = 0 if alone is None else alone.count()
     low, high, best = lowest, highest, None
     for _ in range(passes):
-        tried = [low * (high / low) ** (i / (probes + 1)) for i in range(1, probes + 1)]
-        found = communities(edges, tried, nodes=nodes, seed=seed, block_nodes=block_nodes)
-        counts = sorted((r["resolution"], r["n"]) for r in found.groupBy("resolution").agg(F.countDistinct("community").alias("n")).collect())
-        if not counts:
-            return found
+        every = F.explode(F.array(*(F.lit(low * (high / low) ** (i / (probes + 1))) for i in range(1, probes + 1)))).alias("resolution")
+        found = _settled(tables, graph.select(every, "src", "dst", "w"), at.select("at").distinct().select(every, F.col("at").alias("node"), "at"), total, seed, block_nodes)
+        found = tables.keep(found.select("resolution", "at", "community"))
+        counts = sorted((r["resolution"], r["n"] + others) for r in found.groupBy("resolution").agg(F.countDistinct("community").alias("n")).collect())
         for resolution, n in counts:
             if best is None or (abs(n - target), resolution) < best[:2]:
                 best = (abs(n - target), resolution, found)
@@ -273,4 +302,7 @@ def communities_of_count(edges: DataFrame, target: int, *, nodes: DataFrame | No
             break
         low = max([r for r, n in counts if n < target], default=low)
         high = min([r for r, n in counts if n > target and r > low], default=high)
-    return best[2].where(F.col("resolution") == best[1])
+    out = _named(_joined(at, best[2].where(F.col("resolution") == best[1]), ["at"]))
+    if alone is not None:
+        out = out.unionByName(alone.select(F.lit(best[1]).alias("resolution"), "node", F.col("node").alias("community")))
+    return tables.result(out)

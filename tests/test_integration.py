@@ -89,6 +89,23 @@ def test_communities_over_many_blocks(spark):
     assert plain_modularity(edges, own) >= 0.99 * plain_modularity(edges, plain_louvain(edges))
 
 
+def test_search_for_a_count_moves_the_whole_graph_at_one_resolution(spark, monkeypatch):
+    """Beyond a block, passes begin from parts of the graph: no table of edges of all resolutions is made of it, and communities are as good as those of the graph itself."""
+    edges = knn_graph(360, 6, 6, seed=3)
+    table = spark.createDataFrame(edges, "src long, dst long").repartition(3)
+    whole, seen, blocked = C.undirected(table).count(), [], C._blocked
+    monkeypatch.setattr(C, "_blocked", lambda tables, graph, *more: seen.append(graph.count()) or blocked(tables, graph, *more))
+    hit = C.communities_of_count(table, 9, nodes=spark.createDataFrame([(5000,), (3,), (None,)], "node long"), block_nodes=200).cache()
+    assert seen and max(seen) <= whole
+    own = found(hit)
+    resolution = hit.select("resolution").distinct().collect()
+    assert len(resolution) == 1 and len(set(own.values())) == 9 and own[5000] == 5000
+    assert set(own) == {v for e in edges for v in e} | {5000} and all(own[c] == c <= v for v, c in own.items())
+    r = resolution[0].resolution
+    got, want = (C.modularity(table, labels.select("node", "community"), r).first().modularity for labels in (hit, C.communities(table, r)))
+    assert got >= want - 0.01 * abs(want)
+
+
 def test_parts_of_a_graph_are_never_joined(spark):
     rows = [(1, 2, 1.0), (2, 1, 3.0), (2, 3, 1.0), (1, 3, 1.0), (7, 8, 0.5), (9, 9, 1.0), (None, 4, 1.0), (5, 6, -1.0), (5, 6, float("nan"))]
     table = spark.createDataFrame(rows, "src long, dst long, w double")
