@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import json
 import math
@@ -142,6 +143,22 @@ def test_couplings_against_numpy(spark):
     assert math.isnan(coupling.canonical_correlation(df.where("false"), "x", "y"))
 
 
+def test_classifier_learns_from_and_tries_all_rows(spark):
+    """More rows than the sample of 8,000 it once took: the figures are those of brute force over all of them, a rare class included."""
+    n, k = 8600, 5
+    x = np.round(np.random.default_rng(9).normal(size=(n, 3)), 6)
+    label = np.where(np.arange(n) % 1720 == 3, "rare", np.where(x[:, 0] > 0, "a", "b"))
+    df = spark.createDataFrame([(i, v.tolist(), str(c)) for i, (v, c) in enumerate(zip(x, label, strict=True))], "id long, x array<double>, label string").repartition(3)
+    found = coupling.neighbour_classifier(df, "x", "label", k=k).first()
+    half = np.array([int(hashlib.md5(f"1:{i}".encode()).hexdigest()[:8], 16) % 2 for i in range(n)])
+    z = (x - x[half == 0].mean(0)) / (x[half == 0].std(0) + 1e-8)
+    train, right = np.flatnonzero(half == 0), {}
+    for i in np.flatnonzero(half == 1):
+        near = label[train[np.argsort(((z[train] - z[i]) ** 2).sum(1), kind="stable")[:k]]].tolist()
+        right.setdefault(label[i], []).append(min(sorted(set(near)), key=lambda c: -near.count(c)) == label[i])
+    assert found.n_classes == len(right) and found.balanced_accuracy == pytest.approx(np.mean([np.mean(r) for r in right.values()]))
+
+
 def test_tied_batches_mix_fully_and_apart_not_at_all(spark):
     tied = spark.createDataFrame([(i, [0.0, 0.0], "l", i % 2) for i in range(120)], "id long, vector array<double>, label string, batch int")
     far = tied.withColumn("vector", F.array(F.col("batch") * 100.0 + F.col("id") * 1e-3, F.lit(0.0)))
