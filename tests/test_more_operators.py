@@ -159,6 +159,21 @@ def test_classifier_learns_from_and_tries_all_rows(spark):
     assert found.n_classes == len(right) and found.balanced_accuracy == pytest.approx(np.mean([np.mean(r) for r in right.values()]))
 
 
+def test_mixing_is_that_of_every_vector(spark, tmp_path):
+    """Vectors whose id 20 divides lie among all three batches, the others among their own: the indexes and their median are those of all."""
+    from lattica import plans
+
+    rng = np.random.default_rng(6)
+    at = np.arange(600)
+    v = rng.normal(size=(600, 64)) / 100
+    v[:, 0] += np.where(at % 20 == 0, 50, at % 3 * 10)
+    spark.createDataFrame([(int(i), x.tolist(), 0) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = {r.id: r.ilisi for r in plans.QUERIES["ilisi"](spark, str(tmp_path)).collect()}
+    assert sorted(found) == at.tolist() and all(found[i] == pytest.approx(1.0) for i in at[at % 20 > 0])
+    assert np.mean([found[i] for i in at[::20]]) > 1.5
+    assert plans.QUERIES["ilisi_scaled"](spark, str(tmp_path)).first().scaled == 0.0
+
+
 def test_tied_batches_mix_fully_and_apart_not_at_all(spark):
     tied = spark.createDataFrame([(i, [0.0, 0.0], "l", i % 2) for i in range(120)], "id long, vector array<double>, label string, batch int")
     far = tied.withColumn("vector", F.array(F.col("batch") * 100.0 + F.col("id") * 1e-3, F.lit(0.0)))
