@@ -94,3 +94,20 @@ def test_kernel_means_over_stacks_send_a_row_to_few_tasks(spark, monkeypatch):
     for (a, b), m in found.items():
         assert m == pytest.approx(kernel[a::3, b::3].mean(), abs=1e-12)
     assert "collect_set" not in vectors._kernel_means(rows, 2.5)._jdf.queryExecution().toString()
+
+
+def test_kernel_sums_in_single_precision_are_those_of_double(monkeypatch):
+    """Far pairs need no double precision; near ones, copies, far-off and large vectors keep it."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(300, 64)) / 8
+    y = np.concatenate([x[:40] + 0.01, rng.normal(size=(280, 64)) / 8])
+    plain = vectors._plain_kernel_sum
+    called = []
+    monkeypatch.setattr(vectors, "_plain_kernel_sum", lambda *z: called.append(1) or plain(*z))
+    for move, scale, sigma in ((0.0, 1.0, 1.0), (0.0, 1.0, 5.0), (1e4, 1.0, 1.0), (0.0, 1e3, 1.0), (0.0, 1e40, 1.0), (0.0, 1e-30, 1.0)):
+        a, b = x * scale + move, y * scale + move
+        want = np.exp(-(np.abs(a[:, None] - b[None]).sum(2) ** 2) / (2 * sigma**2)).mean()
+        called.clear()
+        assert vectors._l1_kernel_sum(a, b, sigma) / (len(a) * len(b)) == pytest.approx(want, abs=1e-13, rel=1e-12)
+        assert bool(called) == (sigma > 1 or scale in (1e40, 1e-30))
+    assert np.isnan(vectors._l1_kernel_sum(np.full((2, 3), np.nan), np.ones((2, 3)), 1.0))
