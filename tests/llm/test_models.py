@@ -409,6 +409,22 @@ def test_repeated_passages_of_any_sentences_are_found(spark):
     assert found[101].n_removed > 0 and found[101].text.endswith("x y z") and len(texts[101]) - len(found[101].text) >= 25
 
 
+@pytest.mark.parametrize("size", [25, 30, 48])
+def test_short_texts_of_one_sentence_are_found(spark, size):
+    """Texts with fewer runs of words than a window has: equal ones go, and so does a long text's copy of one that a selected run of its lies in."""
+    rng = random.Random(size)
+    fresh = lambda n: " ".join(f"{rng.choice(WORDS)}{rng.randrange(10**9)}" for _ in range(n))
+    texts = [fresh(size) for _ in range(30)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(100 + k, t + ("." if k % 2 else "")) for k, t in enumerate(texts)] + [(200 + k, fresh(size)) for k in range(30)]
+    rows += [(300 + k, f"{fresh(60)} {t} {fresh(60)}") for k, t in enumerate(texts)]
+    found = {r.doc_id: r for r in sentence_dedup.drop_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert all(found[k].text == t and found[200 + k].n_removed == 0 for k, t in enumerate(texts))
+    assert all(found[100 + k].text == "" for k in range(0, 30, 2)) and all(found[100 + k].n_removed == (k % 2 == 0 or size > 25) for k in range(30))
+    caught = [300 + k for k in range(30) if found[300 + k].n_removed]
+    assert len(caught) == 30 if size == 48 else len(caught) < 30
+    assert all(len(found[i].text.split()) <= 120 + size - 25 for i in caught)
+
+
 def test_no_repeat_of_a_run_and_window_survives(spark):
     rng = random.Random(13)
     pool = [f"w{k}" for k in range(3000)]
